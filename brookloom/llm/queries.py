@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brookloom.llm.common import read_table
 from brookloom.llm.quality import quality
+from brookloom.llm.secrets import secret_digest
+from brookloom.llm.token_files import token_files
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules}
+    return {"op4_quality_rules": op4_quality_rules, "op6_secret_scans": op6_secret_scans, "op7_token_files": op7_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
