@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,44 +134,71 @@ def block_ids(payload: bytes, at: int) -> np.ndarray:
 class WordEncoder:
     """Whole-text encoding by way of the distinct words of a batch.
 
-    The tokenizer's splitting never crosses white space, so a text's ids are its words' ids in order. Words are
-    kept with their ids as bytes; the store starts anew beyond ``most`` words, so its size is bounded.
+    The tokenizer's splitting never crosses white space, so a text's ids are its words' ids in order; nor does it
+    join a letter and the marks after it, so a word's ids are those of its letters, then those of its last marks.
+    Words of letters alone are one piece each and are encoded together, a line each: a piece's last id ends a word.
+    Words are kept with their ids as bytes; the store starts anew beyond ``most`` words, so its size is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARKS = b".,!?;:*#%&$|"
+
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def learn(self, words: Iterable[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+    def _put(self, words: list[bytes]) -> None:
+        """Encode each word by itself."""
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
+    def learn(self, words: set[bytes]) -> None:
+        ends = {}
+        for w in words:
+            core = w.rstrip(self.MARKS)
+            if core and core != w and (t := core.decode()[-1]).isalpha() and t.lower().isalpha():
+                ends[w] = core
+        new = {ends.get(w, w) for w in words} | {w[len(c) :] for w, c in ends.items()}
+        new = [w for w in new if w not in self.known]
+        lines = [w for w in new if (t := w.decode()).isalpha() and t.lower().isalpha()]
+        one = set(lines)
+        self._put([w for w in new if w not in one])
+        if lines:
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(lines).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) == len(lines):
+                raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+                self.known.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(lines))
+            else:  # a letter of another Unicode version than this Python's
+                self._put(lines)
+        self.known.update((w, self.known[c] + self.known[w[len(c) :]]) for w, c in ends.items())
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian u32 ids of each text, the end id last."""
-        end, out = np.array([END_ID], "<u4").tobytes(), []
-        for b in texts:
-            words = b.split()
-            try:
-                ids = b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                distinct = set(words)
-                self.learn(distinct)
-                if len(self.known) < len(distinct):  # began anew: words met before are learned again
-                    self.learn(distinct)
-                try:
-                    ids = b"".join(map(self.known.__getitem__, words))
-                except KeyError:
-                    self.learn(distinct)
-                    ids = b"".join(map(self.known.__getitem__, words))
-            out.append(ids + end)
-        return out
+        end = np.array([END_ID], "<u4").tobytes()
+        split = [b.split() for b in texts]
+        distinct = set().union(*split)
+        new = distinct.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known, new = {}, distinct
+            self.learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) + end for words in split]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder a process, so that tasks go on with the words of those before them."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _default_tokenizer() -> str:
@@ -188,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, perce
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer or _default_tokenizer())
+        encode = encoder(tokenizer or _default_tokenizer()).encode
         shard, place, shard_start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int, bytes]] = []
         size = 0
@@ -205,7 +232,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, perce
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                for d, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(as_bytes(part.column("text"))), strict=True):
+                for d, ids in zip(part.column("doc_id").to_pylist(), encode(as_bytes(part.column("text"))), strict=True):
                     held.append((d, ids))
                     size += len(ids) // 4
                     if size >= SEGMENT:
