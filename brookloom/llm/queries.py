@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brookloom.llm.common import read_table
+from brookloom.llm.language import language
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
+from brookloom.llm.toxicity import toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(read_table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +35,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op6_secret_scans": op6_secret_scans, "op7_token_files": op7_token_files}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     return {}
+
+
+QUERIES = (
+    op1_toxicity,
+    op3_language_id,
+    op4_quality_rules,
+    op6_secret_scans,
+    op7_token_files,
+)
