@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on what toxic documents say more often than ordinary ones, one on
-ordinary text, and filled up to equal size with the same ordinary content. A text is cut into windows of a few words;
+ordinary text. The toxic one is followed by the ordinary one, which in turn is padded to equal size with bytes that
+match nothing, so that compression with the two differs by toxic matches alone. A text is cut into windows of a few words;
 a window's gain is the number of bytes it compresses shorter with the toxic dictionary. Thresholds on gains are
 calibrated on labelled documents that neither dictionary has seen; a logistic function of the gains is the score.
 
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.llm.common import as_bytes, crc_mod, map_batches, mix
+from brookloom.llm.common import as_bytes, crc_mod, map_batches, mix, windows, word_hashes
 
 GRAM = 6
 #: Lower-case letters, digits and bytes beyond ASCII stay; the rest are spaces.
@@ -104,6 +105,17 @@ def _features(gains: np.ndarray) -> list[float]:
 N_FEATURES = 2 + 2 * len(LEVELS)
 
 
+def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Three minimum hashes of each text's five-word windows (of its id, for a text without any)."""
+    out = []
+    for d, b in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+        h = windows(word_hashes(b.split()), 5)
+        h = h if len(h) else mix(np.array([d], np.int64).astype(np.uint64))
+        out.append([int(mix(h + np.uint64(k)).min() >> np.uint64(1)) for k in range(3)])
+    cols = np.array(out, np.int64).reshape(len(out), 3)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(cols[:, k]) for k in range(3))], ["doc_id", "s0", "s1", "s2"])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Ridge-penalised logistic weights by Newton's method, the constant last."""
     x = np.c_[x, np.ones(len(x))]
@@ -143,14 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: f
     y = known["toxic"].to_numpy(int)
     if not len(y) or y.min() == y.max():
         return ToxicModel(b"", b"", window, (0.0,) * N_FEATURES + (30.0 if len(y) and y[0] else -30.0,))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    signs = map_batches(own.join(F.broadcast(spark.createDataFrame(known)), "doc_id").select("doc_id", "text"), _signatures, "doc_id long, s0 long, s1 long, s2 long").orderBy("doc_id", "s0").toPandas()
+    for c in ("s0", "s1", "s2"):  # of near copies one counts
+        signs = signs.drop_duplicates(c)
+    known = known[known["doc_id"].isin(signs["doc_id"])].reset_index(drop=True)
+    y = known["toxic"].to_numpy(int)
     order = np.argsort(mix(known["doc_id"].to_numpy().astype(np.uint64)), kind="stable")
     part = np.zeros(len(y), int)
     for label in (0, 1):  # of either label three in five
-        own = order[y[order] == label]
-        part[own[: -(-3 * len(own) // 5)]] = 1
+        kind = order[y[order] == label]
+        part[kind[: -(-3 * len(kind) // 5)]] = 1
     known["dictionary"] = part
     n_toxic, n_ordinary = int((part * y).sum()), int((part * (1 - y)).sum())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(spark.createDataFrame(known)), "doc_id")
+    texts = own.join(F.broadcast(spark.createDataFrame(known)), "doc_id")
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -189,10 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: f
     got = got.sort_values(["doc_id", "piece"], kind="stable")
     toxic = [bytes(x) for x in got.loc[got["toxic"] == 1, "piece"] if len(x)]
     ordinary = [bytes(x) for x in got.loc[got["toxic"] == 0, "piece"] if len(x)]
-    own = _trained(toxic, size // 2, 32, 6)[-size // 3 :] if toxic else b""
-    common = _trained(ordinary, size, 64, 8) if ordinary else b""
-    shared = common[-size // 2 :]
-    model = ToxicModel(own + shared, common[: len(own)].rjust(len(own), b"\n") + shared, window, (0.0,) * (N_FEATURES + 1))
+    marked = _trained(toxic, size // 2, 24, 6)[-size // 3 :] if toxic else b""
+    common = _trained(ordinary, size, 64, 8)[-size // 2 :] if ordinary else b""
+    model = ToxicModel(marked + common, marked[::-1] + common, window, (0.0,) * (N_FEATURES + 1))
     rows = _measured(texts.where("dictionary = 0").select("doc_id", "text", "toxic"), model).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     label = rows["toxic"].to_numpy(float)
