@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from brookloom.llm.common import read_table
+from brookloom.llm.decontaminate import contamination
 from brookloom.llm.language import language
+from brookloom.llm.near_dup import near_duplicates
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
@@ -26,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), threshold=0.85)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +40,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -46,6 +56,8 @@ QUERIES = (
     op1_toxicity,
     op3_language_id,
     op4_quality_rules,
+    op5_near_duplicates,
     op6_secret_scans,
     op7_token_files,
+    op8_decontamination,
 )
