@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +57,27 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text each, and one row at least: what a task holds is bounded by
+    that and its longest text, whatever the rows of a batch."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo or not batch.num_rows:
+            yield batch.slice(lo, hi - lo)
+
+
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``work`` on each Arrow batch of ``df``."""
+    """``work`` on the Arrow batches of ``df``, long ones in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield work(batch)
+            for part in slices(batch):
+                yield work(part)
 
     return df.mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ from brookloom.llm.common import read_table
 from brookloom.llm.decontaminate import contamination
 from brookloom.llm.language import language
 from brookloom.llm.near_dup import near_duplicates
+from brookloom.llm.pieces import sampled_pieces
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
@@ -44,6 +45,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(read_table(spark, sf_dir, "documents"), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -60,4 +65,5 @@ QUERIES = (
     op6_secret_scans,
     op7_token_files,
     op8_decontamination,
+    op9_sentencepiece,
 )
