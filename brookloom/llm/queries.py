@@ -11,6 +11,7 @@ from brookloom.llm.decontaminate import contamination
 from brookloom.llm.language import language
 from brookloom.llm.near_dup import near_duplicates
 from brookloom.llm.pieces import sampled_pieces
+from brookloom.llm.pii import pii_surrogates
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
@@ -49,6 +50,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces(read_table(spark, sf_dir, "documents"), ids=False)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
@@ -66,4 +71,5 @@ QUERIES = (
     op7_token_files,
     op8_decontamination,
     op9_sentencepiece,
+    op10_pii_surrogates,
 )
