@@ -227,3 +227,17 @@ def quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> D
         .withColumn("kept", F.col("rule").isNull())
         .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+    """The rows that ``quality`` keeps, all columns as they were; counted where they lie, so nothing is shuffled."""
+    rejected = verdict(fit_rules(docs, labels, max_labelled)).isNotNull()
+    names = [x.split()[0] for x in STATS.split(", ")]
+
+    def measured(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stats = _stats(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(own.index("text"))], ["doc_id", "text"]))
+        return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, own), *(stats.column(x) for x in names)], ["row", *names])
+
+    own = docs.columns
+    whole = map_batches(docs, measured, f"row {docs.schema.simpleString()}, {STATS}")
+    return whole.where(~rejected).select(*(F.col("row").getField(c).alias(c) for c in own))
