@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brookloom.llm.common import read_table
 from brookloom.llm.decontaminate import contamination
 from brookloom.llm.language import language
+from brookloom.llm.lm_score import ORACLE_SQL as LM_SQL
+from brookloom.llm.lm_score import lm_scores
 from brookloom.llm.near_dup import near_duplicates
 from brookloom.llm.pieces import sampled_pieces
 from brookloom.llm.pii import pii_surrogates
@@ -22,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(read_table(spark, sf_dir, "documents"))
 
@@ -59,11 +66,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_lm_score": LM_SQL}
 
 
 QUERIES = (
     op1_toxicity,
+    op2_lm_score,
     op3_language_id,
     op4_quality_rules,
     op5_near_duplicates,
