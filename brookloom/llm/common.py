@@ -82,6 +82,46 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` on the rows of each group of equal ``keys``, whole numbers without nulls: groups are dealt by hash, sorted,
+    and streamed through a task one at a time. For many small groups, as it makes no data frame of each."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            changes = np.zeros(batch.num_rows - 1, bool)
+            for c in columns:
+                changes |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(c[lo] for c in columns)
+                if held and key != last:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = key
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for batch in run(batches):
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000 or len(waiting) >= 5_000:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, rows = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))

@@ -21,12 +21,11 @@ is linked with nothing, has a null component and is kept; other columns are igno
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.llm.common import as_bytes, map_batches, mix, stored, windows, word_hashes
+from brookloom.llm.common import as_bytes, map_batches, map_groups, mix, stored, windows, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 20, 5
@@ -153,18 +152,25 @@ def neighbourhoods(reps: DataFrame, threshold: float) -> DataFrame:
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / CELL_DOCS).cast("long").alias("parts"))
     rows = grid(keyed.join(shared, "key").join(reps.select("doc_id", "sketch"), "doc_id"), "key", "parts")
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc_id", "sketch"]).sort_values("doc_id", kind="stable")
-        ids = pdf["doc_id"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+    def cell(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("doc_id").to_numpy()
+        if len(ids) < 2:
+            return _edges([], [])
+        at = np.argsort(ids, kind="stable")
+        ids, held = ids[at], rows.column("sketch").to_pylist()
+        sketch = np.frombuffer(b"".join([held[i] for i in at.tolist()]), np.uint64).reshape(len(ids), -1)
         parts = Parts(len(ids))
         for i, j in zip(*(x.tolist() for x in _likely(sketch, threshold - LIKELY_MARGIN)[:2]), strict=True):
             parts.join(i, j)
         top = np.array([parts.find(i) for i in range(len(ids))])
         found = np.flatnonzero(top != np.arange(len(ids)))
-        return pd.DataFrame({"a": ids[found], "b": ids[top[found]]})
+        return _edges(ids[found], ids[top[found]])
+
+    return map_groups(rows, ["key", "lo", "hi"], cell, "a long, b long").where("a != b").distinct()
 
-    return rows.groupBy("key", "lo", "hi").applyInPandas(cell, "a long, b long").distinct()
+
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
@@ -172,17 +178,21 @@ def confirmed(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame
     size = groups.groupBy("label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     size = size.select("label", F.greatest(F.ceil(F.col("n") / CELL_DOCS), F.ceil(F.col("bytes") / CELL_BYTES)).cast("long").alias("parts"))
     members = groups.select("doc_id", "label").join(size, "label")
-    rows = grid(_texts(docs).join(members, "doc_id"), "label", "parts")
+    # Sorted and merged at every size: members are a share of all documents, so neither side is ever small enough to send.
+    rows = grid(_texts(docs).join(members.hint("merge"), "doc_id"), "label", "parts")
     num, den = round(threshold * 1000), 1000
 
-    def cell(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        ids = pdf["doc_id"].tolist()
-        sets = [shingles((t or "").encode()) for t in pdf["text"]]
+    def cell(rows: pa.Table) -> pa.RecordBatch:
+        ids = rows.column("doc_id").to_pylist()
+        if len(ids) < 2:
+            return _edges([], [])
+        texts = rows.column("text").cast(pa.binary()).to_pylist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        ids, sets = [ids[k] for k in order], [shingles(texts[k] or b"") for k in order]
         held = [k for k, s in enumerate(sets) if len(s)]
         ids, sets = [ids[k] for k in held], [sets[k] for k in held]
         if len(ids) < 2:
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
+            return _edges([], [])
         sketch = odd_sketches(np.array([minhashes(s) for s in sets]))
         i, j, estimate = _likely(sketch, threshold - LIKELY_MARGIN)
         order = np.argsort(-estimate, kind="stable")
@@ -203,9 +213,9 @@ def confirmed(docs: DataFrame, groups: DataFrame, threshold: float) -> DataFrame
             if den * both >= num * (len(coded[x]) + len(coded[y]) - both):
                 parts.join(x, y)
                 links.append((ids[x], ids[y]))
-        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        return _edges([a for a, _ in links], [b for _, b in links])
 
-    return rows.groupBy("label", "lo", "hi").applyInPandas(cell, "a long, b long").where("a != b")
+    return map_groups(rows, ["label", "lo", "hi"], cell, "a long, b long").where("a != b")
 
 
 def components(edges: DataFrame) -> DataFrame:
