@@ -8,6 +8,7 @@ calibrated on labelled documents that neither dictionary has seen; a logistic fu
 
 Toxic training text is the runs, inside words, of six-byte n-grams that are in at least ``share`` of the toxic sample
 and ``ratio`` times as often in it as in the ordinary one: without that, both dictionaries hold the same common words.
+Their counts' log-likelihood ratio must be beyond what chance would give to one of all n-grams.
 
 Defined results: null counts as an empty text; a text without words has no window and gets the score of zero gains;
 a label is 1 where any row of ``labels`` for the id says so; repeated ids stay separate rows; with labels of one kind
@@ -181,10 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: f
         n = [np.r_[out[0][1], np.zeros(len(out[1][0]), np.int64)], np.r_[np.zeros(len(out[0][0]), np.int64), out[1][1]]]
         return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64))], ["code", "ordinary", "toxic"])
 
+    # Chance alone takes one of m n-grams beyond 2 ln m; a document has some 500 that no other has.
+    evidence = 2 * float(np.log(500 * (n_toxic + n_ordinary)))
     learning = texts.where("dictionary = 1").select("text", "toxic")
     grams = map_batches(learning, counted, "code long, ordinary long, toxic long").where("code != 0").groupBy("code").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
     telling = np.sort(
-        grams.where((F.col("t") >= max(3.0, share * n_toxic)) & (F.col("t") / n_toxic >= ratio * (F.col("o") + 0.5) / max(1, n_ordinary)))
+        grams.withColumn("expected", n_toxic * (F.col("o") + 1) / max(1, n_ordinary))
+        .where((F.col("t") >= max(3.0, share * n_toxic)) & (F.col("t") >= ratio * F.col("expected")))
+        .where(2 * (F.col("t") * F.log(F.col("t") / F.col("expected")) - F.col("t") + F.col("expected")) >= evidence)
         .select("code").toPandas()["code"].to_numpy(np.int64)
     )
 
