@@ -12,6 +12,7 @@ from brookloom.llm.decontaminate import contamination
 from brookloom.llm.language import language
 from brookloom.llm.lm_score import ORACLE_SQL as LM_SQL
 from brookloom.llm.lm_score import lm_scores
+from brookloom.llm.near_dup import ORACLE_SQL as NEAR_SQL
 from brookloom.llm.near_dup import near_duplicates
 from brookloom.llm.pieces import sampled_pieces
 from brookloom.llm.pii import pii_surrogates
@@ -66,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_score": LM_SQL}
+    return {"op2_lm_score": LM_SQL, "op5_near_duplicates": NEAR_SQL}
 
 
 QUERIES = (
