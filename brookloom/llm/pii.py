@@ -51,16 +51,30 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _DIGITS = "0123456789"
-#: Letters by script and kind, as fixed values; a letter of none of them stays.
+#: Letters by script and kind, as fixed values.
 _LETTERS = (
     "aeiou", "bcdfghjklmnpqrstvwxyz",
-    "àáâäãåèéêëìíîïòóôöõùúûü", "çñßšžý",
-    "αεηιουω", "βγδζθκλμνξπρσςτφχψ",
+    "àáâäãåèéêëìíîïòóôöõùúûü", "çñšžý",
+    "αεηιουω", "βγδζθκλμνξπρστφχψ",
     "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь",
 )
 _RADIX = {c: group for group in (*_LETTERS, _DIGITS) for c in group}
 
 
+@lru_cache(maxsize=10_000)
+def _group(c: str) -> str:
+    """The characters that may stand for ``c``: its kind's, or for letters of other scripts those of its category among
+    the 64 code points around it. Empty where case or composition would not come back: such characters stay."""
+    small = c.lower()
+    if small in _RADIX:
+        return _RADIX[small]
+    whole = lambda x: len(x.upper()) == 1 and x.upper().lower() == x and unicodedata.normalize("NFC", x) == x
+    if len(small) != 1 or not small.isalpha() or small.isascii() or not whole(small) or (c != small and c != small.upper()):
+        return ""
+    kind, base = unicodedata.category(small), ord(small) & ~63
+    return "".join(x for x in map(chr, range(base, base + 64)) if unicodedata.category(x) == kind and x not in _RADIX and whole(x))
+
+
 class Permutation:
     """A keyed permutation of 0..size-1: a Feistel network on the next even number of bits, walked until inside."""
 
@@ -103,7 +117,7 @@ def permuted(text: str, key: bytes, label: str, fixed: int = 0) -> str:
     body, tail = (plain[:-fixed], plain[-fixed:]) if fixed else (plain, "")
     groups, value, size = [], 0, 1
     for c in body:
-        g = _RADIX.get(c.lower(), "") if len(c.lower()) == 1 else ""
+        g = _group(c)
         groups.append(g)
         if g:
             value, size = value * len(g) + g.index(c.lower()), size * len(g)
@@ -112,7 +126,7 @@ def permuted(text: str, key: bytes, label: str, fixed: int = 0) -> str:
     for c, g in zip(reversed(body), reversed(groups), strict=True):
         if g:
             value, k = divmod(value, len(g))
-            c = g[k].upper() if c.isupper() and len(g[k].upper()) == 1 else g[k]
+            c = g[k].upper() if c.isupper() else g[k]
         out.append(c)
     return "".join(reversed(out)) + tail
 

@@ -56,6 +56,15 @@ def test_permutations_move_everything(size, key):
     assert sorted(out) == list(range(size)) and (size == 1 or all(i != x for i, x in enumerate(out)))
 
 
+def test_letters_of_other_scripts():
+    for name in ("王小明", "דוד", "محمد", "Հայկ", "राम", "ΣΟΦΊΑ", "Weiß"):
+        s = surrogate("name", name)
+        assert s != name and len(s) == len(name) and [c.isupper() for c in s] == [c.isupper() for c in name]
+    a = [chr(c) for c in range(0x5D0, 0x5EB)]
+    assert len({permuted(x + y, b"k", "x") for x in a for y in a}) == len(a) ** 2
+    assert len({permuted(x + y, b"k", "x") for x in "ΑΒΓΔΣΨ" for y in "αβγδσς"}) == 36
+
+
 def test_short_shapes_are_permuted():
     assert len({permuted(f"{a}{b}", b"k", "x") for a in "aeiou" for b in "0123456789"}) == 50
 
