@@ -57,7 +57,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``most`` bytes of text each, and one row at least: what a task holds is bounded by
     that and its longest text, whatever the rows of a batch."""
     size = np.zeros(batch.num_rows, np.int64)
@@ -78,6 +78,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in slices(batch):
                 yield work(part)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -118,6 +119,7 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Rec
                 waiting, rows = [], 0
         if waiting:
             yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+        pa.default_memory_pool().release_unused()
 
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(merged, schema)
 

@@ -38,7 +38,9 @@ RUNS = re.compile(rb" +[^ ]*")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNIT_STEP, DRAW_STEP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Bytes of text that are segmented at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Units whose lattices are filtered at a time, and those that are kept.
+LEARN_UNITS, KEPT_UNITS = 20_000, 200_000
 
 
 class Pieces:
@@ -89,7 +91,7 @@ class Pieces:
 class Sampler:
     """Lattices of the units seen so far, at most about ``most`` of them, then anew."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000):
+    def __init__(self, pieces: Pieces, most: int = KEPT_UNITS):
         self.pieces, self.most = pieces, most
         self.forget()
 
@@ -184,7 +186,9 @@ class Sampler:
             if len(self.known) + len(new) > self.most:
                 self.forget()
                 new = distinct
-            self.learn(sorted(new))
+            new = sorted(new)
+            for lo in range(0, len(new), LEARN_UNITS):
+                self.learn(new[lo : lo + LEARN_UNITS])
         counts = np.array([len(x) for x in split], np.int64)
         n = int(counts.sum())
         if not n:
@@ -258,6 +262,7 @@ def sampled_pieces(docs: DataFrame, seed: int = 0, theta: float = 1.0, model: st
                 if ids:
                     cols.append(pa.array([None if t is None else x for t, x in zip(texts, found, strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
