@@ -5,14 +5,16 @@ occurs once is the document's own. Else it is ALPHA times the bigram's count ove
 times the word's count over that of all words. At a text's start fewer orders are tried. A document's score is the sum
 of the words' logarithms.
 
-1. Words are counted over all documents. Those that make up at least ``rate`` of all words are the vocabulary: at most
-   1 / rate of them, so it can be broadcast. The rest are one unknown word, which no counted bigram or trigram holds.
-2. Each slice of documents explodes its texts into n-grams, a bigram and the word after it in one number, and deals
-   them by the bigram's hash: a bigram and all trigrams that it begins are counted in one partition.
-3. The counts go back to the slice that asked, are joined to its n-grams by place, and are summed per document.
+1. Each slice of documents counts its own 1-, 2- and 3-grams, which travel as 64-bit hashes with their counts, dealt by
+   hash: an n-gram comes once from a slice, however often it stands there. No word is left out.
+2. A partition sums the counts of each n-gram and sends the sums back to the slices that asked.
+3. The slice joins them to its words by place and sums per document.
 
 N-grams travel as packed arrays, one row for each slice and partition. No row holds more than a slice's or a
-partition's n-grams, and no word, only a whole bigram, binds rows to one partition.
+partition's n-grams, and no word or n-gram binds more rows to one partition than there are slices.
+
+With a ``rate``, words below that share of all words are one unknown word, which no counted bigram or trigram holds:
+that is what ORACLE_SQL states at 1e-6. Up to a million words nothing is below it, and the forms agree without.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Defined results: a null or wordless text has 0 words and score 0;
 repeated rows count and are scored each; null ids are ordinary; other columns are ignored; an empty table gives no rows.
@@ -20,22 +22,21 @@ repeated rows count and are scored each; null ids are ordinary; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookloom.llm.common import as_bytes, map_batches, mix, slices, word_hashes
+from brookloom.llm.common import as_bytes, map_batches, slices, windows, word_hashes
 
 ALPHA = 0.4
 MIN_COUNT = 2
-RATE = 1e-6
-BITS = 20
-NONE = (1 << BITS) - 1
+ORDERS = (1, 2, 3)
 SLICE_BYTES = 8 << 20
 #: N-grams that a partition counts at a time, on average.
 PARTITION_GRAMS = 2_000_000
@@ -51,144 +52,171 @@ def unplanes(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-class Vocabulary:
-    """Ids of word hashes, the most frequent first, and counts by id; the last count is that of all other words."""
-
-    def __init__(self, words: pd.DataFrame, total: int):
-        words = words.sort_values(["n", "word"], ascending=[False, True], kind="stable")
-        h = words["word"].to_numpy(np.int64).view(np.uint64)
-        self.order = np.argsort(h)
-        self.hashes = h[self.order]
-        n = words["n"].to_numpy(np.int64)
-        self.counts, self.total = np.r_[n, total - n.sum()], total
+def squeezed(ascending: np.ndarray, *others: np.ndarray) -> bytes:
+    """Ascending hashes as steps, and arrays of 4-byte numbers."""
+    steps = np.diff(ascending, prepend=np.uint64(0))
+    return zstandard.compress(np.uint64(len(ascending)).tobytes() + planes(steps) + b"".join(map(planes, others)), 1)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        """Ids; NONE for other words."""
-        if not len(self.hashes):
-            return np.full(len(h), NONE, np.uint32)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.order[at], NONE).astype(np.uint32)
 
-    def count(self, ids: np.ndarray) -> np.ndarray:
-        return self.counts[np.minimum(ids, len(self.counts) - 1)]
+def unsqueezed(b: bytes) -> tuple[np.ndarray, bytes]:
+    """(hashes, bytes of what follows)."""
+    b = zstandard.decompress(b)
+    end = 8 + 8 * int(np.frombuffer(b, np.uint64, 1)[0])
+    return np.cumsum(unplanes(b[8:end], np.uint64), dtype=np.uint64), b[end:]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def vocabulary(docs: DataFrame, rate: float = RATE) -> Vocabulary:
-    """Counts of all words; at most 1 / rate of them reach the driver."""
+def _total(docs: DataFrame) -> int:
+    """How many words all documents have."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([sum(len(b.split()) for b in as_bytes(batch.column("text")))], pa.int64())], ["n"])
+
+    return map_batches(_texts(docs).select("text"), count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _rest(docs: DataFrame, least: float) -> int:
+    """How many words are of a kind that has fewer than ``least``."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         word, n = np.unique(word_hashes([w for b in as_bytes(batch.column("text")) for w in b.split()]), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    words = map_batches(_texts(docs).select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    try:
-        total = words.agg(F.sum("n")).first()[0] or 0
-        return Vocabulary(words.where(F.col("n") >= F.lit(max(1.0, rate * total))).toPandas(), total)
-    finally:
-        words.unpersist()
+    words = map_batches(_texts(docs).select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.where(F.col("n") < F.lit(least)).agg(F.sum("n")).first()[0] or 0
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """Each word's place in its text, from 0."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def _pairs(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of words with a counted bigram before them, bigram and next word as one number)."""
-    if len(ids) < 2:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    begins = np.zeros(len(ids) + 1, bool)
-    begins[np.r_[0, np.cumsum(lengths)]] = True
-    at = 1 + np.flatnonzero(~begins[1:-1] & (ids[:-1] != NONE) & (ids[1:] != NONE))
-    after = np.where(begins[at + 1], NONE, np.r_[ids, np.uint32(NONE)][at + 1]).astype(np.uint64)
-    return at, ids[at - 1].astype(np.uint64) << np.uint64(2 * BITS) | ids[at].astype(np.uint64) << np.uint64(BITS) | after
+def _grams(hashes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places where an n-gram of one text ends, its hash)."""
+    ends = np.flatnonzero(place >= n - 1)
+    return ends, windows(hashes, n)[ends - (n - 1)]
 
 
-def _parts(grams: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(grams >> np.uint64(BITS)) % np.uint64(parts)).astype(np.int64)
+def _dealt(grams: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(partition, places in ``grams`` of what goes there, ascending by hash): each has a range of hashes."""
+    if not len(grams):
+        return []
+    order = np.argsort(grams, kind="stable")
+    part = ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return [(int(part[at[0]]), at) for at in np.split(order, np.flatnonzero(np.diff(part[order])) + 1)]
 
 
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of every n-gram that a slice sent to this partition: its bigram's and its trigram's count."""
-    found = [unplanes(x, np.uint64) for x in pdf["data"]]
-    grams = np.concatenate(found)
-    _, back, n = np.unique(grams, return_inverse=True, return_counts=True)
-    three = np.where(grams & np.uint64(NONE) == np.uint64(NONE), 0, n[back]).astype(np.uint32)
-    _, back, n = np.unique(grams >> np.uint64(BITS), return_inverse=True, return_counts=True)
-    two = n[back].astype(np.uint32)
-    ends = np.cumsum([len(x) for x in found]).tolist()
-    data = [planes(two[e - len(x) : e]) + planes(three[e - len(x) : e]) for x, e in zip(found, ends, strict=True)]
+    """Of every n-gram that a slice sent to this partition: its count in all slices."""
+    found = [unsqueezed(x) for x in pdf["data"]]
+    sizes = [len(x) for x, _ in found]
+    grams = np.concatenate([x for x, _ in found])
+    mine = np.concatenate([unplanes(x, np.uint32) for _, x in found])
+    del found
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+    sums = np.empty(len(order), np.int64)
+    sums[order] = np.repeat(np.add.reduceat(mine[order].astype(np.int64), first), np.diff(np.r_[first, len(order)]))
+    data = [zstandard.compress(planes(x), 1) for x in np.split(sums, np.cumsum(sizes)[:-1])]
     return pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "doc_ids": None, "lengths": None, "data": data})
 
 
-def _logs(ids: np.ndarray, lengths: np.ndarray, two: np.ndarray, three: np.ndarray, known: Vocabulary) -> np.ndarray:
-    """The logarithm of each word's score. two[i], three[i]: counts of the bigram that ends at i, of the trigram that it begins."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    own = known.count(ids).astype(float)
+def _logs(place: np.ndarray, counts: list[np.ndarray], total: int, least: float, rest: int) -> np.ndarray:
+    """The logarithm of each word's score. counts[n - 1][i]: the count of the n-gram that ends at i."""
+    own, two, three = counts
+    rare = own < least
+    two = np.where(rare | np.r_[True, rare[:-1]], 0, two)
+    three = np.where(rare | (np.r_[0, two[:-1]] == 0), 0, three)
+    own = np.where(rare, rest, own).astype(float)
     before = np.r_[1.0, own[:-1]]
     step = np.log(ALPHA)
-    out = np.log(own / max(1, known.total)) + np.minimum(place, 2) * step
+    out = np.log(own / max(1, total)) + np.minimum(place, 2) * step
     pair = (place >= 1) & (two >= MIN_COUNT)
     out[pair] = np.log(two[pair] / before[pair]) + (place[pair] >= 2) * step
-    context, triple = np.r_[0, two[:-1]], np.r_[0, three[:-1]]
-    full = (place >= 2) & (triple >= MIN_COUNT)
-    out[full] = np.log(triple[full] / context[full])
+    context = np.r_[0, two[:-1]]
+    full = (place >= 2) & (three >= MIN_COUNT)
+    out[full] = np.log(three[full] / context[full])
     return out
 
 
-def lm_scores(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def lm_scores(docs: DataFrame, rate: float = 0.0) -> DataFrame:
     """doc_id, n_words and log_score of every document."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocabulary(docs, rate))
-    parts = max(1, -(-shared.value.total // PARTITION_GRAMS))
+    total = _total(docs)
+    least = max(1.0, rate * total)
+    rest = _rest(docs, least) if rate > 0 else 0
+    parts = max(1, -(-2 * total // PARTITION_GRAMS))  # a word ends three n-grams at most; a slice sends what it repeats once
     schema = "slice long, part long, doc_ids array<long>, lengths array<long>, data binary"
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, SLICE_BYTES):
-                if part.num_rows:
-                    yield of(part)
-
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, doc_ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-        digest = xxhash.xxh3_64()  # names the slice by what it holds, so that a task that is run again names it alike
-        for d, b in zip(doc_ids, texts, strict=True):
-            digest.update(f"{d}:{len(b)}:".encode() + b)
-        name = digest.intdigest() - (1 << 63)
-        words = [b.split() for b in texts]
-        lengths = [len(x) for x in words]
-        ids = shared.value.ids(word_hashes([w for x in words for w in x]))
-        _, grams = _pairs(ids, np.array(lengths))
-        part = _parts(grams, parts)
-        rows = [(name, -1, doc_ids, lengths, planes(ids))]
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for at in np.split(order, cuts) if len(order) else []:
-            rows.append((name, int(part[at[0]]), None, None, planes(grams[at])))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def packed(of: Callable[[np.ndarray, np.ndarray, list], list[tuple]]) -> DataFrame:
+        """Rows (part, doc_ids, lengths, data) of ``of``, which gets a slice's word hashes, lengths and ids, with its name."""
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, doc_ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
+            digest = xxhash.xxh3_64()  # names the slice by what it holds, so that a task that is run again names it alike
+            for d, b in zip(doc_ids, texts, strict=True):
+                digest.update(f"{d}:{len(b)}:".encode() + b)
+            name = digest.intdigest() - (1 << 63)
+            words = [b.split() for b in texts]
+            lengths = np.array([len(x) for x in words], np.int64)
+            rows = [(name, *x) for x in of(word_hashes([w for x in words for w in x]), lengths, doc_ids)]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, SLICE_BYTES):
+                    if part.num_rows:
+                        yield work(part)
+            pa.default_memory_pool().release_unused()
+
+        return _texts(docs).mapInArrow(run, schema)
+
+    def asked(hashes: np.ndarray, lengths: np.ndarray, doc_ids: list) -> list[tuple]:
+        place = _places(lengths)
+        found = [np.unique(_grams(hashes, place, n)[1], return_counts=True) for n in ORDERS]
+        grams, n = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]).astype(np.uint32)
+        return [(p, None, None, squeezed(grams[at], n[at])) for p, at in _dealt(grams, parts)]
+
+    def held(hashes: np.ndarray, lengths: np.ndarray, doc_ids: list) -> list[tuple]:
+        words, ids, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # the most frequent words have the least ids, which zstandard shortens
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        return [(-1, doc_ids, lengths.tolist(), squeezed(words, n.astype(np.uint32), rank[ids]))]
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = shared.value
         own = pdf[pdf["part"] == -1]
         sent = {int(p): x for p, x in zip(pdf["part"], pdf["data"], strict=True) if p >= 0}
-        ids, lengths = unplanes(own["data"].iloc[0], np.uint32), np.array(own["lengths"].iloc[0], np.int64)
-        at, grams = _pairs(ids, lengths)
-        part = _parts(grams, parts)
-        two, three = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for p in np.unique(part).tolist():
-            mine = at[part == p]
-            data = sent[p]
-            two[mine], three[mine] = unplanes(data[: len(data) // 2], np.uint32), unplanes(data[len(data) // 2 :], np.uint32)
-        total = np.zeros(len(lengths))
-        if len(ids):
-            total[lengths > 0] = np.add.reduceat(_logs(ids, lengths, two, three, known), (np.cumsum(lengths) - lengths)[lengths > 0])
-        out = pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in own["doc_ids"].iloc[0]], "Int64"), "n_words": lengths, "log_score": total})
+        lengths, data = np.array(own["lengths"].iloc[0], np.int64), own["data"].iloc[0]
+        sums = np.zeros(len(lengths))
+        if lengths.any():
+            words, rest_of = unsqueezed(data)
+            n, ids = unplanes(rest_of[: 4 * len(words)], np.uint32), unplanes(rest_of[4 * len(words) :], np.uint32)
+            hashes, place = words[np.argsort(-n.astype(np.int64), kind="stable")][ids], _places(lengths)
+            found = []
+            for n in ORDERS:
+                ends, grams = _grams(hashes, place, n)
+                found.append((ends, *np.unique(grams, return_inverse=True)))
+            grams = np.concatenate([x for _, x, _ in found])
+            n = np.empty(len(grams), np.int64)
+            for p, at in _dealt(grams, parts):
+                n[at] = unplanes(zstandard.decompress(sent[p]), np.int64)
+            counts, at = [], 0
+            for ends, x, back in found:
+                counts.append(np.zeros(len(hashes), np.int64))
+                counts[-1][ends] = n[at : at + len(x)][back]
+                at += len(x)
+            sums[lengths > 0] = np.add.reduceat(_logs(place, counts, total, least, rest), (np.cumsum(lengths) - lengths)[lengths > 0])
+        out = pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in own["doc_ids"].iloc[0]], "Int64"), "n_words": lengths, "log_score": sums})
         return pd.concat([out] * len(own), ignore_index=True)  # a slice may come twice, rows and all
 
-    packed = _texts(docs).mapInArrow(explode, schema)
-    counts = packed.where("part >= 0").groupBy("part").applyInPandas(_counted, schema)
-    return packed.where("part = -1").unionByName(counts).groupBy("slice").applyInPandas(score, "doc_id long, n_words long, log_score double")
+    counts = packed(asked).groupBy("part").applyInPandas(_counted, schema)
+    return packed(held).unionByName(counts).groupBy("slice").applyInPandas(score, "doc_id long, n_words long, log_score double")
 
 
 #: The same scores, rounded as the query rounds them.

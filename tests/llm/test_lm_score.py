@@ -63,3 +63,11 @@ def test_planes(values):
 
     x = np.array(values, np.uint64)
     assert (unplanes(planes(x), np.uint64) == x).all()
+
+
+def test_rare_words_keep_their_own_counts(spark):
+    """Over a million words, one that occurs twice has a count of 2, and so have the n-grams that hold it."""
+    texts = ["common " * 1_100_000, "once upon", "rare pair here", "rare pair there"]
+    got = {r.doc_id: r.log_score for r in lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (_, x) in enumerate(brute(texts, 0.0)):
+        assert got[i] == pytest.approx(x, rel=1e-9)
