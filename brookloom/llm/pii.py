@@ -12,6 +12,9 @@ without fixed points, gives the surrogate; case, punctuation, spacing, lengths a
 and a name's last letter stays, which carry its gender; a card that passes the Luhn check is replaced by one that does,
 and one that fails by one that fails. An address of four octets is permuted as a 32-bit number.
 
+A name is detected behind a title; in the same text its bare repeats and those of its parts, in the same case, are
+replaced alike. A name that has a title nowhere in its text passes.
+
 Defined results: a null text stays null; overlapping finds go to the kind listed first; rows with an equal text are
 replaced alike; null and repeated ids are ordinary; columns other than ``text`` and ``n_chars`` pass unchanged; an
 empty table gives no rows.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -189,6 +193,23 @@ class Entity:
 _ANY = re.compile(rf"[0-9@]|\b(?:{TITLES})\b")
 
 
+def _repeats(text: str, found: list[Entity]) -> list[Entity]:
+    """Where names that have a title in the text, or parts of them, stand again without; initials count beside a part."""
+    words = {x for e in found if e.kind == "name" for x in re.split(r"[\s-]+", e.text)}
+    either = lambda some: "|".join(re.escape(x) for x in sorted(some, key=lambda x: (-len(x), x)))
+    parts, initials = either({x for x in words if len(x.rstrip(".")) > 1}), either({x for x in words if len(x) == 2 and x[1] == "."})
+    if not parts:
+        return []
+    first, more = (rf"(?:(?:{initials})[ \u00a0])*", rf"|{initials}") if initials else ("", "")
+    rx = re.compile(rf"(?<!\w){first}(?:{parts})(?!\w)(?:[ \u00a0-](?:(?:{parts})(?!\w){more}))*")
+    starts, out = [e.start for e in found], []
+    for m in rx.finditer(text):
+        k = bisect_right(starts, m.start())
+        if (not k or found[k - 1].end <= m.start()) and (k == len(found) or m.end() <= starts[k]):
+            out.append(Entity("name", *m.span(), m.group()))
+    return out
+
+
 def entities(text: str) -> list[Entity]:
     """The entities of a text, in order, none overlapping; offsets count code points."""
     if not _ANY.search(text):
@@ -199,9 +220,11 @@ def entities(text: str) -> list[Entity]:
             continue
         for m in rx.finditer(text):
             start, end = m.span(m.lastindex or 0)
+            end -= 2 * (kind == "name" and text[start:end].endswith(("'s", "’s")))
             if all(end <= e.start or e.end <= start for e in found):
                 found.append(Entity(kind, start, end, text[start:end]))
-    return sorted(found, key=lambda e: e.start)
+    found.sort(key=lambda e: e.start)
+    return sorted(found + _repeats(text, found), key=lambda e: e.start)
 
 
 def replaced(text: str, found: list[Entity], key: bytes) -> str:

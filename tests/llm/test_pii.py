@@ -89,3 +89,12 @@ def test_no_collisions_among_many(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert surrogate_collisions(docs).collect() == []
     assert all(r.n_entities == 5 for r in pii_surrogates(docs).collect())
+
+
+def test_bare_repeats_of_a_titled_name():
+    text = "Dr. Anna B. Schmidt came. Anna Schmidt sat; Schmidt's hat fell. B. Schmidt left, says Mr. Lee's aunt. Lee knows; Schmidtke and Leeds stay. B. too."
+    found = entities(text)
+    assert [e.text for e in found] == ["Anna B. Schmidt", "Anna Schmidt", "Schmidt", "B. Schmidt", "Lee", "Lee"]
+    assert [text[e.start : e.end] for e in found] == [e.text for e in found]
+    anna, b, schmidt = surrogate("name", found[0].text).split()
+    assert [surrogate("name", e.text) for e in found[1:4]] == [f"{anna} {schmidt}", schmidt, f"{b} {schmidt}"]
