@@ -13,27 +13,34 @@ group of 64 starts at bit j * width of that group's ``width`` words. The last bl
 Segments are rows of a Parquet table that Spark commits, so a lost task leaves no part of a file behind and any
 store that Spark reaches will do. Each row names its shard (a range of doc_id), its place there, and its documents.
 
-Defined results: a null or empty text has the end id alone; repeated ids each keep their rows, ordered by text;
-null ids come first; columns other than ``doc_id`` and ``text`` are ignored; no documents, no segments.
+Shards are ranges of (doc_id, hash of the text), so rows of one id, or without one, may lie in several.
+
+Defined results: a null or empty text has the end id alone; repeated ids each keep their rows, ordered by a hash of the
+text; null ids come first; columns other than ``doc_id`` and ``text`` are ignored; no documents, no segments.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brookloom.llm.common import as_bytes, shared_dir
+from brookloom.llm.common import shared_dir, slices
 
 BLOCK = 256
 SEGMENT = 1 << 16
+#: Bytes of text that are encoded at a time: more of them hold fewer distinct words each.
+SLICE_BYTES = 8 << 20
 END_ID = 2
 SEGMENT_SCHEMA = "shard int, place long, shard_start long, n_values long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -131,64 +138,160 @@ def block_ids(payload: bytes, at: int) -> np.ndarray:
     return decode_blocks(one)
 
 
+#: The parts of a tokenizer file that the encoding by words relies on; fixed values.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def splits_into_words(form: dict) -> bool:
+    """Whether a tokenizer file normalises and splits so that a text's ids are those of its words, one after another,
+    a word's last id ends it, and a word of letters is one piece before merges."""
+    model, rest = form["model"], [form.get(k) for k in ("truncation", "padding")]
+    return (
+        rest == [None, None]
+        and (form.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and (form.get("pre_tokenizer") or {}).get("pretokenizers") == SPLITTERS
+        and model["type"] == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        and not any(set(t["content"]) & set(" \t\n\v\f\r") or not set(t["content"]) - set(WordEncoder.MARKS + LETTERS) for t in form["added_tokens"])
+    )
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level splitting writes for each byte; line ends stay, as they part words here."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    out = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    del out[ord("\n")]
+    return out
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start[i] : start[i] + size[i]] of all i, one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class WordEncoder:
     """Whole-text encoding by way of the distinct words of a batch.
 
     The tokenizer's splitting never crosses white space, so a text's ids are its words' ids in order; nor does it
     join a letter and the marks after it, so a word's ids are those of its letters, then those of its last marks.
-    Words of letters alone are one piece each and are encoded together, a line each: a piece's last id ends a word.
-    Words are kept with their ids as bytes; the store starts anew beyond ``most`` words, so its size is bounded.
+    Lower-case words of letters in a few blocks of Unicode are encoded together by the file's own merges, without the
+    normalising that leaves them as they are; all others one by one by the file as it stands. Each word is a span of
+    one array of ids, which starts anew beyond ``most`` words, so its size is bounded.
+
+    A file of another form (``splits_into_words``) encodes each whole text as it stands.
     """
 
-    MARKS = b".,!?;:*#%&$|"
+    MARKS = ".,!?;:*#%&$|"
+    #: Letters that lower-casing has been applied to and that no normaliser changes.
+    PLAIN = "^[a-zà-öø-ÿā-ľł-ňŋ-žа-џ]+$"
 
     def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-
-    def _put(self, words: list[bytes]) -> None:
-        """Encode each word by itself."""
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        ends = {}
-        for w in words:
-            core = w.rstrip(self.MARKS)
-            if core and core != w and (t := core.decode()[-1]).isalpha() and t.lower().isalpha():
-                ends[w] = core
-        new = {ends.get(w, w) for w in words} | {w[len(c) :] for w, c in ends.items()}
-        new = [w for w in new if w not in self.known]
-        lines = [w for w in new if (t := w.decode()).isalpha() and t.lower().isalpha()]
-        one = set(lines)
-        self._put([w for w in new if w not in one])
-        if lines:
-            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(lines).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stop = np.flatnonzero(self.last[ids]) + 1
-            if len(stop) == len(lines):
-                raw, at = ids.tobytes(), [0, *(4 * stop).tolist()]
-                self.known.update((w, raw[at[i] : at[i + 1]]) for i, w in enumerate(lines))
-            else:  # a letter of another Unicode version than this Python's
-                self._put(lines)
-        self.known.update((w, self.known[c] + self.known[w[len(c) :]]) for w, c in ends.items())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian u32 ids of each text, the end id last."""
-        end = np.array([END_ID], "<u4").tobytes()
-        split = [b.split() for b in texts]
-        distinct = set().union(*split)
-        new = distinct.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self.known, new = {}, distinct
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.by_word = splits_into_words(form)
+        if self.by_word:
+            model = form["model"]
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+            self.merging = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+            self.merging.pre_tokenizer = WhitespaceSplit()
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
+            self.characters = _byte_characters()
+        self.forget()
+
+    def forget(self) -> None:
+        """Rows 0 and 1 are the end of a document and the empty word."""
+        self.known: dict[bytes, int] = {b"": 1}
+        self.ids, self.start, self.size = np.array([END_ID], np.uint32), np.array([0, 1]), np.array([1, 0])
+
+    def _add(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Rows of new spans."""
+        first = len(self.start)
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.ids = np.r_[self.ids, ids.astype(np.uint32)]
+        return np.arange(first, len(self.start))
+
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _cores(self, cores: pa.Array) -> np.ndarray:
+        """Rows of distinct words of plain letters."""
+        names = cores.cast(pa.binary()).to_pylist()
+        rows = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            lines = b"\n".join(names[i] for i in new.tolist()).decode("latin-1").translate(self.characters)
+            ids = np.array(self.merging.encode_batch_fast([lines], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the tokenizer's words don't end where its suffix says")
+            rows[new] = self._add(ids, np.diff(np.r_[0, ends]))
+            self.known.update(zip((names[i] for i in new.tolist()), rows[new].tolist(), strict=True))
+        return rows
+
+    def learn(self, words: pa.Array) -> np.ndarray:
+        """Rows of distinct words that aren't known."""
+        low = pc.utf8_lower(words)
+        core = pc.ascii_rtrim(low, characters=self.MARKS)
+        plain = pc.and_not(pc.match_substring_regex(core, self.PLAIN), pc.match_substring(words, "İ")).to_numpy(zero_copy_only=False)
+        rows = np.empty(len(words), np.int64)
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            rows[odd] = self._add(*self._one_by_one(words.take(pa.array(odd)).to_pylist()))
+        held = core.filter(pa.array(plain)).dictionary_encode()
+        rows[plain] = self._cores(held.dictionary)[held.indices.to_numpy()] if len(held) else 0
+        n_marks = (pc.binary_length(low).to_numpy() - pc.binary_length(core).to_numpy()) * plain
+        marked = np.flatnonzero(n_marks)
+        if len(marked):
+            ends = [w[-k:] for w, k in zip(low.take(pa.array(marked)).to_pylist(), n_marks[marked].tolist(), strict=True)]
+            kinds = sorted(set(ends))
+            row_of = dict(zip(kinds, self._add(*self._one_by_one(kinds)).tolist(), strict=True))
+            pairs = np.stack([rows[marked], np.array([row_of[x] for x in ends])], axis=1).ravel()
+            size = self.size[pairs]
+            rows[marked] = self._add(_gather(self.ids, self.start[pairs], size), size.reshape(-1, 2).sum(axis=1))
+        self.known.update(zip(words.cast(pa.binary()).to_pylist(), rows.tolist(), strict=True))
+        return rows
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id last; how many each has)."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            ids, size = self._one_by_one(texts.to_pylist())
+            return np.insert(ids, np.cumsum(size), np.uint32(END_ID)), size + 1
+        split = pc.ascii_split_whitespace(texts)
+        held = split.flatten().dictionary_encode()
+        words = held.dictionary.cast(pa.binary()).to_pylist()
+        rows = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(self.known) + len(new) > self.most:
+            self.forget()
+            new = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)))
+            rows[:] = 1
+        if len(new):
+            rows[new] = self.learn(held.dictionary.take(pa.array(new)))
+        last = split.offsets.to_numpy()[1:]
+        row = np.insert(rows[held.indices.to_numpy()], last, 0)
+        size = self.size[row]
+        ends = np.cumsum(size)[last + np.arange(len(last))] if len(last) else np.empty(0, np.int64)
+        return _gather(self.ids, self.start[row], size), np.diff(np.r_[0, ends])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -210,40 +313,44 @@ def _default_tokenizer() -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, percentile: float = 0.97) -> None:
     """Encode and write all documents' ids to ``path`` in ascending doc_id order.
 
-    ``tokenizer``: a file that every executor has; by default that of the installed package. Each shard is one
+    ``tokenizer``: a file that every executor has, of any form; by default that of the installed package. Each shard is one
     range of ids, streamed through one task that holds a segment at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer or _default_tokenizer()).encode
         shard, place, shard_start = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray]] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
             nonlocal place, shard_start, size, held
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            row = (shard, place, shard_start, len(ids), [d for d, _ in held], [len(x) // 4 for _, x in held], encode_blocks(ids, percentile))
+            ids = np.concatenate([x for _, x in held])
+            row = (shard, place, shard_start, len(ids), [d for d, _ in held], [len(x) for _, x in held], encode_blocks(ids, percentile))
             place, shard_start, size, held = place + 1, shard_start + len(ids), 0, []
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             names = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for d, ids in zip(part.column("doc_id").to_pylist(), encode(as_bytes(part.column("text"))), strict=True):
-                    held.append((d, ids))
-                    size += len(ids) // 4
+            for part in slices(batch, SLICE_BYTES):
+                ids, lengths = encode(part.column("text"))
+                cuts = np.cumsum(lengths)[:-1]
+                for d, own in zip(part.column("doc_id").to_pylist(), np.split(ids, cuts) if len(lengths) else [], strict=True):
+                    held.append((d, own))
+                    size += len(own)
                     if size >= SEGMENT:
                         yield segment()
         if held:
             yield segment()
+        pa.default_memory_pool().release_unused()
 
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("order", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "order", F.spark_partition_id())
+        .sortWithinPartitions("doc_id", "order", "text")
+        .select("doc_id", "text")
         .mapInArrow(run, SEGMENT_SCHEMA)
         .write.parquet(path)
     )

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -33,7 +35,8 @@ def test_small_values_take_few_bits():
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab'sé  ́ \x1c\n\tΣ<|>")), max_size=60))
 def test_words_encode_as_the_whole_text(text):
     want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(ENCODER.encode([text.encode()])[0], "<u4").tolist() == [*want, 2]
+    ids, size = ENCODER.encode(pa.array([text, None, text]))
+    assert ids.tolist() == [*want, 2, 2, *want, 2] and size.tolist() == [len(want) + 1, 1, len(want) + 1]
 
 
 ENCODER = WordEncoder(PATH)
@@ -42,8 +45,30 @@ ENCODER = WordEncoder(PATH)
 def test_special_strings_and_full_store():
     small = WordEncoder(PATH, most=3)
     tok = Tokenizer.from_file(PATH)
-    for t in ["a<|endoftext|>b <|startoftext|> c", "one two three four five six one two", "six seven one"]:
-        assert np.frombuffer(small.encode([t.encode()])[0], "<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
+    for t in ["a<|endoftext|>b <|startoftext|> c", " one two three four five six one two", "six seven one", "Straße ÉTÉ été. Œuvre İstanbul ŉa Ἀθήνα ДОМ дом!? K Å ǆ ſ"]:
+        assert small.encode(pa.array([t]))[0].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_every_letter_of_the_plain_blocks():
+    """Words of two letters, in either case, before and after marks."""
+    tok = Tokenizer.from_file(PATH)
+    letters = [chr(c) for lo, hi in ((0x41, 0x5B), (0xC0, 0x180), (0x400, 0x460)) for c in range(lo, hi)]
+    text = " ".join(x + y + z for x in letters for y, z in (("e", ""), ("E", ".,"), ("", "|;|")))
+    assert ENCODER.encode(pa.array([text]))[0].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_files_of_another_form_encode_whole_texts(tmp_path):
+    other = public_tokenizers.path("word_bpe_49k.json")
+    form = json.loads(open(other, encoding="utf-8").read())
+    form["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(form), encoding="utf-8")
+    tok, own = Tokenizer.from_file(str(path)), WordEncoder(str(path))
+    assert not own.by_word
+    texts = ["Hello  wide world.", "", "a b"]
+    ids, size = own.encode(pa.array([*texts, None]))
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, ""]]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(x) for x in want]
 
 
 def test_files_hold_every_document(spark, tmp_path):
