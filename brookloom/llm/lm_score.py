@@ -1,23 +1,24 @@
-"""Stupid-backoff scores of documents under word n-gram counts of the whole corpus.
+"""Stupid-backoff scores of documents under the word n-gram counts of all other documents.
 
-The score of a word is its trigram's count over its context's, if the trigram occurs ``MIN_COUNT`` times or more: what
-occurs once is the document's own. Else it is ALPHA times the bigram's count over its context's, else ALPHA squared
-times the word's count over that of all words. At a text's start fewer orders are tried. A document's score is the sum
-of the words' logarithms.
+Every 1-, 2- and 3-gram of every document is counted, however rare. A document is scored as one that the model has not
+seen: what it holds itself is taken off the counts, else each n-gram of a text that stands alone would be found in it.
+The score of a word is its trigram's count over its context's, if any other document holds the trigram. Else it is ALPHA
+times the bigram's count over its context's, else ALPHA squared times the word's count, one at least, over that of all
+words. At a text's start fewer orders are tried. A document's score is the sum of the words' logarithms.
 
 1. Each slice of documents counts its own 1-, 2- and 3-grams, which travel as 64-bit hashes with their counts, dealt by
    hash: an n-gram comes once from a slice, however often it stands there. No word is left out.
 2. A partition sums the counts of each n-gram and sends the sums back to the slices that asked.
-3. The slice joins them to its words by place and sums per document.
+3. The slice joins them to its words by place, takes off each document's own, and sums per document.
 
 N-grams travel as packed arrays, one row for each slice and partition. No row holds more than a slice's or a
-partition's n-grams, and no word or n-gram binds more rows to one partition than there are slices.
+partition's n-grams, and no word or n-gram binds more rows to one partition than there are slices. Rows are slices times
+partitions, so both sizes are arguments: 64 MB and 16 million n-grams keep some 30 n-grams a row at 100 TB, in tasks of
+4 GB; the defaults suit tasks of 1 GB and up to some TB.
 
-With a ``rate``, words below that share of all words are one unknown word, which no counted bigram or trigram holds:
-that is what ORACLE_SQL states at 1e-6. Up to a million words nothing is below it, and the forms agree without.
-
-Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Defined results: a null or wordless text has 0 words and score 0;
-repeated rows count and are scored each; null ids are ordinary; other columns are ignored; an empty table gives no rows.
+Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Defined results: a null or wordless text has 0 words and scores 0;
+repeated rows are documents of their own, each scored with the others counted; null ids are ordinary; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from brookloom.llm.common import as_bytes, map_batches, slices, windows, word_hashes
 
 ALPHA = 0.4
-MIN_COUNT = 2
 ORDERS = (1, 2, 3)
 SLICE_BYTES = 8 << 20
 #: N-grams that a partition counts at a time, on average.
@@ -78,17 +78,6 @@ def _total(docs: DataFrame) -> int:
     return map_batches(_texts(docs).select("text"), count, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def _rest(docs: DataFrame, least: float) -> int:
-    """How many words are of a kind that has fewer than ``least``."""
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word, n = np.unique(word_hashes([w for b in as_bytes(batch.column("text")) for w in b.split()]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    words = map_batches(_texts(docs).select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return words.where(F.col("n") < F.lit(least)).agg(F.sum("n")).first()[0] or 0
-
-
 def _places(lengths: np.ndarray) -> np.ndarray:
     """Each word's place in its text, from 0."""
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -125,30 +114,29 @@ def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": pdf["slice"], "part": pdf["part"], "doc_ids": None, "lengths": None, "data": data})
 
 
-def _logs(place: np.ndarray, counts: list[np.ndarray], total: int, least: float, rest: int) -> np.ndarray:
-    """The logarithm of each word's score. counts[n - 1][i]: the count of the n-gram that ends at i."""
-    own, two, three = counts
-    rare = own < least
-    two = np.where(rare | np.r_[True, rare[:-1]], 0, two)
-    three = np.where(rare | (np.r_[0, two[:-1]] == 0), 0, three)
-    own = np.where(rare, rest, own).astype(float)
-    before = np.r_[1.0, own[:-1]]
+def _own(back: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
+    """How often the document of each n-gram, one of ``kinds``, holds it."""
+    _, at, n = np.unique(doc * kinds + back, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _logs(place: np.ndarray, counts: list[np.ndarray], others: np.ndarray) -> np.ndarray:
+    """The logarithm of each word's score. counts[n - 1][i]: of the n-gram that ends at i, in other documents; others[i]:
+    how many words those have."""
+    one, two, three = counts
     step = np.log(ALPHA)
-    out = np.log(own / max(1, total)) + np.minimum(place, 2) * step
-    pair = (place >= 1) & (two >= MIN_COUNT)
+    out = np.log(np.maximum(one, 1) / np.maximum(others, 1)) + np.minimum(place, 2) * step
+    pair, full = (place >= 1) & (two > 0), (place >= 2) & (three > 0)
+    before, context = np.r_[0, one[:-1]], np.r_[0, two[:-1]]
     out[pair] = np.log(two[pair] / before[pair]) + (place[pair] >= 2) * step
-    context = np.r_[0, two[:-1]]
-    full = (place >= 2) & (three >= MIN_COUNT)
     out[full] = np.log(three[full] / context[full])
     return out
 
 
-def lm_scores(docs: DataFrame, rate: float = 0.0) -> DataFrame:
-    """doc_id, n_words and log_score of every document."""
+def lm_scores(docs: DataFrame, slice_bytes: int = SLICE_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+    """doc_id, n_words, log_score and mean_log_score, its share of one word, of every document."""
     total = _total(docs)
-    least = max(1.0, rate * total)
-    rest = _rest(docs, least) if rate > 0 else 0
-    parts = max(1, -(-2 * total // PARTITION_GRAMS))  # a word ends three n-grams at most; a slice sends what it repeats once
+    parts = max(1, -(-2 * total // partition_grams))  # a word ends three n-grams at most; a slice sends what it repeats once
     schema = "slice long, part long, doc_ids array<long>, lengths array<long>, data binary"
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     names = [x.split()[0] for x in schema.split(", ")]
@@ -169,7 +157,7 @@ def lm_scores(docs: DataFrame, rate: float = 0.0) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in slices(batch, SLICE_BYTES):
+                for part in slices(batch, slice_bytes):
                     if part.num_rows:
                         yield work(part)
             pa.default_memory_pool().release_unused()
@@ -206,41 +194,40 @@ def lm_scores(docs: DataFrame, rate: float = 0.0) -> DataFrame:
             n = np.empty(len(grams), np.int64)
             for p, at in _dealt(grams, parts):
                 n[at] = unplanes(zstandard.decompress(sent[p]), np.int64)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
             counts, at = [], 0
             for ends, x, back in found:
                 counts.append(np.zeros(len(hashes), np.int64))
-                counts[-1][ends] = n[at : at + len(x)][back]
+                counts[-1][ends] = n[at : at + len(x)][back] - _own(back, doc[ends], len(x))
                 at += len(x)
-            sums[lengths > 0] = np.add.reduceat(_logs(place, counts, total, least, rest), (np.cumsum(lengths) - lengths)[lengths > 0])
-        out = pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in own["doc_ids"].iloc[0]], "Int64"), "n_words": lengths, "log_score": sums})
+            logs = _logs(place, counts, total - np.repeat(lengths, lengths))
+            sums[lengths > 0] = np.add.reduceat(logs, (np.cumsum(lengths) - lengths)[lengths > 0])
+        out = pd.DataFrame({"doc_id": pd.array([None if d is None or d != d else int(d) for d in own["doc_ids"].iloc[0]], "Int64"), "n_words": lengths, "log_score": sums, "mean_log_score": sums / np.maximum(lengths, 1)})
         return pd.concat([out] * len(own), ignore_index=True)  # a slice may come twice, rows and all
 
     counts = packed(asked).groupBy("part").applyInPandas(_counted, schema)
-    return packed(held).unionByName(counts).groupBy("slice").applyInPandas(score, "doc_id long, n_words long, log_score double")
+    return packed(held).unionByName(counts).groupBy("slice").applyInPandas(score, "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 #: The same scores, rounded as the query rounds them.
 ORACLE_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-tokens AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+tokens AS (SELECT r, len(ws) AS n_words, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
 total AS (SELECT count(*) AS n FROM tokens),
-words AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
-vocab AS (SELECT words.w, words.n FROM words, total WHERE words.n >= greatest(1.0, 1e-6 * total.n)),
-rest AS (SELECT (SELECT n FROM total) - coalesce(sum(n), 0) AS n FROM vocab),
-own AS (SELECT r, i, vocab.w AS w, coalesce(vocab.n, rest.n) AS n FROM tokens CROSS JOIN rest LEFT JOIN vocab ON tokens.w = vocab.w),
-seen AS (
-  SELECT r, i, w, n, lag(w) OVER o AS w1, lag(n) OVER o AS n1, lag(w, 2) OVER o AS w2 FROM own WINDOW o AS (PARTITION BY r ORDER BY i)),
-two AS (SELECT w1, w, count(*) AS n FROM seen WHERE w1 IS NOT NULL AND w IS NOT NULL GROUP BY w1, w),
-three AS (SELECT w2, w1, w, count(*) AS n FROM seen WHERE w2 IS NOT NULL AND w1 IS NOT NULL AND w IS NOT NULL GROUP BY w2, w1, w),
+grams AS (SELECT r, n_words, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM tokens WINDOW o AS (PARTITION BY r ORDER BY i)),
+counted AS (
+  SELECT r, n_words, i,
+    count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY w, r) AS one,
+    CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY w1, w) - count(*) OVER (PARTITION BY w1, w, r) ELSE 0 END AS two,
+    CASE WHEN i >= 3 THEN count(*) OVER (PARTITION BY w2, w1, w) - count(*) OVER (PARTITION BY w2, w1, w, r) ELSE 0 END AS three
+  FROM grams),
+seen AS (SELECT *, lag(one) OVER o AS one_before, lag(two) OVER o AS two_before FROM counted WINDOW o AS (PARTITION BY r ORDER BY i)),
 scored AS (
-  SELECT s.r, CASE
-    WHEN t.n >= 2 THEN ln(t.n::DOUBLE / c.n)
-    WHEN b.n >= 2 THEN ln(b.n::DOUBLE / s.n1) + (CASE WHEN s.i > 2 THEN ln(0.4) ELSE 0 END)
-    ELSE ln(s.n::DOUBLE / total.n) + least(s.i - 1, 2) * ln(0.4) END AS x
-  FROM seen s CROSS JOIN total
-  LEFT JOIN two b ON s.w1 = b.w1 AND s.w = b.w
-  LEFT JOIN two c ON s.w2 = c.w1 AND s.w1 = c.w
-  LEFT JOIN three t ON s.w2 = t.w2 AND s.w1 = t.w1 AND s.w = t.w)
-SELECT docs.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 6) AS log_score
+  SELECT r, CASE
+    WHEN three > 0 THEN ln(three::DOUBLE / two_before)
+    WHEN two > 0 THEN ln(two::DOUBLE / one_before) + (CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END)
+    ELSE ln(greatest(one, 1)::DOUBLE / greatest(total.n - n_words, 1)) + least(i - 1, 2) * ln(0.4) END AS x
+  FROM seen, total)
+SELECT docs.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(x, 0), 6) AS log_score, round(coalesce(x, 0) / greatest(len(ws), 1), 6) AS mean_log_score
 FROM docs LEFT JOIN (SELECT r, sum(x) AS x FROM scored GROUP BY r) AS sums ON docs.r = sums.r
 """

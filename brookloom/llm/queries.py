@@ -27,7 +27,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 6))
+    scored = lm_scores(read_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,29 +8,26 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brookloom.llm import lm_score
 from brookloom.llm.lm_score import lm_scores, planes, unplanes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute(texts: list[str | None], rate: float) -> list[tuple[int, float]]:
+def brute(texts: list[str | None]) -> list[tuple[int, float]]:
     docs = [WORD.findall(t or "") for t in texts]
-    c1 = Counter(w for d in docs for w in d)
-    total = sum(c1.values())
-    known = {w for w, n in c1.items() if n >= max(1.0, rate * total)}
-    rest = total - sum(c1[w] for w in known)
-    grams = Counter(tuple(d[i : i + n]) for d in docs for n in (2, 3) for i in range(len(d) - n + 1) if known.issuperset(d[i : i + n]))
-    out = []
+    count = lambda some: Counter(tuple(d[i : i + n]) for d in some for n in (1, 2, 3) for i in range(len(d) - n + 1))
+    every, total, out = count(docs), sum(map(len, docs)), []
     for d in docs:
+        own = count([d])
+        held = lambda *g: every[g] - own[g]
         x = 0.0
         for i, w in enumerate(d):
-            if i >= 2 and grams[tuple(d[i - 2 : i + 1])] >= 2:
-                x += math.log(grams[tuple(d[i - 2 : i + 1])] / grams[tuple(d[i - 2 : i])])
-            elif i >= 1 and grams[tuple(d[i - 1 : i + 1])] >= 2:
-                x += math.log(grams[tuple(d[i - 1 : i + 1])] / c1[d[i - 1]]) + (i >= 2) * math.log(0.4)
+            if i >= 2 and held(*d[i - 2 : i + 1]):
+                x += math.log(held(*d[i - 2 : i + 1]) / held(*d[i - 2 : i]))
+            elif i >= 1 and held(*d[i - 1 : i + 1]):
+                x += math.log(held(*d[i - 1 : i + 1]) / held(d[i - 1])) + (i >= 2) * math.log(0.4)
             else:
-                x += math.log((c1[w] if w in known else rest) / total) + min(i, 2) * math.log(0.4)
+                x += math.log(max(1, held(w)) / max(1, total - len(d))) + min(i, 2) * math.log(0.4)
         out.append((len(d), x))
     return out
 
@@ -38,20 +35,18 @@ def brute(texts: list[str | None], rate: float) -> list[tuple[int, float]]:
 TEXTS = ["a b c a b c a b d", "a b c", None, "", " \n", "zz", "a b c d e a b c d e", "the a b c " * 50, "a b c", "q r s t u v w x y z a b"]
 
 
-@pytest.mark.parametrize(("rate", "size", "grams"), [(1e-6, 1 << 20, 10**6), (0.02, 40, 7)])
-def test_scores_match_brute_force(spark, monkeypatch, rate, size, grams):
-    monkeypatch.setattr(lm_score, "SLICE_BYTES", size)
-    monkeypatch.setattr(lm_score, "PARTITION_GRAMS", grams)
+@pytest.mark.parametrize(("size", "grams"), [(1 << 20, 10**6), (40, 7)])
+def test_scores_match_brute_force(spark, size, grams):
     docs = spark.createDataFrame([(i if i else None, t, "x", 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, word string, n int").repartition(3)
-    got = {r.doc_id or 0: (r.n_words, r.log_score) for r in lm_scores(docs, rate).collect()}
-    for i, (n, x) in enumerate(brute(TEXTS, rate)):
-        assert got[i][0] == n and got[i][1] == pytest.approx(x, abs=1e-9)
+    got = {r.doc_id or 0: r for r in lm_scores(docs, size, grams).collect()}
+    for i, (n, x) in enumerate(brute(TEXTS)):
+        assert got[i].n_words == n and got[i].log_score == pytest.approx(x, abs=1e-9) and got[i].mean_log_score == pytest.approx(x / max(1, n))
 
 
 def test_repeated_slices_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c")] * 4, "doc_id long, text string").repartition(4)
     got = lm_scores(docs).collect()
-    want = brute(["a b c"] * 4, 1e-6)[0]
+    want = brute(["a b c"] * 4)[0]
     assert len(got) == 4 and all((r.n_words, r.log_score) == (want[0], pytest.approx(want[1])) for r in got)
     assert lm_scores(docs.limit(0)).collect() == []
 
@@ -66,8 +61,19 @@ def test_planes(values):
 
 
 def test_rare_words_keep_their_own_counts(spark):
-    """Over a million words, one that occurs twice has a count of 2, and so have the n-grams that hold it."""
+    """Among over a million words, one that occurs twice counts once for each other document, and so do its n-grams."""
     texts = ["common " * 1_100_000, "once upon", "rare pair here", "rare pair there"]
     got = {r.doc_id: r.log_score for r in lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i, (_, x) in enumerate(brute(texts, 0.0)):
+    for i, (_, x) in enumerate(brute(texts)):
         assert got[i] == pytest.approx(x, rel=1e-9)
+
+
+def test_copies_score_above_single_texts(spark):
+    """Of texts of the same words, those that another document repeats score best."""
+    from random import Random
+
+    draw = Random(5)
+    texts = [" ".join(draw.choices([f"w{i}" for i in range(50)], k=30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
+    got = {r.doc_id: r.mean_log_score for r in lm_scores(docs).collect()}
+    assert min(got[i] for i in (*range(10), *range(60, 70))) > max(got[i] for i in range(10, 60))
