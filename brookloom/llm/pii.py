@@ -1,19 +1,24 @@
-"""Surrogates for personal data: detected entities get keyed replacements of their own type, script and format.
+"""Surrogates for personal data: detected entities get keyed replacements of their own type, gender, script and format.
 
-Each kind has a pattern. An entity's changeable characters, digits and letters, form a number in mixed radix: a digit
-has radix 10, a vowel or consonant that of its script's vowels or consonants. A keyed permutation of all such numbers,
-without fixed points, gives the surrogate; case, punctuation, spacing, lengths and scripts stay. So by construction
+An entity is what its canonical form says: case, composed or decomposed accents, the spacing of numbers and leading
+zeros of addresses don't count, so "John Smith" and "JOHN SMITH" are one. Each kind maps canonical forms one to one by a
+keyed permutation without fixed points, and the surrogate is written in the case and format of the text it replaces:
 
-* an entity has one surrogate wherever it stands, and a name's or host's part is replaced alike inside longer ones;
-* two entities never share a surrogate: those of one shape are permuted, those of different shapes keep them;
-* a surrogate never is the entity it replaces.
+* names go part by part. A given name of a list becomes another of its list, which has one script and gender; so do
+  family names; any other part has its letters permuted, vowels and consonants each among themselves, its last letter
+  kept, as that often carries the gender, until no list holds the result;
+* phone numbers, cards and bank accounts permute their digits. A country code stays, and a card or account that passes
+  its check is replaced by one that passes, one that fails by one that fails;
+* addresses of four octets permute within their kind: each private range, loopback, link-local, or public;
+* of e-mail addresses the local part and every label of the host but the last are permuted.
 
-``surrogate_collisions`` states the second property as a query over all entities of a corpus. Titles stay before names
-and a name's last letter stays, which carry its gender; a card that passes the Luhn check is replaced by one that does,
-and one that fails by one that fails. An address of four octets is permuted as a 32-bit number.
+So by construction an entity has one surrogate wherever and however it is written, a name's or host's part is replaced
+alike inside longer ones, and no two entities share a surrogate. ``surrogate_collisions`` checks all of that over the
+entities of a corpus; the query and the pipeline run it and fail if it finds any. A surrogate may equal an entity that
+some other text holds, as it must where a kind has few forms; ``surrogates_in_use`` lists those.
 
-A name is detected behind a title; in the same text its bare repeats and those of its parts, in the same case, are
-replaced alike. A name that has a title nowhere in its text passes.
+A name is detected behind a title, or where a given name of a list stands before a capitalised word. In the same text
+its bare repeats and those of its parts, as written or all in capitals, are replaced alike. Other names pass.
 
 Defined results: a null text stays null; overlapping finds go to the kind listed first; rows with an equal text are
 replaced alike; null and repeated ids are ordinary; columns other than ``text`` and ``n_chars`` pass unchanged; an
@@ -24,19 +29,48 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookloom.llm.common import map_batches
 
-#: Keeps tests and examples reproducible; a real run passes its own secret.
-DEFAULT_KEY = b"not a secret"
+#: The setting that holds the key, in hexadecimal digits. Without it each session draws its own.
+KEY_SETTING = "spark.brookloom.pii.key"
+_DRAWN: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING, else a secret of this session that is written nowhere: its surrogates can't be undone,
+    nor be repeated by another session."""
+    held = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(held) if held else _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+#: Given names by script and gender, and family names by script. No name is in two lists.
+GIVEN = {
+    "latin male": "james john robert michael william david richard joseph thomas charles daniel matthew anthony steven andrew peter paul kevin brian george edward henry hans klaus jürgen wolfgang stefan dieter pierre jacques antoine olivier laurent étienne josé carlos miguel javier alejandro pablo",
+    "latin female": "mary jane patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy margaret sandra emily donna michelle carol amanda rebecca laura helen anna maria ursula sabine heike birgit monika petra isabelle nathalie sylvie céline camille carmen lucía pilar elena beatriz",
+    "cyrillic male": "иван пётр алексей дмитрий сергей николай андрей михаил владимир александр",
+    "cyrillic female": "анна мария ольга елена наталья татьяна светлана ирина екатерина людмила",
+    "greek male": "γιώργος νίκος δημήτρης κώστας γιάννης παναγιώτης",
+    "greek female": "ελένη κατερίνα σοφία δήμητρα βασιλική αγγελική",
+}
+FAMILY = {
+    "latin": "smith johnson williams brown jones miller davis wilson anderson taylor moore jackson thompson white harris clark lewis robinson walker hall doe müller schmidt schneider fischer weber meyer wagner becker hoffmann schulz dubois moreau lefèvre fournier girard garcía martínez lópez sánchez gonzález pérez",
+    "cyrillic": "иванов петров сидоров кузнецов смирнов попов волков соколов",
+    "cyrillic female": "иванова петрова сидорова кузнецова смирнова попова волкова соколова",
+    "greek": "παπαδόπουλος οικονόμου νικολάου γεωργίου δημητρίου ιωάννου",
+}
+_LISTS = {f"given {k}": v.split() for k, v in GIVEN.items()} | {f"family {k}": v.split() for k, v in FAMILY.items()}
+_LISTED = {name: (k, i) for k, names in _LISTS.items() for i, name in enumerate(names)}
+_GIVEN = frozenset(name for name, (k, _) in _LISTED.items() if k.startswith("given"))
 
 _EDGE, _END = r"(?<![\w@.+-])", r"(?![\w@])"
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -47,7 +81,7 @@ TITLES = f"{_FEMALE}|{_MALE}|Dr|Prof"
 PATTERNS = {
     "email": (re.compile(rf"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}}(?![\w-])", re.A), ("@",)),
     "iban": (re.compile(rf"{_EDGE}[A-Z]{{2}}\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}", re.A), ()),
-    "phone": (re.compile(rf"(?<![\w.+-])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[.-]\d{{3}}[.-]\d{{4}})(?![\w.-]?\d|\w)", re.A), ()),
+    "phone": (re.compile(rf"(?<![\w.+-])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}})(?![\w.-]?\d|\w)", re.A), ()),
     "card": (re.compile(r"(?<![\w.+-])(?:\d{4}[ -]?){3}\d{4}(?![\w-]|\.\d)|(?<![\w.+-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\w-]|\.\d)", re.A), ()),
     "ssn": (re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])", re.A), ("-",)),
     "ip": (re.compile(r"(?<![\w.+-])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w-]|\.\d)", re.A), (".",)),
@@ -116,7 +150,7 @@ class Permutation:
 
 
 def permuted(text: str, key: bytes, label: str, fixed: int = 0) -> str:
-    """``text`` with its digits and known letters permuted, the last ``fixed`` characters staying."""
+    """``text`` with its digits and letters permuted, whatever their case, the last ``fixed`` characters staying."""
     plain = unicodedata.normalize("NFC", text)
     body, tail = (plain[:-fixed], plain[-fixed:]) if fixed else (plain, "")
     groups, value, size = [], 0, 1
@@ -125,8 +159,8 @@ def permuted(text: str, key: bytes, label: str, fixed: int = 0) -> str:
         groups.append(g)
         if g:
             value, size = value * len(g) + g.index(c.lower()), size * len(g)
-    shape = "".join(("U" if c.isupper() else "l") + g[0] if g else c for c, g in zip(body, groups, strict=True))
-    value, out = Permutation(key, f"{label}/{shape}/{tail}", size)(value), []
+    shape = "".join(g[0] if g else c.lower() for c, g in zip(body, groups, strict=True))
+    value, out = Permutation(key, f"{label}/{shape}/{tail.lower()}", size)(value), []
     for c, g in zip(reversed(body), reversed(groups), strict=True):
         if g:
             value, k = divmod(value, len(g))
@@ -135,6 +169,12 @@ def permuted(text: str, key: bytes, label: str, fixed: int = 0) -> str:
     return "".join(reversed(out)) + tail
 
 
+def _laid_out(characters: str, text: str) -> str:
+    """``characters`` in place of the letters and digits of ``text``."""
+    it = iter(characters)
+    return "".join(next(it) if c.isalnum() else c for c in text)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -143,43 +183,99 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _card(text: str, key: bytes) -> str:
+def _digits(digits: str, key: bytes, label: str) -> str:
+    n = len(digits)
+    return str(Permutation(key, f"{label}/{n}", 10**n)(int(digits))).zfill(n)
+
+
+def _card(digits: str, key: bytes) -> str:
     """Permuted until the Luhn check says of the result what it says of the card: the walk stays a permutation."""
-    want, out = _luhn(re.sub(r"\D", "", text)), text
+    want, out = _luhn(digits), digits
     while True:
-        out = permuted(out, key, "card")
-        if _luhn(re.sub(r"\D", "", out)) == want:
+        out = _digits(out, key, "card")
+        if _luhn(out) == want:
             return out
 
 
+def _remainder(account: str) -> int:
+    """Of an account's country and body by 97, with letters as numbers from 10 and two zeros for the check digits."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:2] + "00")) % 97
+
+
+def _iban(account: str, key: bytes) -> str:
+    """Country and body shape stay; the check digits are as far from the right ones as they were."""
+    apart = (int(account[2:4]) - (98 - _remainder(account))) % 100
+    out = account[:4] + permuted(account[4:], key, "iban" + account[:2])
+    return f"{out[:2]}{(98 - _remainder(out) + apart) % 100:02d}{out[4:]}"
+
+
+#: Kinds of addresses as (first address, bits that are free), public ones being the rest; fixed values.
+NETWORKS = ((10 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (127 << 24, 24), (169 << 24 | 254 << 16, 16))
+
+
+def _network(x: int) -> tuple[int, int] | None:
+    return next(((first, bits) for first, bits in NETWORKS if x >> bits == first >> bits), None)
+
+
 def _ip(text: str, key: bytes) -> str:
     a, b, c, d = map(int, text.split("."))
-    x = Permutation(key, "ip", 1 << 32)(a << 24 | b << 16 | c << 8 | d)
+    x = a << 24 | b << 16 | c << 8 | d
+    if own := _network(x):
+        x = own[0] | Permutation(key, f"ip/{own[0]}", 1 << own[1])(x - own[0])
+    else:
+        walk = Permutation(key, "ip", 1 << 32)
+        x = walk(x)
+        while _network(x):
+            x = walk(x)
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
 def _name_part(text: str, key: bytes) -> str:
-    return permuted(text, key, "name", 1 if len(text.rstrip(".")) > 2 else 0)
+    small = unicodedata.normalize("NFC", text).lower()
+    if small in _LISTED:
+        k, i = _LISTED[small]
+        out = _LISTS[k][Permutation(key, k, len(_LISTS[k]))(i)]
+        return out.upper() if text.isupper() else out.capitalize() if text[0].isupper() else out
+    while True:
+        text = permuted(text, key, "name", 1 if len(text.rstrip(".")) > 2 else 0)
+        if text.lower() not in _LISTED:
+            return text
+
+
+def canonical(kind: str, text: str) -> str:
+    """The form that an entity has however it is written."""
+    if kind == "phone":
+        code = re.match(r"\+\d{1,3}(?=[ .-])", text)
+        return (code.group() + " " if code else "") + re.sub(r"\D", "", text[code.end() :] if code else text)
+    if kind in ("card", "ssn"):
+        return re.sub(r"\D", "", text)
+    if kind == "iban":
+        return text.replace(" ", "")
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))
+    return re.sub(r"\s", " ", unicodedata.normalize("NFC", text).lower())
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, text: str, key: bytes = DEFAULT_KEY) -> str:
+def surrogate(kind: str, text: str, key: bytes) -> str:
     """The replacement of an entity."""
+    own = canonical(kind, text)
     if kind == "email":
         local, _, host = text.partition("@")
         labels = host.split(".")
         return permuted(local, key, "local") + "@" + ".".join([*(permuted(x, key, "host") for x in labels[:-1]), labels[-1]])
     if kind == "card":
-        return _card(text, key)
+        return _laid_out(_card(own, key), text)
+    if kind == "ssn":
+        return _laid_out(_digits(own, key, "ssn"), text)
     if kind == "ip":
-        return _ip(text, key)
+        return _ip(own, key)
     if kind == "name":
         return re.sub(r"[^\s-]+", lambda m: _name_part(m.group(), key), text)
     if kind == "iban":
-        return text[:2] + permuted(text[2:], key, "iban" + text[:2])
-    if kind == "phone" and (m := re.match(r"\+\d{1,3}(?=[ .-])", text)):
-        return m.group() + permuted(text[m.end() :], key, "phone" + m.group())
-    return permuted(text, key, kind)
+        return _laid_out(_iban(own, key), text)
+    code, _, digits = own.rpartition(" ")
+    return text[: len(code)] + _laid_out(_digits(digits, key, "phone" + code), text[len(code) :])
 
 
 @dataclass(frozen=True)
@@ -191,11 +287,19 @@ class Entity:
 
 
 _ANY = re.compile(rf"[0-9@]|\b(?:{TITLES})\b")
+_CAPITAL = "A-ZÀ-ÖØ-ÞΑ-ΩΆΈΉΊΌΎΏА-ЯЁ"
+#: Two capitalised words, initials between; the first is then looked up.
+_PAIR = re.compile(rf"(?<!\w)([{_CAPITAL}][^\W\d_]+)(?=((?:[ \u00a0][{_CAPITAL}]\.){{0,2}}(?:[ \u00a0-][{_CAPITAL}][^\W\d_]+(?:[-'’][^\W\d_]+)*){{1,2}})(?!\w))")
+
+
+def _untitled(text: str) -> list[tuple[int, int]]:
+    """Spans of a listed given name and the capitalised words after it."""
+    return [(m.start(), m.end(2)) for m in _PAIR.finditer(text) if unicodedata.normalize("NFC", m.group(1)).lower() in _GIVEN]
 
 
 def _repeats(text: str, found: list[Entity]) -> list[Entity]:
     """Where names that have a title in the text, or parts of them, stand again without; initials count beside a part."""
-    words = {x for e in found if e.kind == "name" for x in re.split(r"[\s-]+", e.text)}
+    words = {y for e in found if e.kind == "name" for x in re.split(r"[\s-]+", e.text) for y in (x, x.upper())}
     either = lambda some: "|".join(re.escape(x) for x in sorted(some, key=lambda x: (-len(x), x)))
     parts, initials = either({x for x in words if len(x.rstrip(".")) > 1}), either({x for x in words if len(x) == 2 and x[1] == "."})
     if not parts:
@@ -212,17 +316,22 @@ def _repeats(text: str, found: list[Entity]) -> list[Entity]:
 
 def entities(text: str) -> list[Entity]:
     """The entities of a text, in order, none overlapping; offsets count code points."""
-    if not _ANY.search(text):
+    pairs = _untitled(text)
+    if not pairs and not _ANY.search(text):
         return []
     found: list[Entity] = []
+
+    def add(kind: str, start: int, end: int) -> None:
+        end -= 2 * (kind == "name" and text[start:end].endswith(("'s", "’s")))
+        if all(end <= e.start or e.end <= start for e in found):
+            found.append(Entity(kind, start, end, text[start:end]))
+
     for kind, (rx, hints) in PATTERNS.items():
-        if hints and not any(h in text for h in hints):
-            continue
-        for m in rx.finditer(text):
-            start, end = m.span(m.lastindex or 0)
-            end -= 2 * (kind == "name" and text[start:end].endswith(("'s", "’s")))
-            if all(end <= e.start or e.end <= start for e in found):
-                found.append(Entity(kind, start, end, text[start:end]))
+        if not hints or any(h in text for h in hints):
+            for m in rx.finditer(text):
+                add(kind, *m.span(m.lastindex or 0))
+    for start, end in pairs:
+        add("name", start, end)
     found.sort(key=lambda e: e.start)
     return sorted(found + _repeats(text, found), key=lambda e: e.start)
 
@@ -235,7 +344,7 @@ def replaced(text: str, found: list[Entity], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
-def pii_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def pii_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, a count of each kind, and the original spans, of every row."""
     counts = [f"n_{k}" for k in KINDS]
     schema = "doc_id long, text string, n_entities long, " + ", ".join(f"{c} long" for c in counts) + ", spans string"
@@ -254,7 +363,7 @@ def pii_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, schema)
 
 
-def with_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """All rows and columns, personal data in ``text`` replaced; ``n_chars``, where there, counts the new text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,11 +374,12 @@ def with_surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def entity_table(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """kind, entity, surrogate and n, one row for each distinct entity of the corpus."""
+def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, entity and surrogate in canonical form, and n, one row for each distinct entity of the corpus and form of
+    its surrogate: there should be one."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(e.kind, e.text, surrogate(e.kind, e.text, key)) for t in batch.column("text").to_pylist() if t for e in entities(t)]
+        rows = [(e.kind, canonical(e.kind, e.text), canonical(e.kind, surrogate(e.kind, e.text, key))) for t in batch.column("text").to_pylist() if t for e in entities(t)]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["kind", "entity", "surrogate"])
 
@@ -277,6 +387,23 @@ def entity_table(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     return found.groupBy("kind", "entity", "surrogate").agg(F.count("*").alias("n"))
 
 
-def surrogate_collisions(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """kind and surrogate that two distinct entities share, or that equal their entity: none, if all is right."""
-    return entity_table(docs, key).groupBy("kind", "surrogate").agg(F.count("*").alias("n_entities"), F.max(F.col("entity") == F.col("surrogate")).alias("same")).where("n_entities > 1 or same")
+def surrogate_collisions(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind, problem and value of each surrogate that two entities share or that is its entity, and of each entity with
+    two surrogates: none, if all is right."""
+    held = entity_table(docs, key)
+    shared = held.groupBy("kind", F.col("surrogate").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit("shared").alias("problem"), "value")
+    split = held.groupBy("kind", F.col("entity").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit("split").alias("problem"), "value")
+    same = held.where(F.col("entity") == F.col("surrogate")).select("kind", F.lit("unchanged").alias("problem"), F.col("entity").alias("value"))
+    return shared.unionByName(split).unionByName(same)
+
+
+def checked(docs: DataFrame, key: bytes) -> None:
+    """Fail if the corpus has a collision: at most three are shown."""
+    if found := surrogate_collisions(docs, key).head(3):
+        raise ValueError(f"surrogates collide: {found}")
+
+
+def surrogates_in_use(docs: DataFrame, key: bytes) -> DataFrame:
+    """kind and surrogate of those that are another entity of the corpus."""
+    held = entity_table(docs, key).persist()
+    return held.select("kind", "surrogate").join(held.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi").distinct()

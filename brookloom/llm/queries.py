@@ -15,7 +15,7 @@ from brookloom.llm.lm_score import lm_scores
 from brookloom.llm.near_dup import ORACLE_SQL as NEAR_SQL
 from brookloom.llm.near_dup import near_duplicates
 from brookloom.llm.pieces import sampled_pieces
-from brookloom.llm.pii import pii_surrogates
+from brookloom.llm.pii import checked, pii_surrogates, session_key
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
@@ -60,7 +60,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates(read_table(spark, sf_dir, "documents"))
+    docs, key = read_table(spark, sf_dir, "documents"), session_key(spark)
+    checked(docs, key)
+    return pii_surrogates(docs, key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

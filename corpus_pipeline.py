@@ -15,7 +15,7 @@ from brookloom.llm.common import read_table, stored
 from brookloom.llm.decontaminate import without_leaks
 from brookloom.llm.near_dup import without_near_duplicates
 from brookloom.llm.pieces import sampled_pieces
-from brookloom.llm.pii import with_surrogates
+from brookloom.llm.pii import checked, session_key, with_surrogates
 from brookloom.llm.quality import kept_documents
 
 
@@ -35,8 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced."""
-    return with_surrogates(docs)
+    """All documents, personal data replaced under the session's key, once no collision is found."""
+    key = session_key(spark)
+    checked(docs, key)
+    return with_surrogates(docs, key)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

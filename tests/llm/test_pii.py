@@ -5,11 +5,15 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brookloom.llm.pii import KINDS, Permutation, _luhn, entities, permuted, pii_surrogates, surrogate, surrogate_collisions, with_surrogates
+from brookloom.llm.pii import (
+    FAMILY, GIVEN, KINDS, Permutation, _luhn, _remainder, canonical, checked, entities, permuted, pii_surrogates, session_key, surrogate,
+    surrogate_collisions, surrogates_in_use, with_surrogates,
+)
 
+KEY = b"of tests"
 TEXTS = {
     "email": ["und.34@mail7.example.com", "A.B+c@x-y.co.uk"],
-    "phone": ["+1 (017) 555-7713", "(212) 555-0199", "212-555-0199", "+49 30 1234567"],
+    "phone": ["555 123 4567", "+1 (017) 555-7713", "(212) 555-0199", "212-555-0199", "+49 30 1234567"],
     "card": ["9807915762804490", "4111 1111 1111 1111"],
     "ssn": ["078-05-1120"],
     "ip": ["97.51.17.173"],
@@ -39,13 +43,13 @@ def test_surrogates_keep_type_and_format():
         for v in values:
             s = surrogate(kind, v, b"k")
             assert s != v and s == surrogate(kind, v, b"k") and s != surrogate(kind, v, b"other") or kind == "ip"
-            assert kind == "ip" or shape(s) == shape(v) or kind == "name" and len(s) == len(v)
+            assert kind in ("ip", "name") or shape(s) == shape(v)
             again = entities(f"Well, {'Mr. ' if kind == 'name' else ''}{s}, said so.")
             assert [(e.kind, e.text) for e in again] == [(kind, s)]
-    assert _luhn(re.sub(r"\D", "", surrogate("card", "4111 1111 1111 1111"))) and not _luhn(surrogate("card", "9807915762804490"))
-    assert surrogate("name", "John Smith").split()[1] == surrogate("name", "Smith")
-    assert surrogate("name", "Maria")[-1] == "a" and set(surrogate("name", "Иван")) <= set("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдеёжзийклмнопрстуфхцчшщъыьэюя")
-    assert surrogate("email", "a@mail7.example.com").split("@")[1] == surrogate("email", "zed@mail7.example.com").split("@")[1]
+    assert _luhn(re.sub(r"\D", "", surrogate("card", "4111 1111 1111 1111", KEY))) and not _luhn(surrogate("card", "9807915762804490", KEY))
+    assert surrogate("name", "John Smith", KEY).split()[1] == surrogate("name", "Smith", KEY)
+    assert surrogate("name", "Mariola", KEY)[-1] == "a" and set(surrogate("name", "Иван", KEY)) <= set("АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯабвгдеёжзийклмнопрстуфхцчшщъыьэюя")
+    assert surrogate("email", "a@mail7.example.com", KEY).split("@")[1] == surrogate("email", "zed@mail7.example.com", KEY).split("@")[1]
 
 
 @settings(max_examples=40, deadline=None)
@@ -57,8 +61,8 @@ def test_permutations_move_everything(size, key):
 
 
 def test_letters_of_other_scripts():
-    for name in ("王小明", "דוד", "محمد", "Հայկ", "राम", "ΣΟΦΊΑ", "Weiß"):
-        s = surrogate("name", name)
+    for name in ("王小明", "דוד", "محمد", "Հայկ", "राम", "ΣΟΦΩΝΊΑ", "Weiß"):
+        s = surrogate("name", name, KEY)
         assert s != name and len(s) == len(name) and [c.isupper() for c in s] == [c.isupper() for c in name]
     a = [chr(c) for c in range(0x5D0, 0x5EB)]
     assert len({permuted(x + y, b"k", "x") for x in a for y in a}) == len(a) ** 2
@@ -72,23 +76,23 @@ def test_short_shapes_are_permuted():
 def test_frames(spark):
     rows = [(1, "a b@c.de or 10.0.0.1", "en", 20), (1, "a b@c.de or 10.0.0.1", "en", 20), (2, None, None, None), (None, "", "x", 0), (3, "x " * 60_000 + "9807915762804490", "y", 1), (4, "b@c.de", "z", 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long").repartition(2)
-    got = pii_surrogates(docs).collect()
+    got = pii_surrogates(docs, KEY).collect()
     assert sorted((r.doc_id or 0, r.n_entities, r.n_email, r.n_ip, r.n_card) for r in got) == [(0, 0, 0, 0, 0), (1, 2, 1, 1, 0), (1, 2, 1, 1, 0), (2, 0, 0, 0, 0), (3, 1, 0, 0, 1), (4, 1, 1, 0, 0)]
     text = {r.doc_id: r.text for r in got}
     assert text[2] is None and text[None] == "" and "b@c.de" not in text[1] and text[4] in text[1] and text[3].startswith("x x")
     assert {r.spans for r in got if r.doc_id == 1} == {"email:2:8,ip:12:20"}
-    out = with_surrogates(docs)
+    out = with_surrogates(docs, KEY)
     assert out.schema == docs.schema
     assert {(r.doc_id, r.text, r.n_chars) for r in out.collect()} == {(i, t, None if t is None else len(t)) for i, t in text.items()}
-    assert surrogate_collisions(docs).collect() == [] and pii_surrogates(docs.limit(0)).collect() == []
+    assert surrogate_collisions(docs, KEY).collect() == [] and pii_surrogates(docs.limit(0), KEY).collect() == []
     assert len(KINDS) == 7
 
 
 def test_no_collisions_among_many(spark):
     rows = [(i, f"u{i}@mail{i % 7}.example.com {i % 250}.1.{i % 256}.{i // 256} {4000000000000000 + i} +1 ({i % 1000:03d}) 555-{i:04d} Mr. B{'abeti'[i % 5]}{'klmno'[i // 5 % 5]}{'aeiou'[i // 25 % 5]}rt") for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert surrogate_collisions(docs).collect() == []
-    assert all(r.n_entities == 5 for r in pii_surrogates(docs).collect())
+    assert surrogate_collisions(docs, KEY).collect() == []
+    assert all(r.n_entities == 5 for r in pii_surrogates(docs, KEY).collect())
 
 
 def test_bare_repeats_of_a_titled_name():
@@ -96,5 +100,68 @@ def test_bare_repeats_of_a_titled_name():
     found = entities(text)
     assert [e.text for e in found] == ["Anna B. Schmidt", "Anna Schmidt", "Schmidt", "B. Schmidt", "Lee", "Lee"]
     assert [text[e.start : e.end] for e in found] == [e.text for e in found]
-    anna, b, schmidt = surrogate("name", found[0].text).split()
-    assert [surrogate("name", e.text) for e in found[1:4]] == [f"{anna} {schmidt}", schmidt, f"{b} {schmidt}"]
+    anna, b, schmidt = surrogate("name", found[0].text, KEY).split()
+    assert [surrogate("name", e.text, KEY) for e in found[1:4]] == [f"{anna} {schmidt}", schmidt, f"{b} {schmidt}"]
+
+
+def test_one_entity_in_many_forms():
+    """Case, composition, spacing and leading zeros don't tell entities apart, and their surrogates are alike."""
+    nfd = "Mu\u0308ller-Lu\u0308denscheidt"
+    for kind, forms in {
+        "ip": ["1.2.3.4", "01.2.3.4"],
+        "name": ["John Smith", "JOHN SMITH", "John\u00a0Smith"],
+        "email": ["A.Bee@Mail.example.com", "a.bee@mail.EXAMPLE.com"],
+        "phone": ["555 123 4567", "(555) 123-4567", "555.123.4567"],
+        "card": ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    }.items():
+        assert len({canonical(kind, x) for x in forms}) == 1
+        assert len({canonical(kind, surrogate(kind, x, KEY)) for x in forms}) == 1, kind
+    import unicodedata
+
+    assert surrogate("name", nfd, KEY) == surrogate("name", unicodedata.normalize("NFC", nfd), KEY)
+    assert surrogate("name", "JOHN SMITH", KEY) == surrogate("name", "John Smith", KEY).upper()
+
+
+def test_kinds_keep_their_meaning():
+    for private in ("10.0.0.1", "172.16.9.9", "192.168.1.7", "127.0.0.1", "169.254.3.3"):
+        first = private.split(".")[0]
+        assert surrogate("ip", private, KEY).split(".")[0] == first and surrogate("ip", private, KEY) != private
+    assert not any(surrogate("ip", f"8.8.{i}.8", KEY).startswith(("10.", "127.", "192.168.", "169.254.")) for i in range(256))
+    valid = "DE89370400440532013000"
+    out = surrogate("iban", valid, KEY)
+    assert 98 - _remainder(valid) == 89 and 98 - _remainder(out) == int(out[2:4]) and out[4:] != valid[4:]
+    broken = surrogate("iban", "DE88370400440532013000", KEY)
+    assert 98 - _remainder(broken) != int(broken[2:4])
+    for k, names in GIVEN.items():
+        own = names.split()
+        assert {surrogate("name", x.capitalize(), KEY).lower() for x in own} == set(own), k
+        assert all(surrogate("name", x.capitalize(), KEY).lower() != x for x in own)
+    every = [x for names in (*GIVEN.values(), *FAMILY.values()) for x in names.split()]
+    assert len(set(every)) == len(every)
+
+
+def test_names_without_titles():
+    text = "Then Jane Doe met Élodie. JANE DOE and Doe left; John R. Fitzgerald-Kane's car, Anna, anna bell. Maria Ünal saw."
+    assert [e.text for e in entities(text)] == ["Jane Doe", "JANE DOE", "Doe", "John R. Fitzgerald-Kane", "Maria Ünal"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aeioubcdfghJKLMñÇüжЖ-'", min_size=2, max_size=9), min_size=2, max_size=40))
+def test_distinct_names_stay_distinct(names):
+    for kind in ("name", "email"):
+        forms = {canonical(kind, x if kind == "name" else f"{x}@{x[::-1]}.de") for x in names}
+        assert len({canonical(kind, surrogate(kind, x, KEY)) for x in forms}) == len(forms)
+
+
+def test_keys_and_checks(spark):
+    docs = spark.createDataFrame([(1, "Mr. John Smith, JOHN SMITH, 01.2.3.4 and 1.2.3.4")], "doc_id long, text string")
+    checked(docs, KEY)
+    assert len(session_key(spark)) == 32 and session_key(spark) == session_key(spark)
+    spark.conf.set("spark.brookloom.pii.key", "00ff")
+    try:
+        assert session_key(spark) == b"\x00\xff"
+    finally:
+        spark.conf.unset("spark.brookloom.pii.key")
+    few = spark.createDataFrame([(i, f"Dr. {x.capitalize()} Zyx") for i, x in enumerate(GIVEN["greek male"].split())], "doc_id long, text string")
+    assert surrogates_in_use(few, KEY).count() == 0 and surrogate_collisions(few, KEY).count() == 0
