@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what toxic documents say more often than ordinary ones, one on
-ordinary text. The toxic one is followed by the ordinary one, which in turn is padded to equal size with bytes that
-match nothing, so that compression with the two differs by toxic matches alone. A text is cut into windows of a few words;
-a window's gain is the number of bytes it compresses shorter with the toxic dictionary. Thresholds on gains are
-calibrated on labelled documents that neither dictionary has seen; a logistic function of the gains is the score.
-
-Toxic training text is the runs, inside words, of six-byte n-grams that are in at least ``share`` of the toxic sample
-and ``ratio`` times as often in it as in the ordinary one: without that, both dictionaries hold the same common words.
-Their counts' log-likelihood ratio must be beyond what chance would give to one of all n-grams.
+Two zstandard dictionaries are trained, one on what toxic documents say more often than ordinary ones, one on what
+ordinary documents say more often than toxic ones. Both end in one dictionary of ordinary text, which thus stands at
+the same distance in either, so that compression with the two differs by what tells the classes apart. A text is cut into
+windows of a few words; a window's gain is the number of bytes it compresses shorter with the toxic dictionary.
+Thresholds on gains are calibrated on labelled documents that neither dictionary has seen; a logistic function of the
+gains is the score.
+
+What a class says more often is the runs, inside words, of six-byte n-grams that are in at least ``share`` of its
+sample and ``ratio`` times as often in it as in the other's: dictionaries trained on whole texts of each class hold the
+same common words, and found 4 of 97 toxic documents where these find 70. Their counts' log-likelihood ratio must be
+beyond what chance would give to one of all n-grams.
 
 Defined results: null counts as an empty text; a text without words has no window and gets the score of zero gains;
 a label is 1 where any row of ``labels`` for the id says so; repeated ids stay separate rows; with labels of one kind
@@ -136,12 +138,16 @@ def _probability(weights: tuple[float, ...], x: list[float]) -> float:
     return float(1 / (1 + np.exp(-np.clip(np.dot(weights, [*x, 1.0]), -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: float = 0.015, ratio: float = 4.0, window: int = 32, size: int = 8192) -> ToxicModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: float = 0.015, ratio: float = 4.0, window: int = 32,
+    size: int = 16_384, max_ordinary: int = 4000, common_windows: int = 40,
+) -> ToxicModel:
     """A model from at most ``max_labelled`` labelled documents, those with the least hash of their id.
 
-    Three in five of them make the dictionaries, the rest calibrate. Texts stay on the executors; to the driver come
-    the telling n-grams, at most a document's n-grams / ``share`` of them, the runs they cover, at most 40 windows of
-    each ordinary document, and a row of features for each calibrating one.
+    Three in five of them make the dictionaries, the rest calibrate. The part that both dictionaries share is trained on
+    ``common_windows`` windows of each of about ``max_ordinary`` ordinary documents. Texts stay on the executors; to the
+    driver come the telling n-grams, at most a document's n-grams / ``share`` of them for either class, the runs they
+    cover, those windows, and a row of features for each calibrating document. A dictionary has at most ``size`` bytes.
     """
     spark = docs.sparkSession
     known = (
@@ -186,35 +192,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 16_000, share: f
     evidence = 2 * float(np.log(500 * (n_toxic + n_ordinary)))
     learning = texts.where("dictionary = 1").select("text", "toxic")
     grams = map_batches(learning, counted, "code long, ordinary long, toxic long").where("code != 0").groupBy("code").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
-    telling = np.sort(
-        grams.withColumn("expected", n_toxic * (F.col("o") + 1) / max(1, n_ordinary))
-        .where((F.col("t") >= max(3.0, share * n_toxic)) & (F.col("t") >= ratio * F.col("expected")))
-        .where(2 * (F.col("t") * F.log(F.col("t") / F.col("expected")) - F.col("t") + F.col("expected")) >= evidence)
-        .select("code").toPandas()["code"].to_numpy(np.int64)
-    )
+    def telling(own: str, n_own: int, other: str, n_other: int) -> np.ndarray:
+        n, expected = F.col(own), F.col("expected")
+        found = grams.withColumn("expected", n_own * (F.col(other) + 1) / max(1, n_other)).where((n >= max(3.0, share * n_own)) & (n >= ratio * expected))
+        return np.sort(found.where(2 * (n * F.log(n / expected) - n + expected) >= evidence).select("code").toPandas()["code"].to_numpy(np.int64))
+
+    grams = grams.persist()
+    try:
+        of_class = (telling("o", n_ordinary, "t", n_toxic), telling("t", n_toxic, "o", n_ordinary))
+    finally:
+        grams.unpersist()
 
     def pieces(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept, label = [], batch.column("toxic").to_pylist()
-        for b, toxic in zip(as_bytes(batch.column("text")), label, strict=True):
+        runs, common = [], []
+        for b, toxic in zip(as_bytes(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
             t = folded(b)
-            if toxic:
-                ok = np.isin(gram_codes(t), telling)
-                edge = np.flatnonzero(np.diff(np.r_[0, ok.astype(np.int8), 0]))
-                runs = dict.fromkeys(t[i : j + GRAM - 1] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                kept.append(b"\n" + b"\n".join(runs) + b"\n" if runs else b"")
-            else:
-                w = text_windows(t, 64)
-                least = np.argsort(mix(np.arange(len(w), dtype=np.uint64)), kind="stable")[:40]
-                kept.append(b"".join(w[i] for i in sorted(least.tolist())))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(kept, pa.binary())], ["doc_id", "toxic", "piece"])
-
-    got = map_batches(texts.where((F.col("dictionary") == 1) & ((F.col("toxic") == 1) | (F.xxhash64("doc_id") % 1000 < 1000 * min(1.0, 4000 / max(1, n_ordinary))))).select("doc_id", "text", "toxic"), pieces, "doc_id long, toxic int, piece binary").toPandas()
-    got = got.sort_values(["doc_id", "piece"], kind="stable")
-    toxic = [bytes(x) for x in got.loc[got["toxic"] == 1, "piece"] if len(x)]
-    ordinary = [bytes(x) for x in got.loc[got["toxic"] == 0, "piece"] if len(x)]
-    marked = _trained(toxic, size // 2, 24, 6)[-size // 3 :] if toxic else b""
-    common = _trained(ordinary, size, 64, 8)[-size // 2 :] if ordinary else b""
-    model = ToxicModel(marked + common, marked[::-1] + common, window, (0.0,) * (N_FEATURES + 1))
+            ok = np.isin(gram_codes(t), of_class[toxic])
+            edge = np.flatnonzero(np.diff(np.r_[0, ok.astype(np.int8), 0]))
+            own = dict.fromkeys(t[i : j + GRAM - 1] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+            runs.append(b"\n" + b"\n".join(own) + b"\n" if own else b"")
+            w = [] if toxic else text_windows(t, 64)
+            least = np.argsort(mix(np.arange(len(w), dtype=np.uint64)), kind="stable")[:common_windows]
+            common.append(b"".join(w[i] for i in sorted(least.tolist())))
+        cols = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(runs, pa.binary()), pa.array(common, pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "runs", "common"])
+
+    some = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_ordinary / max(1, n_ordinary)))
+    chosen = texts.where((F.col("dictionary") == 1) & ((F.col("toxic") == 1) | some)).select("doc_id", "text", "toxic")
+    got = map_batches(chosen, pieces, "doc_id long, toxic int, runs binary, common binary").toPandas().sort_values(["doc_id", "runs"], kind="stable")
+    held = lambda column, toxic: [bytes(x) for x in got.loc[got["toxic"] == toxic, column] if len(x)]
+    parts = [(held("runs", 1), size // 2, 24, 6), (held("runs", 0), size // 2, 24, 6), (held("common", 0), size // 2, 64, 8)]
+    toxic, ordinary, common = (_trained(samples, n, k, d) if samples else b"" for samples, n, k, d in parts)
+    model = ToxicModel(toxic + common, ordinary + common, window, (0.0,) * (N_FEATURES + 1))
     rows = _measured(texts.where("dictionary = 0").select("doc_id", "text", "toxic"), model).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     label = rows["toxic"].to_numpy(float)
