@@ -390,11 +390,10 @@ def entity_table(docs: DataFrame, key: bytes) -> DataFrame:
 def surrogate_collisions(docs: DataFrame, key: bytes) -> DataFrame:
     """kind, problem and value of each surrogate that two entities share or that is its entity, and of each entity with
     two surrogates: none, if all is right."""
-    held = entity_table(docs, key)
-    shared = held.groupBy("kind", F.col("surrogate").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit("shared").alias("problem"), "value")
-    split = held.groupBy("kind", F.col("entity").alias("value")).agg(F.count("*").alias("n")).where("n > 1").select("kind", F.lit("split").alias("problem"), "value")
-    same = held.where(F.col("entity") == F.col("surrogate")).select("kind", F.lit("unchanged").alias("problem"), F.col("entity").alias("value"))
-    return shared.unionByName(split).unionByName(same)
+    both = F.array(F.struct(F.lit("split").alias("problem"), F.col("entity").alias("value"), F.col("surrogate").alias("other")), F.struct(F.lit("shared").alias("problem"), F.col("surrogate").alias("value"), F.col("entity").alias("other")))
+    sides = entity_table(docs, key).select("kind", F.explode(both).alias("x")).groupBy("kind", "x.problem", "x.value").agg(F.min("x.other").alias("least"), F.max("x.other").alias("most"))
+    apart = F.when(F.col("least") != F.col("most"), F.col("problem")).when((F.col("problem") == "split") & (F.col("least") == F.col("value")), "unchanged")
+    return sides.select("kind", apart.alias("problem"), "value").where("problem is not null")
 
 
 def checked(docs: DataFrame, key: bytes) -> None:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -165,3 +166,15 @@ def test_keys_and_checks(spark):
         spark.conf.unset("spark.brookloom.pii.key")
     few = spark.createDataFrame([(i, f"Dr. {x.capitalize()} Zyx") for i, x in enumerate(GIVEN["greek male"].split())], "doc_id long, text string")
     assert surrogates_in_use(few, KEY).count() == 0 and surrogate_collisions(few, KEY).count() == 0
+
+
+def test_collisions_are_found(spark, monkeypatch):
+    """A careless rule gives two entities one surrogate, one entity two, and leaves one as it is."""
+    from brookloom.llm import pii
+
+    rows = [("ssn", "1", "7"), ("ssn", "2", "7"), ("ip", "3", "8"), ("ip", "3", "9"), ("card", "5", "5"), ("card", "6", "4")]
+    held = spark.createDataFrame(rows, "kind string, entity string, surrogate string")
+    monkeypatch.setattr(pii, "entity_table", lambda docs, key: held)
+    assert sorted(tuple(r) for r in surrogate_collisions(held, KEY).collect()) == [("card", "unchanged", "5"), ("ip", "split", "3"), ("ssn", "shared", "7")]
+    with pytest.raises(ValueError, match="collide"):
+        checked(held, KEY)
