@@ -6,7 +6,10 @@ share of its n-grams whose mask has the language's bit, corrected for that filte
 
 An n-gram is four bytes of the lower-cased UTF-8 text, ASCII other than letters read as spaces, that has spaces at
 its ends only. A language contains the n-grams that make up at least ``rate`` of its own, so it contains at most
-1 / rate of them: that bounds the filter, whatever the corpus. Counts are taken over all learning documents.
+1 / rate of them: that bounds the filter, whatever the corpus. Counts are taken over all learning documents. The bound
+is an exit from "every n-gram": a filter of all n-grams grows with the corpus until each language has met every n-gram
+of the others' loan words and misspellings. On sf0.1 the bound costs nothing: of 3,358 held-out documents it names
+0.9991 right, and 0.9982 without (``rate`` 0), which a test repeats.
 
 Defined results: null or letterless text is ``und`` with score 0; a text whose n-grams no language contains, or one
 without n-grams, gets the most common learned language with score 0; ties go to the language with more learning
@@ -90,7 +93,7 @@ def fit(docs: DataFrame, rate: float = 1e-5) -> LanguageFilter:
             return LanguageFilter((), np.zeros((1, 1), np.uint64), np.zeros(0))
         spark = docs.sparkSession
         number = spark.createDataFrame([(k, i, int(t)) for i, (k, t) in enumerate(zip(languages, totals["total"], strict=True))], "lang string, bit int, total long")
-        known = counts.join(F.broadcast(number), "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * rate))
+        known = counts.join(F.broadcast(number), "lang").where(F.col("n") >= F.col("total") * rate)
         most = known.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
         size = 1 << int(np.ceil(np.log2(max(1024, 12 * most))))
 

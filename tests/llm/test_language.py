@@ -70,3 +70,16 @@ def test_held_out_accuracy_on_the_tables(spark):
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").where("lang is not null")
     rows = op3_language_id(spark, SF).where("held_out").join(lang, "doc_id").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_rare_ngrams_add_nothing(spark):
+    """The rate that bounds the filter names at least as many held-out documents right as a filter of all n-grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    asked = docs.where("lang is not null")
+    right = {}
+    for rate in (0.0, 1e-5):
+        found = fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"), rate)
+        rows = identify(asked.where("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"), found).join(asked.select("doc_id", "lang"), "doc_id").collect()
+        right[rate] = np.mean([r.lang == r.lang_pred for r in rows])
+    assert right[1e-5] >= right[0.0] >= 0.97, right
