@@ -1,9 +1,13 @@
-"""Column functions over texts: lengths, trims, validity, hashes, keys, budgets and clean-ups. All run in the JVM."""
+"""Column functions over texts: lengths, trims, validity, hashes, keys, budgets and clean-ups. All run in the JVM, but for
+the hash of a text's units, which is a dot product of Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as a web page's script sees it: ASCII, and the fixed further code points.
 SPACES = r"[\s\u000b   -     　﻿]"
@@ -73,18 +77,45 @@ def trace_budget(c: Column) -> Column:
     return F.greatest(F.lit(256), F.ceil(token_estimate(c) * 2.4))
 
 
+HEAD_UNITS, HASH_BASE, HASH_MASK = 200, 31, 0x7FFFFFFF
+
+
+def _powers(n: int) -> np.ndarray:
+    """HASH_BASE to the powers n - 1 down to 0, modulo 2**32."""
+    out = np.full(n, HASH_BASE, np.uint32)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint32)[::-1]
+
+
+@F.pandas_udf(T.StructType([T.StructField("whole", T.LongType()), T.StructField("head", T.LongType())]))
+def _hashes(text: pd.Series, extra: pd.Series) -> pd.DataFrame:
+    """31 * h + unit over UTF-16 units, modulo 2**31, of each text and of its head, the extra text after either."""
+    powers = np.empty(0, np.uint32)
+    rows = []
+    for t, x in zip(text, extra, strict=True):
+        if t is None:
+            rows.append((None, None))
+            continue
+        units, more = (np.frombuffer((s or "").encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32) for s in (t, x))
+        if len(units) + len(more) > len(powers):
+            powers = _powers(2 * (len(units) + len(more)))
+        one = lambda u: int((u * powers[len(powers) - len(u) :]).sum(dtype=np.uint32)) & HASH_MASK  # noqa: B023, E731
+        rows.append((one(np.r_[units, more]), one(np.r_[units[:HEAD_UNITS], more])))
+    return pd.DataFrame(rows, columns=["whole", "head"]).astype("Int64")
+
+
 def rolling_hash(c: Column) -> Column:
     """31 * h + unit over UTF-16 units, modulo 2**31."""
-    units = F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    return F.aggregate(units, F.lit(0).cast("long"), lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("long")).bitwiseAND(F.lit(0x7FFFFFFF)))
+    return _hashes(c, F.lit(""))["whole"]
 
 
 def cache_key(content: Column, source: Column, target: Column, provider: Column | None = None, style: Column | None = None) -> Column:
-    """Key of a translation; provider and style count only where one of them is set."""
+    """Key of a translation, of the whole text and its first 200 units; provider and style count only where one of them is
+    set. Null for a null text."""
     p = F.coalesce(provider, F.lit("")) if provider is not None else F.lit("")
     s = F.coalesce(style, F.lit("")) if style is not None else F.lit("")
-    extra = F.when((p != "") | (s != ""), F.concat(p, F.lit(":"), s)).otherwise("")
-    return F.concat_ws("_", F.lit("translation"), source, target, rolling_hash(F.concat(content, extra)), rolling_hash(F.concat(F.substring(content, 1, 200), extra)))
+    h = _hashes(content, F.when((p != "") | (s != ""), F.concat(p, F.lit(":"), s)).otherwise(""))
+    return F.when(content.isNotNull(), F.concat_ws("_", F.lit("translation"), source, target, h["whole"], h["head"]))
 
 
 def error_class(c: Column) -> Column:

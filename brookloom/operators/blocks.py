@@ -65,8 +65,14 @@ def pack(tokens: list[int], headings: list[bool]) -> list[int]:
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _packed(tokens: pd.Series, headings: pd.Series) -> pd.Series:
-    return pd.Series([pack([int(x) for x in t], [bool(x) for x in h]) for t, h in zip(tokens, headings, strict=True)])
+def _starts(tokens: pd.Series, headings: pd.Series) -> pd.Series:
+    """Of each row, where its chunks begin, counted from 1."""
+
+    def one(t: list[int], h: list[bool]) -> list[int]:
+        chunk = pack([int(x) for x in t], [bool(x) for x in h])
+        return [i + 1 for i, c in enumerate(chunk) if not i or c != chunk[i - 1]]
+
+    return pd.Series([one(t, h) for t, h in zip(tokens, headings, strict=True)])
 
 
 def json_content(blocks: Column) -> Column:
@@ -74,21 +80,32 @@ def json_content(blocks: Column) -> Column:
     return F.to_json(F.transform(blocks, lambda b: F.struct(b["id"].alias("id"), b["text"].alias("text"))))
 
 
+def packed_chunks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, chunk, chunk_id, block_ids, json_content and estimated_tokens of every chunk of each row's ``blocks`` (id,
+    text, heading). A row's blocks are cut into slices before these are exploded, so each block is copied once."""
+    held = df.where("size(blocks) > 0").withColumn("tokens", F.transform("blocks", lambda b: token_estimate(b["text"])))
+    held = held.withColumn("starts", _starts("tokens", "blocks.heading"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("blocks") + 1))
+    ranges = F.arrays_zip(F.col("starts").alias("lo"), ends.alias("hi"))
+    cut = F.transform(ranges, lambda r: F.struct(F.slice("blocks", r["lo"], r["hi"] - r["lo"]).alias("own"), F.slice("tokens", r["lo"], r["hi"] - r["lo"]).alias("tokens")))
+    return held.select(*keys, F.posexplode(cut).alias("at", "c")).select(
+        *keys,
+        (F.col("at") + 1).alias("chunk"),
+        F.concat(F.lit("chunk"), F.col("at") + 1).alias("chunk_id"),
+        F.col("c.own.id").alias("block_ids"),
+        json_content(F.col("c.own")).alias("json_content"),
+        F.aggregate("c.tokens", F.lit(0).cast("long"), lambda n, t: n + t + BLOCK_OVERHEAD).alias("estimated_tokens"),
+    )
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk, chunk_id, block_ids, json_content and estimated_tokens of every chunk of every document."""
+    """doc_id, chunk, chunk_id, block_ids, json_content and estimated_tokens of every chunk of every document.
+
+    A null text, or one without a valid line, has no chunk; rows with an equal or null id are packed each by itself.
+    """
     texts = F.transform(block_texts(F.col("text")), collapse_spaced)
-    blocks = F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("b"), i + 1).alias("id"), t.alias("text"), token_estimate(t).alias("tokens"), is_heading_line(t).alias("heading")))
-    packed = docs.select("doc_id", blocks.alias("blocks")).where("size(blocks) > 0").withColumn("chunk_of", _packed("blocks.tokens", "blocks.heading"))
-    one = packed.select("doc_id", F.explode(F.array_distinct("chunk_of")).alias("chunk"), "blocks", "chunk_of")
-    own = F.filter("blocks", lambda b, i: F.get("chunk_of", i) == F.col("chunk"))
-    return one.select("doc_id", "chunk", own.alias("own")).select(
-        "doc_id",
-        "chunk",
-        F.concat(F.lit("chunk"), "chunk").alias("chunk_id"),
-        F.col("own.id").alias("block_ids"),
-        json_content(F.col("own")).alias("json_content"),
-        F.aggregate("own", F.lit(0).cast("long"), lambda n, b: n + b["tokens"] + BLOCK_OVERHEAD).alias("estimated_tokens"),
-    )
+    blocks = F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("b"), i + 1).alias("id"), t.alias("text"), is_heading_line(t).alias("heading")))
+    return packed_chunks(docs.select("doc_id", blocks.alias("blocks")), ["doc_id"])
 
 
 def full_text(docs: DataFrame) -> DataFrame:

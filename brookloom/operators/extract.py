@@ -2,7 +2,8 @@
 
 A node lies inside a marked subtree if the greatest ``sub_end`` of marked nodes before it reaches its ``pos``: subtrees
 nest, so one window in document order answers each ancestor question, and no range join is needed. All windows share
-one partitioning, by page; a page is bounded by what one browser shows.
+one partitioning, by page; a page is bounded by what one browser shows. Rows with a null or repeated id are pages of
+their own (``page_key``), equal rows are one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookloom.functions.text import collapse_spaced, is_valid_text, trimmed, utf16_length
+from brookloom.operators.rules import NodeRule, SiteRule, any_rule, attr, by_site, either, selects
 
+PAGE = "page_key"
 #: Tags by role.
 BLOCK_TAGS = "h1 h2 h3 h4 h5 h6 p li dd blockquote figcaption".split()
 HEADING_TAGS = "h1 h2 h3 h4 h5 h6".split()
@@ -27,6 +30,7 @@ INLINE_TAGS = (
     "ruby rb rt rp del ins font tt big strike mdspan img"
 ).split()
 NOTICE_TAGS = "div section aside dialog article main nav footer header".split()
+#: Words of class tokens, classes of article bodies, and phrases of consent notices.
 METADATA_WORDS = "meta author byline category categories dateline".split()
 CONTENT_WORDS = "post content article story entry rich".split()
 ARTICLE_CLASSES = "article-content article-body article-text story-content story-body story-text main-content content-body content-area post-content entry-content page-content".split()
@@ -34,42 +38,43 @@ COOKIE_PHRASES = (
     "accept all", "reject all", "allow all", "cookie settings", "cookie preferences", "manage cookies", "manage your cookies",
     "we use cookies", "uses cookies", "cookie policy", "privacy settings", "your privacy choices", "consent preferences",
 )
-#: Below this length of text a noise class counts.
+#: Up to this length of text a noise class counts; fixed value.
 NOISE_VALVE = 5000
-
-#: Noise classes by rule: each stem with each of its parts, and stems that count alone.
-NOISE_FAMILIES = {
-    "ad": "container slot wrapper panel frame box inner holder banner placeholder label unit widget area div code block content outer",
-    "cookie": "banner notice policy table settings bar box modal container popup overlay wrapper law management accept compliance control div",
-    "newsletter": "signup form subscribe popup overlay modal",
-    "comment": "list section area module wrapper body content form reply thread holder entry",
-    "search": "form box bar input wrapper widget container results",
-    "login": "form box bar",
-    "user": "area menu profile rating",
-    "inline": "signup newsletter subscribe subscription ad carousel",
-    "related": "posts articles content carousel stories",
-    "site": "header top branding logo",
-    "rating": "widget box container",
-    "review": "widget box form",
-    "share": "buttons menu list icons toolbar",
-    "print": "branding logo only version",
-    "cc": "window banner overlay container floating",
-    "recommended": "content reading articles",
-}
-NOISE_ALONE = (
-    "sidebar side-bar nav-menu main-menu navigation-menu mobile-nav footer footnote copyright top-bar topbar masthead breadcrumb byline "
-    "post-meta author-box subscribe-widget widget-area registration signup-form membership advertisement adsbygoogle google-ad google-ads "
-    "advert advertorial sponsored promoted affiliate commercial leaderboard skyscraper taboola outbrain mgid zergnet native-ad "
-    "gdpr privacy consent onetrust disclaimer data-protection opt-in optin popup-overlay modal-dialog modal-backdrop social-share "
-    "social-icons more-stories more-articles also-read you-may-like read-next read-more more-from comments-area commentlist discussion "
-    "pagination pager paging page-nav page-numbers nav-links post-navigation toc table-of-contents lang-switcher language-switcher "
-    "language-selector tagcloud tags-list tag-list categories-list category-list captcha recaptcha hcaptcha post-date entry-date "
-    "published-date posted-on updated-on poll voting survey exit-popup welcome-popup printable notranslate"
+#: Class tokens of page furniture, for callers without a list of their own: the landmark roles of WAI-ARIA that hold no
+#: article, and what they are called in English.
+NOISE_CLASSES = (
+    "banner navigation search complementary contentinfo dialog alertdialog menu menubar toolbar tablist tooltip status "
+    "nav sidebar breadcrumb breadcrumbs pagination pager footer masthead toc login newsletter subscribe advert advertisement ads sponsored "
+    "promo cookie consent gdpr comments disqus share social related recommended"
 ).split()
-
-
-def noise_classes() -> list[str]:
-    return [f"{stem}-{part}" for stem, parts in NOISE_FAMILIES.items() for part in parts.split()] + NOISE_ALONE
+#: The class that marks blocks which have a translation already.
+TRANSLATED_CLASS = "translated-block"
+
+#: What covers a page, and what is of low priority, by class, id, role, style and action.
+OVERLAY_RULES = (
+    NodeRule(class_pattern=r"\bcookie\b|\bconsent\b|\bgdpr\b|privacy-banner|cookie-banner"),
+    NodeRule(id_pattern=r"\bcookie\b|\bconsent\b|\bgdpr\b|privacy"),
+    NodeRule(class_pattern=r"\bpopup\b|\bmodal\b|overlay|\bdialog\b|backdrop|lightbox"),
+    NodeRule(id_pattern=r"\bpopup\b|\bmodal\b|overlay|\bdialog\b"),
+    NodeRule(class_pattern="subscription-popup|paywall|subscribe-popup|newsletter-modal"),
+    NodeRule(class_pattern="notification|subscribers"),
+    NodeRule(id_pattern="notification|subscribers"),
+    NodeRule(role="dialog"),
+    NodeRule(role="alertdialog"),
+    NodeRule(tag="div", check=lambda: F.lower(attr("style")).rlike(r"position\s*:\s*(fixed|sticky)")),
+    NodeRule(tag="form", check=lambda: attr("action").rlike("(?i)^http://")),
+)
+LOW_PRIORITY_RULES = (
+    NodeRule(tag="nav"),
+    NodeRule(tag="footer"),
+    NodeRule(tag="aside"),
+    NodeRule(class_pattern=r"\bad\b|banner|sponsor|\bpromo\b|affiliate|advert"),
+    NodeRule(id_pattern=r"\bad\b|banner|sponsor|\bpromo\b|advert"),
+    NodeRule(class_pattern=r"\bshare\b|\bsocial\b|comment|related|recommend|sidebar"),
+    NodeRule(id_pattern=r"\bshare\b|\bsocial\b|comment|related|recommend|sidebar"),
+    NodeRule(class_pattern=r"\bnavbar\b|site-nav|global-nav|\btopbar\b|subscribe|newsletter|\bcookie\b|\bconsent\b"),
+    NodeRule(id_pattern=r"\bnavbar\b|site-nav|global-nav|\btopbar\b|subscribe|newsletter|\bcookie\b|\bconsent\b"),
+)
 
 
 def class_tokens() -> Column:
@@ -86,64 +91,59 @@ def _has_word(words: list[str]) -> Column:
     return F.exists("tokens", lambda t: F.arrays_overlap(F.split(t, "[-_]+"), F.array(*map(F.lit, words))))
 
 
-def _attr(name: str) -> Column:
-    return F.coalesce(F.col("attrs")[name], F.lit(""))
-
-
 def soft_hint() -> Column:
-    cls = F.lower(_attr("class"))
+    cls = F.lower(attr("class"))
     rule = lambda words, n: F.when(cls.rlike(words), n).otherwise(0)
     return rule("article|post", 2) + rule("content|body", 2) + rule("main", 1) + rule("sidebar|nav", -3) + rule("footer|comment", -2)
 
 
-def _overlay() -> Column:
-    cls, own, style = F.lower(_attr("class")), F.lower(_attr("id")), F.lower(_attr("style"))
-    return (
-        cls.rlike(r"\bcookie\b|\bconsent\b|\bgdpr\b|privacy-banner|cookie-banner|\bpopup\b|\bmodal\b|overlay|\bdialog\b|backdrop|lightbox|subscription-popup|paywall|subscribe-popup|newsletter-modal|notification|subscribers")
-        | own.rlike(r"\bcookie\b|\bconsent\b|\bgdpr\b|privacy|\bpopup\b|\bmodal\b|overlay|\bdialog\b|notification|subscribers")
-        | _attr("role").isin("dialog", "alertdialog")
-        | ((F.col("tag") == "div") & style.rlike(r"position\s*:\s*(fixed|sticky)"))
-        | ((F.col("tag") == "form") & _attr("action").rlike("(?i)^http://"))
-    )
-
-
 def _hidden() -> Column:
-    return F.map_contains_key("attrs", "hidden") | (_attr("aria-hidden") == "true") | F.lower(_attr("style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden")
+    return F.map_contains_key("attrs", "hidden") | (attr("aria-hidden") == "true") | F.lower(attr("style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def decided(nodes: DataFrame, skip_patterns: tuple[str, ...] = (), noise: list[str] | None = None) -> DataFrame:
-    """Nodes with their flags and ``decision``: reject (with all below), skip or accept; the first rule that holds."""
-    own = W.partitionBy("page_id", "url").orderBy("pos")
+def decided(
+    nodes: DataFrame, skip_patterns: tuple[str, ...] = (), noise: list[str] | None = None, rules: tuple[SiteRule, ...] = (), translated_class: str = TRANSLATED_CLASS
+) -> DataFrame:
+    """Nodes with their flags and ``decision``: reject (with all below), skip or accept; the first rule that holds.
+
+    ``noise``: class tokens of page furniture, in place of NOISE_CLASSES. ``rules``: of sites, in order of precedence.
+    ``low_priority`` is a note that decides nothing.
+    """
+    own = W.partitionBy(PAGE).orderBy("pos")
     upto, before, after = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1), own.rowsBetween(1, W.unboundedFollowing)
     within = lambda mark, frame: F.coalesce(F.max(F.when(mark, F.col("sub_end"))).over(frame) >= F.col("pos"), F.lit(False))
     holds = lambda mark: F.coalesce(F.min(F.when(mark, F.col("pos"))).over(after) <= F.col("sub_end"), F.lit(False))
     tag = F.col("tag")
-    paragraph = F.lower(_attr("class")).contains("public-draftstyledefault-block")
-    main = tag.isin("article", "main") | _attr("role").isin("main", "article")
+    paragraph = F.lower(attr("class")).contains("public-draftstyledefault-block")
+    main = tag.isin("article", "main") | attr("role").isin("main", "article")
     df = nodes.withColumn("tokens", class_tokens()).withColumns(
         {
             "content": trimmed(F.col("text")),
             "block": tag.isin(BLOCK_TAGS),
             "paragraph": paragraph,
             "in_main": within(main, upto),
-            "in_article": within((tag == "article") | _attr("role").isin("main", "article") | _has_class(ARTICLE_CLASSES), upto),
+            "in_article": within((tag == "article") | attr("role").isin("main", "article") | _has_class(ARTICLE_CLASSES), upto),
             "block_above": within(tag.isin(BLOCK_TAGS) | paragraph, before),
             "block_below": holds(tag.isin(BLOCK_TAGS)),
             "heading_below": holds(tag.isin(HEADING_TAGS)),
             "only_inline": ~F.exists("child_tags", lambda t: ~t.isin(BLOCK_TAGS + INLINE_TAGS)),
         }
     )
-    df = df.withColumn("valid", is_valid_text(F.col("content"), skip_patterns))
+    site = lambda value: by_site(F.col("url"), rules, value, F.lit(False))
+    unwanted = site(lambda r: either([F.col("content").rlike(f"(?i){p}") for p in r.skip_texts]))
+    low = any_rule(LOW_PRIORITY_RULES) & ~((tag == "header") & F.col("heading_below"))
+    df = df.withColumns({"valid": is_valid_text(F.col("content"), skip_patterns) & ~unwanted, "low_priority": low})
     nested_body = (tag == "body") & (F.coalesce(F.col("parent_tag"), F.lit("")) != "html")
-    editable = F.map_contains_key("attrs", "contenteditable") & _attr("contenteditable").isin("", "true")
-    opted_out = F.exists(F.split(_attr("class"), r"\s+"), lambda t: t == "notranslate")
+    editable = F.map_contains_key("attrs", "contenteditable") & attr("contenteditable").isin("", "true")
+    opted_out = F.exists(F.split(attr("class"), r"\s+"), lambda t: t.isin("notranslate", translated_class))
     notice = tag.isin(NOTICE_TAGS) & F.lower("own_text").rlike("|".join(COOKIE_PHRASES))
     decision = (
-        F.when(~F.col("in_main") & _overlay(), "reject")
+        F.when(~F.col("in_main") & any_rule(OVERLAY_RULES), "reject")
         .when(tag.isin("svg", "math"), "reject")
         .when((tag.isin(NEVER_TAGS) & ~nested_body) | opted_out | editable, "reject")
         .when(_hidden(), "reject")
-        .when(_has_class(noise or noise_classes()) & (utf16_length(F.col("text")) <= NOISE_VALVE), "reject")
+        .when(_has_class(noise or NOISE_CLASSES) & (utf16_length(F.col("text")) <= NOISE_VALVE), "reject")
+        .when(site(lambda r: either([selects(x) for x in r.skip_selectors])), "reject")
         .when(notice, "reject")
         .when(~tag.isin("article", "main") & _has_word(METADATA_WORDS) & ~(tag.isin("section", "div") & _has_word(CONTENT_WORDS)), "reject")
         .when((tag == "header") & F.col("heading_below"), "skip")
@@ -157,9 +157,9 @@ def decided(nodes: DataFrame, skip_patterns: tuple[str, ...] = (), noise: list[s
     return df.withColumn("rejected_above", within(F.col("decision") == "reject", before))
 
 
-def emitted(df: DataFrame) -> Column:
+def emitted(rejected_above: Column) -> Column:
     """Whether an accepted node is a block: blocks and paragraphs, loose inline text of articles, or a bare text holder."""
-    return (F.col("decision") == "accept") & ~F.col("rejected_above") & F.col("valid") & (
+    return (F.col("decision") == "accept") & ~rejected_above & F.col("valid") & (
         (F.col("block") & ~F.col("block_below"))
         | (F.col("paragraph") & ~F.col("block"))
         | (F.col("tag").isin(INLINE_TAGS) & F.col("in_article") & ~F.col("block_above") & ~F.col("block"))
@@ -167,71 +167,45 @@ def emitted(df: DataFrame) -> Column:
     )
 
 
-def extract_blocks(nodes: DataFrame, **how) -> DataFrame:
-    """page_id, url, id, position, xpath, tag, text and heading_path of every block below a page's body.
-
-    Of equal texts of a page the first counts. ``heading_path``: texts of all headings that end before the block.
-    """
-    own = W.partitionBy("page_id", "url").orderBy("pos")
-    df = decided(nodes, **how)
-    # The walk begins below the body, which itself is never tested.
-    df = df.withColumn("rejected_above", F.coalesce(F.max(F.when((F.col("decision") == "reject") & ~F.col("tag").isin("html", "body"), F.col("sub_end"))).over(own.rowsBetween(W.unboundedPreceding, -1)) >= F.col("pos"), F.lit(False)))
-    heading = F.when(F.col("tag").isin(HEADING_TAGS), F.struct("sub_end", "content"))
-    df = df.withColumn("headings", F.collect_list(heading).over(own.rowsBetween(W.unboundedPreceding, -1)))
-    path = F.struct("sub_end", F.concat("tag", F.lit("["), "same_tag_index", F.lit("]")).alias("step"))
-    df = df.withColumn("steps", F.collect_list(path).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    first = W.partitionBy("page_id", "url", "content").orderBy("pos")
-    blocks = df.where(emitted(df)).withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("position", F.row_number().over(own).cast("long"))
-    return blocks.select(
-        "page_id", "url", F.concat(F.lit("b"), "position").alias("id"), "position",
-        F.concat(F.lit("/"), F.array_join(F.transform(F.filter("steps", lambda s: s["sub_end"] >= F.col("pos")), lambda s: s["step"]), "/")).alias("xpath"),
-        "tag", collapse_spaced(F.col("content")).alias("text"),
-        F.transform(F.filter("headings", lambda h: h["sub_end"] < F.col("pos")), lambda h: h["content"]).alias("heading_path"),
-    )
+def _below(mark: Column, within: Column) -> Column:
+    """Whether a node lies below one that ``mark`` and ``within`` hold for."""
+    before = W.partitionBy(PAGE).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.when(mark & within, F.col("sub_end"))).over(before) >= F.col("pos"), F.lit(False))
 
 
-#: Fixed values of the density score.
-TAG_BOOST = {"article": 1.3, "main": 1.2, "section": 1.02}
-POSITIVE, NEGATIVE, META = "article post entry rich story main".split(), "nav navigation navbar menu sidebar aside footer header comment comments".split(), METADATA_WORDS
+def marked_blocks(nodes: DataFrame, roots: DataFrame | None = None, **how) -> DataFrame:
+    """Decided nodes with ``in_body`` and ``in_root``: whether each is a block of the walk below the body, and of the walk
+    below its page's root (page_key, root_pos, root_end). A walk's root, and what is above, is never tested."""
+    df = decided(nodes, **how)
+    inner = ~F.col("tag").isin("html", "body")
+    df = df.withColumn("rejected_above", _below(F.col("decision") == "reject", inner)).withColumn("in_body", emitted(F.col("rejected_above")))
+    if roots is None:
+        return df.withColumn("in_root", F.lit(False))
+    df = df.join(roots.select(PAGE, "root_pos", "root_end"), PAGE, "left")
+    inside = F.coalesce((F.col("pos") > F.col("root_pos")) & (F.col("pos") <= F.col("root_end")), F.lit(False))
+    df = df.withColumn("rejected_in_root", _below(F.col("decision") == "reject", inside))
+    return df.withColumn("in_root", emitted(F.col("rejected_in_root")) & inside)
 
 
-def density(nodes: DataFrame) -> DataFrame:
-    """page_id, url, pos, tag and density of every container: text per link, weighed by structure, class and share.
+def numbered_blocks(df: DataFrame, chosen: Column) -> DataFrame:
+    """page_key, page_id, url, id, position, xpath, tag, text, heading_path and low_priority of the chosen nodes.
 
-    Aggregates over descendants come from prefix sums in document order: what lies below a node is a range of positions.
+    Of equal texts of a page the first counts. ``heading_path``: texts of all headings that end before the block; only
+    headings and blocks take part in finding it.
     """
-    own = W.partitionBy("page_id", "url").orderBy("pos")
-    upto = own.rowsBetween(W.unboundedPreceding, 0)
-    page = W.partitionBy("page_id", "url")
-    link = F.when(F.col("tag") == "a", 1).otherwise(0)
-    df = nodes.withColumn("tokens", F.split(F.lower(_attr("class")), r"[\s_-]+")).withColumns(
-        {
-            "links_upto": F.sum(link).over(upto),
-            "link_text_upto": F.sum(link * utf16_length("own_text")).over(upto),
-            "body_length": F.max(F.when(F.col("tag") == "body", utf16_length("text"))).over(page),
-            "length": utf16_length(trimmed(F.col("text"))),
-        }
-    )
-    ends = df.select("page_id", "url", F.col("pos").alias("sub_end"), F.col("links_upto").alias("links_end"), F.col("link_text_upto").alias("link_text_end"))
-    df = df.join(ends, ["page_id", "url", "sub_end"]).withColumns({"links": F.col("links_end") - F.col("links_upto"), "link_text": F.col("link_text_end") - F.col("link_text_upto")})
-    n = F.col("length").cast("double")
-    share = F.try_divide(n, F.col("body_length"))
-    boost = F.lit(1.0)
-    for tag, x in TAG_BOOST.items():
-        boost = F.when((F.col("tag") == tag) | ((F.lit(tag) == "article") & (_attr("role") == "article")), x).otherwise(boost) if tag != "article" else F.when((F.col("tag") == tag) | (_attr("role") == "article"), x).otherwise(boost)
-    has = lambda words: F.arrays_overlap("tokens", F.array(*map(F.lit, words)))
-    score = (
-        (n - F.col("link_text")) / (F.col("links") + 1) * F.ln(n + 1) / (1 + 2 * F.col("link_text") / n) * boost
-        * F.when(has(POSITIVE), 1.2).otherwise(1.0) * F.when(has(NEGATIVE), 0.5).otherwise(1.0) * F.when(has(META), 0.92).otherwise(1.0)
-        * F.when((F.size("child_tags") > 20) & (n / F.size("child_tags") < 25), 0.85).otherwise(1.0)
-        * F.when(F.col("depth") < 3, 0.95).when(F.col("depth") > 7, 0.9).otherwise(1.0)
-        * F.when(share >= 0.4, 1.3).when(share >= 0.25, 1.15).when(share < 0.05, F.greatest(F.lit(0.1), share / 0.05)).otherwise(1.0)
+    own = W.partitionBy(PAGE).orderBy("pos")
+    is_heading = F.col("tag").isin(HEADING_TAGS)
+    df = df.withColumn("chosen", chosen).where(F.col("chosen") | is_heading)
+    df = df.withColumn("headings", F.collect_list(F.when(is_heading, F.struct("sub_end", "content"))).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    first = W.partitionBy(PAGE, "content").orderBy("pos")
+    blocks = df.where("chosen").withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("position", F.row_number().over(own).cast("long"))
+    return blocks.select(
+        PAGE, "page_id", "url", F.concat(F.lit("b"), "position").alias("id"), "position", "xpath", "tag", collapse_spaced(F.col("content")).alias("text"),
+        F.transform(F.filter("headings", lambda h: h["sub_end"] < F.col("pos")), lambda h: h["content"]).alias("heading_path"), "low_priority",
     )
-    containers = df.where(F.col("tag").isin("article", "main", "section", "div", "td") | _attr("role").isin("article", "main"))
-    return containers.select("page_id", "url", "pos", "sub_end", "tag", F.when(F.col("length") < 50, 0.0).otherwise(score).alias("density"))
 
 
-def article_roots(nodes: DataFrame) -> DataFrame:
-    """page_id, url and the position range of each page's densest container; the first of equal ones."""
-    best = F.max_by(F.struct("pos", "sub_end", "tag", "density"), F.struct("density", (-F.col("pos")).alias("early")))
-    return density(nodes).where("density > 0").groupBy("page_id", "url").agg(best.alias("root")).select("page_id", "url", "root.*")
+def extract_blocks(nodes: DataFrame, roots: DataFrame | None = None, **how) -> DataFrame:
+    """The blocks below each page's root, or below its body where ``roots`` isn't given: ``numbered_blocks`` has the
+    columns."""
+    return numbered_blocks(marked_blocks(nodes, roots, **how), F.col("in_body") if roots is None else F.col("in_root"))

@@ -1,13 +1,18 @@
 """Laid-out text: spans to lines, lines to paragraphs. Both are folds whose state is the line or paragraph so far.
 
-A page is one group: neither lines nor paragraphs cross a page's border.
+A page is one group: neither lines nor paragraphs cross a page's border. Rows are dealt by page, sorted, and streamed
+through a task a page at a time, so a task holds one page, and both folds of a page are one pass.
+
+Defined results: null texts, blank ones and boxes without area don't count; repeated spans stand twice in their line;
+null ids and pages are groups of their own; of equal places the order of the texts decides; no spans, no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +55,57 @@ def group_paragraphs(lines: list[tuple]) -> list[tuple]:
     return [(" ".join(x[0] for x in g), min(x[1] for x in g), g[0][2], max(x[3] for x in g), g[-1][4], len(g)) for g in groups]
 
 
-def _frame(pdf: pd.DataFrame, rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["text", *BOX, "n"])
-    return out.assign(doc_id=pdf["doc_id"].iloc[0], page=pdf["page"].iloc[0], no=range(1, len(out) + 1))[["doc_id", "page", "no", "text", *BOX, "n"]]
+def _by_page(rows: DataFrame, order: list[str], columns: list[str], fold: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """SCHEMA rows of ``fold`` on each page's ``columns``, sorted by ``order``."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), *[pa.float64()] * 4, pa.int64()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key, out = None, []
 
-def lines(spans: DataFrame) -> DataFrame:
-    """Lines of (doc_id, page, layer, left, top, right, bottom, text); blank spans and those without area don't count."""
-    kept = spans.withColumn("text", F.trim("text")).where("text != '' and right > left and bottom > top")
+        def flush() -> None:
+            out.extend((*key, i + 1, *x) for i, x in enumerate(fold(held)))
+
+        def ready() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] != key:
+                    flush()
+                    held.clear()
+                    if len(out) >= 10_000:
+                        yield ready()
+                        out.clear()
+                key = row[:2]
+                held.append(row[2:])
+        if held:
+            flush()
+        if out:
+            yield ready()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(pdf, group_lines(list(pdf[["layer", *BOX, "text"]].itertuples(index=False, name=None))))
+    own = rows.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), *columns)
+    return own.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order).mapInArrow(run, SCHEMA)
 
-    return kept.groupBy("doc_id", "page").applyInPandas(fold, SCHEMA)
+
+def _spans(spans: DataFrame) -> DataFrame:
+    return spans.withColumn("text", F.trim("text")).where("text != '' and right > left and bottom > top")
+
+
+def lines(spans: DataFrame) -> DataFrame:
+    """Lines of (doc_id, page, layer, left, top, right, bottom, text); ``n`` counts spans."""
+    return _by_page(_spans(spans), ["layer", "top", "left", "text"], ["layer", *BOX, "text"], group_lines)
 
 
 def paragraphs(line_rows: DataFrame) -> DataFrame:
     """Paragraphs of lines, each page by itself; ``n`` counts lines."""
+    return _by_page(line_rows, ["no"], ["text", *BOX, "n"], group_paragraphs)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no", kind="stable")
-        return _frame(pdf, group_paragraphs(list(pdf[["text", *BOX, "n"]].itertuples(index=False, name=None))))
 
-    return line_rows.groupBy("doc_id", "page").applyInPandas(fold, SCHEMA)
+def paragraphs_of(spans: DataFrame) -> DataFrame:
+    """The paragraphs of spans, in one pass."""
+    return _by_page(_spans(spans), ["layer", "top", "left", "text"], ["layer", *BOX, "text"], lambda rows: group_paragraphs(group_lines(rows)))
 
 
 def overlay_boxes(paragraph_rows: DataFrame, page_width: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookloom.functions import text as T
-from brookloom.operators import cache, captions, extract, layout, retry
+from brookloom.operators import cache, captions, extract, layout, retry, roots
 from brookloom.plans.registry import query, table
 from brookloom.sources import html
 from brookloom.streaming import sessions
@@ -241,7 +241,7 @@ def layout_lines(spark, sf_dir):
 
 @query()
 def layout_paragraphs(spark, sf_dir):
-    return layout.paragraphs(layout.lines(_spans(spark, sf_dir)))
+    return layout.paragraphs_of(_spans(spark, sf_dir))
 
 
 @query("WITH o AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events), g AS (SELECT *, sum(CASE WHEN last IS NULL OR ts - last >= INTERVAL 20 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM o) SELECT user_id, max(ts) + INTERVAL 20 MINUTE AS fires_at, count(*) AS n, min(event_id) AS first_id FROM g GROUP BY user_id, s")
@@ -283,7 +283,7 @@ def page_nodes(spark, sf_dir):
 
 @query()
 def page_blocks(spark, sf_dir):
-    return extract.extract_blocks(html.html_nodes(table(spark, sf_dir, "pages")))
+    return extract.extract_blocks(html.html_nodes(table(spark, sf_dir, "pages"))).drop("page_key")
 
 
 @query()
@@ -295,8 +295,24 @@ def page_decisions(spark, sf_dir):
 
 @query()
 def article_roots(spark, sf_dir):
-    r = extract.article_roots(html.html_nodes(table(spark, sf_dir, "pages")))
-    return r.withColumn("density", F.round("density", 6))
+    return roots.article_roots(html.html_nodes(table(spark, sf_dir, "pages"))).drop("page_key")
+
+
+@query()
+def node_densities(spark, sf_dir):
+    d = roots.measured(html.html_nodes(table(spark, sf_dir, "pages")))
+    return d.select("page_id", "pos", "tag", "links", "link_text", "length", F.round("density", 6).alias("density"))
+
+
+@query()
+def prepared_pages(spark, sf_dir):
+    p = roots.prepared(table(spark, sf_dir, "pages"))
+    return p.select("page_id", "url", "status", "n_blocks", F.md5("full_text").alias("text_md5"))
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    return roots.page_chunks(table(spark, sf_dir, "pages")).drop("page_key")
 
 
 @query()
@@ -305,4 +321,4 @@ def data_islands(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     island = F.concat(F.lit('<script type="application/json">'), F.to_json(F.struct(F.struct(title.alias("description"), F.lit("x").alias("slug")).alias("props"))), F.lit("</script>"))
-    return html.data_islands(p.withColumn("html", F.concat("html", island)))
+    return html.data_islands(p.withColumn("html", F.concat("html", island))).drop("page_key")

@@ -19,8 +19,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDS_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NODE_SCHEMA = (
-    "page_id long, url string, pos int, sub_end int, parent int, depth int, tag string, same_tag_index int, parent_tag string, "
-    "child_tags array<string>, attrs map<string,string>, own_text string, direct_text boolean, child_text boolean, text string"
+    "page_key string, page_id long, url string, pos int, sub_end int, parent int, depth int, tag string, same_tag_index int, parent_tag string, "
+    "child_tags array<string>, attrs map<string,string>, own_text string, direct_text boolean, child_text boolean, text string, xpath string, "
+    "links int, link_text int"
 )
 
 
@@ -29,6 +30,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[dict] = []
+        self.links = self.link_text = 0  # so far, so that a node's are a difference
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_PARAGRAPH:
@@ -36,12 +38,18 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         up = self.open[-1] if self.open else None
-        node = {"pos": len(self.nodes), "sub_end": len(self.nodes), "up": up, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "kids": [], "own": [], "parts": []}
-        node["index"] = 1 + (sum(k["tag"] == tag for k in up["kids"]) if up else 0)
+        node = {"pos": len(self.nodes), "sub_end": len(self.nodes), "up": up, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in reversed(attrs)}, "kids": [], "own": [], "parts": [], "of_tag": {}}
+        same = up["of_tag"] if up else {}
+        same[tag] = node["index"] = same.get(tag, 0) + 1
+        node["xpath"] = f"{up['xpath'] if up else ''}/{tag}[{node['index']}]"
+        self.links += tag == "a"
+        node["links"], node["link_text"] = self.links, self.link_text
         self.nodes.append(node)
         if up:
             up["kids"].append(node)
-        if tag not in VOID:
+        if tag in VOID:
+            node["links"] = node["link_text"] = 0
+        else:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -59,8 +67,11 @@ class _Tree(HTMLParser):
                 return
 
     def _end(self, k: int) -> None:
-        for node in self.open[k:]:
+        for node in reversed(self.open[k:]):
             node["sub_end"] = len(self.nodes) - 1
+            node["links"], node["link_text"] = self.links - node["links"], self.link_text - node["link_text"]
+            if node["tag"] == "a":
+                self.link_text += sum(len(x.encode("utf-16-le")) // 2 for x in node["own"])
         del self.open[k:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -85,29 +96,41 @@ def parse(html: str) -> list[dict]:
     return tree.nodes
 
 
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_key, page_id, url and html. Rows that differ in any of the three have keys of their own, whatever their ids;
+    equal rows have equal keys."""
+    page_id, url, html = F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")
+    sign = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    return pages.select(F.md5(F.concat(sign(page_id), F.lit("\0"), sign(url), F.lit("\0"), sign(html))).alias("page_key"), page_id.alias("page_id"), url.alias("url"), html.alias("html"))
+
+
 def html_nodes(pages: DataFrame) -> DataFrame:
     """NODE_SCHEMA rows of every page: ``sub_end`` is the last position below a node, so ancestors are ranges.
 
-    A null or empty page has no nodes; rows with an equal page_id keep apart only where their urls differ.
+    ``links`` counts the links below a node and ``link_text`` the length of their own texts. A null or empty page has no
+    nodes. ``page_key`` tells pages apart, whatever their ids; equal rows are one page. Rows are dealt by page and in
+    order, as all that follows asks for.
     """
     names = [re.match(r"\w+", x.strip())[0] for x in re.split(r", (?=\w+ )", NODE_SCHEMA)]
-    kinds = [pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+    kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+            for key, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
                 for n in parse(html or ""):
                     up = n["up"]
                     text = "".join(n["parts"])
                     rows.append(
-                        (page_id, url, n["pos"], n["sub_end"], up["pos"] if up else None, n["depth"], n["tag"], n["index"], up["tag"] if up else None, [k["tag"] for k in n["kids"]],
-                         list(n["attrs"].items()), " ".join(n["own"]), any(x.strip() for x in n["own"]), any("".join(k["parts"]).strip() for k in n["kids"]), text)
+                        (key, page_id, url, n["pos"], n["sub_end"], up["pos"] if up else None, n["depth"], n["tag"], n["index"], up["tag"] if up else None, [k["tag"] for k in n["kids"]],
+                         list(n["attrs"].items()), " ".join(n["own"]), any(x.strip() for x in n["own"]), any("".join(k["parts"]).strip() for k in n["kids"]), text,
+                         n["xpath"], n["links"], n["link_text"])
                     )
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, NODE_SCHEMA)
+    nodes = (pages if "page_key" in pages.columns else keyed(pages)).select("page_key", "page_id", "url", "html").mapInArrow(run, NODE_SCHEMA)
+    return nodes.repartition("page_key").dropDuplicates(["page_key", "pos"])
 
 
 #: Fields of data islands that hold prose, and fields that never do; fixed values.
@@ -133,12 +156,13 @@ def island_texts(value: object, field: str | None = None) -> Iterator[str]:
 
 
 def data_islands(pages: DataFrame) -> DataFrame:
-    """page_id, position and text of each distinct text in a page's JSON scripts; what isn't JSON is skipped."""
+    """page_key, page_id, position and text of each distinct text in a page's JSON scripts; what isn't JSON is skipped,
+    and equal rows are one page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for key, page_id, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen: dict[str, None] = {}
                 for attrs, body in _SCRIPT.findall(html or ""):
                     if re.search(r"application/json|__NEXT_DATA__|__NUXT_DATA__", attrs):
@@ -146,8 +170,9 @@ def data_islands(pages: DataFrame) -> DataFrame:
                             seen.update(dict.fromkeys(island_texts(json.loads(body))))
                         except ValueError:
                             continue
-                rows += [(page_id, i + 1, t) for i, t in enumerate(seen)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.string())], ["page_id", "position", "text"])
+                rows += [(key, page_id, i + 1, t) for i, t in enumerate(seen)]
+            cols, kinds = list(zip(*rows, strict=True)) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["page_key", "page_id", "position", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, position int, text string")
+    own = pages if "page_key" in pages.columns else keyed(pages.withColumn("url", F.lit("")))
+    return own.select("page_key", "page_id", "html").mapInArrow(run, "page_key string, page_id long, position int, text string").dropDuplicates(["page_key", "position"])

@@ -84,7 +84,9 @@ PAGE = """<html><head><title>T</title></head><body><header><h1>Main heading here
 
 def test_page_blocks(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, "u", ""), (4, "u", "<p>un<b>closed text")], "page_id long, url string, html string")
-    got = extract.extract_blocks(html.html_nodes(pages)).orderBy("page_id", "position").collect()
+    nodes = html.html_nodes(pages)
+    assert {"Exempt words"} == {r.text for r in extract.extract_blocks(nodes).collect()} - {r.text for r in extract.extract_blocks(nodes, noise=[*extract.NOISE_CLASSES, "post-meta"]).collect()}
+    got = extract.extract_blocks(nodes, noise=[*extract.NOISE_CLASSES, "post-meta"]).orderBy("page_id", "position").collect()
     assert [(r.tag, r.text) for r in got if r.page_id == 1] == [
         ("h1", "Main heading here"), ("h2", "Second heading"), ("p", "First paragraph of text."), ("p", "Another bold one"), ("span", "Loose inline text"),
         ("li", "Item one here"), ("p", "Inner para"), ("div", "Bare holder text"),
