@@ -1,11 +1,21 @@
 """Key terms of documents: candidate streams, one form for each, plural merge, noise, scores and the best fifty.
 
 Candidates are counted per document after one explode; all later steps are keyed by (doc_id, term), so they reuse the
-document's partitioning. A document's terms are bounded by its text.
+document's partitioning. A document's terms are bounded by its text, which takes part in no join. Word lists are
+arguments: the defaults are short lists of the engine's own.
+
+Defined results: null texts and those under 50 characters have no terms; ``glossary`` takes each distinct
+row of id and text as a document of its own, also where ids are null or repeated, and streams take rows of one id together; ties keep the order of streams,
+then of terms; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,39 +33,150 @@ STOP_WORDS = tuple(
     "the their them then there these they this those to was we were what when where which who will with would you your".split()
 )
 NOT_ACRONYMS = ("THE", "AND", "FOR", "NOT", "BUT", "ALL", "ARE", "WAS", "YOU", "ISBN", "HTML", "JSON", "ACM")
+#: Names of products as they are written, of publications, and words that make a phrase a term wherever it stands.
+PRODUCT_NAMES = (
+    "Kubernetes", "Docker", "PostgreSQL", "MySQL", "SQLite", "Redis", "Apache Spark", "Apache Kafka", "GitHub", "GitLab", "PyTorch", "TensorFlow", "NumPy",
+    "Node.js", "TypeScript", "JavaScript", "Visual Studio Code", "Chromium", "Firefox", "Linux", "macOS", "OpenStreetMap", "Wikipedia",
+)
+PUBLICATIONS = ("The New York Times", "The Guardian", "The Economist", "Le Monde", "El País", "Der Spiegel", "Nature", "Science")
+ANCHORS = tuple("agent algorithm api benchmark cache cloud cluster compiler database dataset embedding encoder index inference kernel latency model network pipeline protocol query schema server token vector".split())
+COMMON_NOUNS = tuple("article case day example fact group home house idea issue life line man month morning number part people person place point problem question reason result room side story thing things time way week woman word work world year years".split())
+#: Verbs at which a phrase ends.
+BREAKERS = tuple("add adds allow allows become becomes begin begins came come comes did do does feed feeds gave get gets give gives go goes helps hold holds keep keeps let lets made make makes need needs run runs said say says scale scales see sees take takes use used uses using want wants went works".split())
+SINGLE_LEAST, PHRASE_LEAST, ANCHOR_LEAST, START_LEAST = 3, 2, 1, 3
 MOST_TERMS = 50
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos and word: maximal runs of ASCII letters, digits and underscores, code and addresses blanked."""
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(blanked_code(F.col("text")), F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))).alias("pos", "word"))
+def _words(plain: Column) -> Column:
+    return F.regexp_extract_all(plain, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
+
+
+def words_of(docs: DataFrame, pattern: str | None = None) -> DataFrame:
+    """doc_id, pos and word: maximal runs of ASCII letters, digits and underscores, code and addresses blanked; those alone
+    that match ``pattern``, if given."""
+    words = _words(blanked_code(F.col("text")))
+    return docs.select("doc_id", F.posexplode(F.filter(words, lambda w: w.rlike(pattern)) if pattern else words).alias("pos", "word"))
 
 
 def acronyms(docs: DataFrame, excluded: tuple[str, ...] = NOT_ACRONYMS) -> DataFrame:
     """doc_id, term and n; a word of five capitals or more must occur twice."""
-    found = words_of(docs).where(F.col("word").rlike(ACRONYM) & ~F.col("word").isin(*excluded))
+    found = words_of(docs, ACRONYM).where(~F.col("word").isin(*excluded))
     return found.groupBy("doc_id", F.col("word").alias("term")).agg(F.count("*").alias("n")).where(~F.col("term").rlike("^[A-Z]{5,}$") | (F.col("n") >= 2))
 
 
+def acronyms_of(plain: Column, excluded: tuple[str, ...] = NOT_ACRONYMS) -> Column:
+    """The same of one blanked text, without counts."""
+    found = F.filter(_words(plain), lambda w: w.rlike(ACRONYM) & ~w.isin(*excluded))
+    return F.filter(F.array_distinct(found), lambda w: ~w.rlike("^[A-Z]{5,}$") | (F.size(F.array_remove(found, w)) <= F.size(found) - 2))
+
+
+def products_of(text: Column) -> Column:
+    """Distinct product names of three characters or more."""
+    names = F.transform(F.regexp_extract_all(text, F.lit(PRODUCT), F.lit(0)), lambda t: F.trim(F.regexp_replace(t, r"[\s\-]+$", "")))
+    return F.filter(F.array_distinct(names), lambda t: F.length(t) >= 3)
+
+
 def products(docs: DataFrame) -> DataFrame:
-    """doc_id and each distinct product name of three characters or more."""
-    names = F.transform(F.regexp_extract_all("text", F.lit(PRODUCT), F.lit(0)), lambda t: F.trim(F.regexp_replace(t, r"[\s\-]+$", "")))
-    return docs.select("doc_id", F.explode(F.array_distinct(names)).alias("term")).where("length(term) >= 3")
+    """doc_id and each distinct product name."""
+    return docs.select("doc_id", F.explode(products_of(F.col("text"))).alias("term"))
+
+
+def capitalised_of(plain: Column) -> Column:
+    """Capitalised words of a blanked text after a lower-case letter, comma, semicolon or colon and a space, repeats and all."""
+    found = F.regexp_extract_all(plain, F.lit(r"[a-z,;:] ([A-Z][a-z]{2,})\b"), F.lit(1))
+    return F.filter(found, lambda t: ~F.lower(t).isin(*STOP_WORDS))
 
 
 def capitalised(docs: DataFrame) -> DataFrame:
-    """doc_id, term and n: capitalised words after a lower-case letter, comma, semicolon or colon and a space."""
-    found = F.regexp_extract_all(blanked_code(F.col("text")), F.lit(r"[a-z,;:] ([A-Z][a-z]{2,})\b"), F.lit(1))
-    return docs.select("doc_id", F.explode(found).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n")).where(~F.lower("term").isin(*STOP_WORDS))
+    """doc_id, term and n of capitalised words inside sentences."""
+    return docs.select("doc_id", F.explode(capitalised_of(blanked_code(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+COUNTS = "words array<struct<word:string,n:int,n_start:int,n_owner:int>>, phrases array<struct<term:string,n:int,hits:int>>"
+_NAME, _START, _OWNER = re.compile(r"\b[A-Z][a-z]+\b"), re.compile(r"(?:^|[.!?\n])\s*([A-Z][a-z]+)\b"), re.compile(r"\b([A-Z][a-z]+)['’]s\b")
+_BETWEEN, _PARTS = re.compile(r"[^\w'’ -]+"), re.compile(r"([^a-z0-9_]+)")
+
+
+def count_words(text: str) -> list[tuple[str, int, int, int]]:
+    """(word, times, of these at a sentence's start, with a possessive ending) of capitalised words."""
+    n, start, owner = Counter(_NAME.findall(text)), Counter(_START.findall(text)), Counter(_OWNER.findall(text))
+    return [(w, k, start[w], owner[w]) for w, k in n.items()]
+
+
+def count_phrases(text: str, whole: str, anchors: frozenset[str], stop: frozenset[str], longest: int = 3) -> list[tuple[str, int, int]]:
+    """(phrase, times, times in the whole text with no word character on either side) of runs of small words that are
+    frequent enough: three times for one word of five letters that is no common noun, twice for more words, not all of
+    them common nouns, once with an anchor among them. No phrase holds or crosses a stop word or a mark."""
+    words = [w if len(w) >= 3 and w.isascii() and w.isalpha() and w not in stop else None for w in _BETWEEN.sub(" . ", text.lower()).split(" ")]
+    low = whole.lower()
+    parts = _PARTS.split(low)  # words, and what stands between them
+    runs, hits, out = [words], [parts[::2]], []
+    for k in range(1, longest):
+        runs.append([f"{a} {b}" if a and b else None for a, b in zip(runs[-1], words[k:])])
+        hits.append([f"{a} {b}" if a and s == " " else None for a, s, b in zip(hits[-1], parts[2 * k - 1 :: 2], parts[2 * k :: 2])])
+    for k, found in enumerate(runs, 1):
+        held: Counter | None = None
+        for t, n in Counter(filter(None, found)).items():
+            own = t.split(" ")
+            if k == 1:
+                ok = n >= SINGLE_LEAST and len(t) >= 5 and t not in COMMON_NOUNS
+            else:
+                anchored = any(w in anchors or w.removesuffix("s") in anchors for w in own)
+                ok = n >= (ANCHOR_LEAST if anchored else PHRASE_LEAST) and len(t) <= 60 and not all(w in COMMON_NOUNS for w in own)
+            if ok and (k == 1 or own[0] != own[-1]):
+                held = held or Counter(filter(None, hits[k - 1]))
+                out.append((t, n, held[t]))
+            elif ok:  # it may overlap itself
+                out.append((t, n, len(re.findall(rf"(?<![a-z0-9_]){re.escape(t)}(?![a-z0-9_])", low))))
+    return sorted(out, key=lambda x: (-x[1], x[0]))
+
 
+def counted(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, breakers: tuple[str, ...] = BREAKERS) -> DataFrame:
+    """``docs`` (doc_id, text) with ``plain``, the text with code and addresses blanked, and its COUNTS, in one pass."""
+    stop, held = frozenset((*STOP_WORDS, *breakers)), frozenset(anchors)
 
-def phrases(docs: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, term and n: two words in a row, neither a stop word nor split by punctuation, ``least`` times or more."""
-    pairs = F.regexp_extract_all(F.lower(blanked_code(F.col("text"))), F.lit(r"\b([a-z]{3,}(?= [a-z]{3,}\b))"), F.lit(1))
-    following = F.regexp_extract_all(F.lower(blanked_code(F.col("text"))), F.lit(r"\b[a-z]{3,}(?= ([a-z]{3,})\b)"), F.lit(1))
-    both = docs.select("doc_id", F.explode(F.arrays_zip(pairs.alias("a"), following.alias("b"))).alias("p")).select("doc_id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    kept = both.where(~F.col("a").isin(*STOP_WORDS) & ~F.col("b").isin(*STOP_WORDS))
-    return kept.groupBy("doc_id", F.concat_ws(" ", "a", "b").alias("term")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            plain = pdf["plain"]
+            pdf["words"] = [count_words(t) for t in plain]
+            pdf["phrases"] = [count_phrases(t, x, held, stop) for t, x in zip(plain, pdf["text"], strict=True)]
+            yield pdf
+
+    own = docs.select("doc_id", "text", blanked_code(F.col("text")).alias("plain"))
+    return own.mapInPandas(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string, plain string, {COUNTS}")
+
+
+def sentence_starts(words: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """Of counted words those that begin a sentence and stand START_LEAST times, or are an anchor."""
+    small = lambda w: F.lower(w["word"])
+    good = lambda w: (w["n_start"] > 0) & (F.length(w["word"]) >= 3) & ((w["n"] >= START_LEAST) | small(w).isin(*anchors)) & ~small(w).isin(*STOP_WORDS, *COMMON_NOUNS)
+    return F.transform(F.filter(words, good), lambda w: w["word"])
+
+
+def owners_only(words: Column) -> Column:
+    """Counted words that never stand without a possessive ending."""
+    return F.transform(F.filter(words, lambda w: w["n_owner"] >= w["n"]), lambda w: w["word"])
+
+
+def misread_starts(words: Column, exempt: tuple[str, ...] = ANCHORS) -> Column:
+    """Counted words that stand once, at a sentence's start: no names, but for those exempt."""
+    return F.transform(F.filter(words, lambda w: (w["n"] <= 1) & (w["n_start"] > 0) & ~F.lower(w["word"]).isin(*exempt)), lambda w: w["word"])
+
+
+def _alternatives(names: tuple[str, ...]) -> str:
+    return "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=lambda x: (-len(x), x)))
+
+
+def listed_names(text: Column, names: tuple[str, ...] = PRODUCT_NAMES) -> Column:
+    """The distinct names that stand in a text as whole words in any case, written as the list has them."""
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![a-z0-9_])({_alternatives(names)})(?![a-z0-9_])"), F.lit(1))
+    written = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
+    return F.array_distinct(F.transform(found, lambda t: F.element_at(written, F.lower(t))))
+
+
+def publications(text: Column, names: tuple[str, ...] = PUBLICATIONS) -> Column:
+    """The names that a text holds anywhere, as they are written."""
+    return F.filter(F.array(*map(F.lit, names)), lambda n: text.contains(n))
 
 
 def one_form(terms: DataFrame) -> DataFrame:
@@ -94,27 +215,48 @@ def term_score(term: Column, n: Column) -> Column:
     )
 
 
-def glossary(docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None) -> DataFrame:
+def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``terms`` (doc_id, term) with n: how often each stands in its text as a whole term, whatever the case."""
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("term"), F.lit(r"\E(?![a-z0-9_])")), F.lit(0)))
+    return terms.join(docs.select("doc_id", "text"), "doc_id").select(*terms.columns, n.alias("n"))
+
+
+def glossary(
+    docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None, names: tuple[str, ...] = PRODUCT_NAMES,
+    publication_names: tuple[str, ...] = PUBLICATIONS, anchors: tuple[str, ...] = ANCHORS,
+) -> DataFrame:
     """doc_id, rank, term and score of each document's best terms.
 
     ``emphasised``: rows of (doc_id, term) to add. ``prefix``: callers that show a page pass 4000; by default whole
-    texts count. Streams keep their order: acronyms, products, names, phrases, emphasised.
+    texts count. Streams keep their order: acronyms, products, listed names, names, sentence starts, publications, phrases,
+    emphasised. All but the last come from one pass over each text; emphasised terms without a capital, whose score
+    counts them, are the only ones that meet a text in a join.
     """
     docs = docs.select("doc_id", "text").where("text is not null and length(text) >= 50")
     if prefix:
         docs = docs.withColumn("text", F.substring("text", 1, prefix))
-    streams = [acronyms(docs).select("doc_id", "term"), products(docs), capitalised(docs).select("doc_id", "term"), phrases(docs).select("doc_id", "term")]
+    # Rows that differ are documents of their own, whatever their ids.
+    docs = docs.select(F.struct(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").alias("id")).alias("doc_id"), "text")
+    text, plain, words = F.col("text"), F.col("plain"), F.col("words")
+    owners = F.array_union(owners_only(words), misread_starts(words, anchors))
+    streams = [
+        acronyms_of(plain), products_of(text), listed_names(text, names), F.array_except(F.array_distinct(capitalised_of(plain)), owners),
+        F.array_except(sentence_starts(words, anchors), owners), publications(text, publication_names),
+    ]
+    cut = lambda terms, k: F.transform(terms, lambda t: F.struct(F.lit(k).alias("stream"), clean_term(t).alias("term"), F.lit(0).alias("n")))
+    phrases = F.transform("phrases", lambda p: F.struct(F.lit(len(streams)).alias("stream"), p["term"].alias("term"), p["hits"].alias("n")))
+    every = F.concat(*[cut(x, k) for k, x in enumerate(streams)], phrases)
+    terms = counted(docs, anchors).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
     if emphasised is not None:
-        streams.append(emphasised.where("length(term) between 2 and 79").select("doc_id", "term"))
-    terms = None
-    for k, s in enumerate(streams):
-        s = s.select("doc_id", clean_term(F.col("term")).alias("term"), F.lit(k).alias("stream"))
-        terms = s if terms is None else terms.unionByName(s)
+        ids = docs.select("doc_id", F.col("doc_id.id").alias("own_id"))
+        added = emphasised.where("length(term) between 2 and 79").select(F.col("doc_id").alias("own_id"), clean_term(F.col("term")).alias("term")).join(ids, "own_id").select("doc_id", "term")
+        small = ~F.col("term").rlike("[A-Z]")
+        added = occurrences(docs, added.where(small)).unionByName(added.where(~small).withColumn("n", F.lit(0)))
+        terms = terms.unionByName(added.select("doc_id", F.lit(len(streams) + 1).alias("stream"), "term", "n"))
+    terms = terms.where("term != ''").groupBy("doc_id", "term").agg(F.min("stream").alias("stream"), F.max("n").alias("n"))
+    hits = terms.select("doc_id", "term", "n")
     order = W.partitionBy("doc_id").orderBy("stream", "term")
-    terms = one_form(terms.where("term != ''").withColumn("pos", F.row_number().over(order)))
-    terms = plural_merged(terms).where(~is_noise(F.col("term")))
-    found = terms.join(docs, "doc_id")
-    n = F.size(F.regexp_extract_all(F.lower("text"), F.concat(F.lit(r"(?<![a-z0-9_])\Q"), F.lower("term"), F.lit(r"\E(?![a-z0-9_])")), F.lit(0)))
-    scored = found.select("doc_id", "term", "pos", term_score(F.col("term"), n).cast("double").alias("score"))
+    merged = plural_merged(one_form(terms.select("doc_id", "term", F.row_number().over(order).alias("pos")))).where(~is_noise(F.col("term")))
+    scored = merged.join(hits, ["doc_id", "term"]).select("doc_id", "term", "pos", term_score(F.col("term"), F.col("n")).cast("double").alias("score"))
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select("doc_id", "rank", "term", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(F.col("doc_id.id").alias("doc_id"), "rank", "term", "score")

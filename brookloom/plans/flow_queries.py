@@ -52,15 +52,19 @@ def applied_responses(spark, sf_dir):
     return retry.applied(*_blocks(spark, sf_dir))
 
 
+_SAME = "same AS (SELECT conv_id AS doc_id, 'c' || turn % 2 AS chunk_id, 'b' || turn AS id, turn AS position, 'line ' || turn % 3 AS text, role, turn FROM conversations), told AS (SELECT doc_id, chunk_id, id, turn AS seq, '> ' || role || turn AS text FROM same WHERE turn % 4 = 1)"
+
+
 @query(
-    _BOTH
-    + """, t AS (SELECT doc_id, chunk_id, id, b.position, b.text, a.translated FROM blocks b JOIN (SELECT doc_id, chunk_id, id, arg_max(text, seq) AS translated FROM answers GROUP BY ALL) a USING (doc_id, chunk_id, id) WHERE a.translated <> b.text),
+    f"""WITH {_SAME}, t AS (SELECT doc_id, chunk_id, id, b.position, b.text, a.translated FROM same b JOIN (SELECT doc_id, chunk_id, id, arg_max(text, seq) AS translated FROM told GROUP BY ALL) a USING (doc_id, chunk_id, id) WHERE a.translated <> b.text),
 d AS (SELECT doc_id, text, arg_min(translated, position) AS translated FROM t GROUP BY ALL)
-SELECT b.doc_id, b.chunk_id, b.id, b.text, d.translated FROM blocks b JOIN d USING (doc_id, text) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.chunk_id = b.chunk_id AND t.id = b.id)"""
+SELECT b.doc_id, b.chunk_id, b.id, b.text, d.translated FROM same b JOIN d USING (doc_id, text) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.chunk_id = b.chunk_id AND t.id = b.id)"""
 )
 def recovered_by_text(spark, sf_dir):
-    b, a = _blocks(spark, sf_dir)
-    return retry.recovered_by_text(b, retry.applied(b, a))
+    """Turns that say one of three lines, every fourth answered: the others take the first answer to their line."""
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    b = spark.sql(f"WITH {_SAME} SELECT doc_id, chunk_id, id, position, text FROM same")
+    return retry.recovered_by_text(b, retry.applied(b, spark.sql(f"WITH {_SAME} SELECT * FROM told")))
 
 
 @query("SELECT conv_id, role, count(*) AS n, count(*) FILTER ((conv_id + turn) % 4 <> 1) AS ok, count(*) FILTER (turn % 6 = 5) AS failed FROM conversations GROUP BY ALL")
@@ -142,7 +146,7 @@ def pending_retries(spark, sf_dir):
     return cache.pending(e.select(F.col("user_id").alias("owner"), F.col("event_id").cast("string").alias("key"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.col("event_id") % 5).alias("tries")))
 
 
-_SEGS = r"""words AS (SELECT conv_id::VARCHAR AS video_id, turn AS pos, turn * 3000 AS start_ms, 2500 AS duration_ms, regexp_extract_all(text, '\S+')[:12] AS ws FROM conversations WHERE text IS NOT NULL),
+_SEGS = r"""words AS (SELECT conv_id::VARCHAR AS video_id, turn AS pos, turn * 3000 AS start_ms, 2500 AS duration_ms, regexp_extract_all(text, '\S+') AS ws FROM conversations WHERE text IS NOT NULL),
 segs AS (SELECT video_id, pos, start_ms + (i - 1) * 200 AS begin, CASE WHEN i = len(ws) THEN start_ms + duration_ms ELSE 0 END AS stop, i, w AS text FROM (SELECT *, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM words)),
 nexts AS (SELECT *, lead(begin) OVER (PARTITION BY video_id ORDER BY pos, i) AS next FROM segs),
 fragments AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY pos, i) - 1 AS idx, begin AS start_ms, CASE WHEN next IS NOT NULL AND (stop = 0 OR stop > next) THEN next ELSE stop END AS end_ms, text FROM nexts)"""
@@ -150,7 +154,7 @@ fragments AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY
 
 def _timed(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), 1, 12)
+    words = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))
     segs = F.transform(words, lambda w, i: F.struct(w.alias("utf8"), (i * 200).cast("long").alias("offset_ms")))
     null = F.lit(None).cast("int")
     return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), (F.col("turn") * 3000).alias("start_ms"), F.lit(2500).cast("long").alias("duration_ms"), null.alias("append"), null.alias("win_id"), null.alias("pos_id"), segs.alias("segs"), F.lit("en").alias("lang"))
@@ -235,7 +239,7 @@ def _spans(spark, sf_dir):
 
 @query()
 def layout_lines(spark, sf_dir):
-    """Spans of words set in rows; a fold, held against a second form in tests."""
+    """Spans of words set in rows; a fold, held against worked examples in tests."""
     return layout.lines(_spans(spark, sf_dir))
 
 
@@ -281,7 +285,23 @@ def page_nodes(spark, sf_dir):
     return n.select("page_id", "pos", "sub_end", "parent", "depth", "tag", F.md5("text").alias("text_md5"))
 
 
-@query()
+#: The pages' article and advertisement cut out by regular expressions, as these pages allow; text after the last end tag
+#: of a paragraph is outside of it.
+_CUT = r"""cut AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages),
+pieces AS (SELECT page_id, url, 'ad' AS source, 0 AS i, 'div' AS tag, ad AS raw FROM cut UNION ALL
+  SELECT page_id, url, 'article', i, regexp_extract(x, '^(\w+)', 1), regexp_extract(x, '^\w+>(.*)$', 1, 's') FROM (
+    SELECT page_id, url, unnest(string_split(replace(replace(art, '<p>', chr(1) || 'p>'), '<h1>', chr(1) || 'h1>'), chr(1))[2:]) AS x, generate_subscripts(string_split(replace(replace(art, '<p>', chr(1)), '<h1>', chr(1)), chr(1))[2:], 1) AS i FROM cut)),
+texts AS (SELECT page_id, url, source, i, tag, row_number() OVER (PARTITION BY page_id, url, source, tag ORDER BY i) AS nth,
+  trim(replace(replace(replace(replace(replace(replace(regexp_replace(split_part(split_part(raw, '</p>', 1), '</h1>', 1), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), E' \t\n\r') AS text FROM pieces),
+valid AS (SELECT * FROM texts WHERE length(text) >= 3 AND length(text) < 3072 AND NOT (length(text) < 25 AND regexp_full_match(text, '[A-Z0-9\s]+') AND NOT regexp_full_match(text, '[0-9\s]+'))),
+firsts AS (SELECT * REPLACE (list_reduce(list_prepend(text, regexp_extract_all(text, '[a-zA-Z0-9](?:\s+[a-zA-Z0-9]){3,}')), lambda t, r: replace(t, r, regexp_replace(r, '\s+', '', 'g'))) AS text) FROM valid QUALIFY row_number() OVER (PARTITION BY page_id, url, SCOPE text ORDER BY source, i) = 1),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY page_id, url, SCOPE 0 ORDER BY source, i) AS position FROM firsts)"""
+
+
+@query(
+    f"""WITH {_CUT.replace('SCOPE ', '')} SELECT page_id, url, 'b' || position AS id, position, CASE WHEN source = 'ad' THEN '/html[1]/body[1]/div[1]' ELSE '/html[1]/body[1]/article[1]/' || tag || '[' || nth || ']' END AS xpath, tag, text,
+CASE WHEN tag = 'p' THEN (SELECT list(h.text) FROM texts h WHERE h.page_id = b.page_id AND h.url = b.url AND h.tag = 'h1') ELSE [] END AS heading_path, source = 'ad' AS low_priority FROM blocks b"""
+)
 def page_blocks(spark, sf_dir):
     return extract.extract_blocks(html.html_nodes(table(spark, sf_dir, "pages"))).drop("page_key")
 
@@ -293,18 +313,25 @@ def page_decisions(spark, sf_dir):
     return d.groupBy("tag", F.when(F.col("rejected_above"), "reject").otherwise(F.col("decision")).alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    r"""SELECT page_id, url, n AS root_pos, n + len(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[a-z][a-z0-9]*[\s>]')) AS root_end, 'container' AS layer
+FROM (SELECT page_id, url, html, len(regexp_extract_all(split_part(html, '<article>', 1), '<[a-z][a-z0-9]*[\s>]')) AS n FROM pages)"""
+)
 def article_roots(spark, sf_dir):
     return roots.article_roots(html.html_nodes(table(spark, sf_dir, "pages"))).drop("page_key")
 
 
 @query()
 def node_densities(spark, sf_dir):
+    """Each node's density; a test holds the rule against a plain walk."""
     d = roots.measured(html.html_nodes(table(spark, sf_dir, "pages")))
     return d.select("page_id", "pos", "tag", "links", "link_text", "length", F.round("density", 6).alias("density"))
 
 
-@query()
+@query(
+    f"""WITH {_CUT.replace('SCOPE ', 'source, ')} SELECT page_id, url, 'article' AS status, count(*)::INT AS n_blocks, md5(string_agg(text, chr(10) || chr(10) ORDER BY position)) AS text_md5
+FROM blocks WHERE source = 'article' GROUP BY page_id, url"""
+)
 def prepared_pages(spark, sf_dir):
     p = roots.prepared(table(spark, sf_dir, "pages"))
     return p.select("page_id", "url", "status", "n_blocks", F.md5("full_text").alias("text_md5"))
