@@ -31,13 +31,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir.
 
-    Where the session names none, as in tests on one machine, a temporary folder takes its place.
+    Where the session names none, a temporary folder takes its place on one machine; a cluster, whose machines don't share
+    such a folder, is an error. Files stay until the folder's owner clears it: rows read from them outlive this call.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="brookloom-")
             spark.sparkContext.setCheckpointDir(base)

@@ -1,8 +1,9 @@
 """MinHash near-duplicates, candidates checked by odd sketches, links confirmed on full shingle sets.
 
-1. Each text gives its shingle count, a 128-bit digest of its shingle set, MinHash band keys, and an odd sketch: the
+1. Each text gives its shingle count, a 128-bit digest of its words in order, MinHash band keys, and an odd sketch: the
    MinHash samples folded into a parity bitmap. The population count of two sketches' XOR estimates their similarity.
-2. Equal digests are exact classes; the smallest doc_id stands for each, so copies are never paired.
+2. Texts of equal words are exact classes; the smallest doc_id stands for each, so copies are never paired. Texts whose
+   sets are equal but not their words take the way of all others, and are confirmed on full sets.
 3. Representatives that share a band key meet in cells. A key with many of them is dealt over a triangular grid of
    cells of bounded size, in which any two still meet once. A cell compares sketches and returns a row for each
    document that has a likely partner: its neighbourhood's smallest document, not the pairs.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +75,11 @@ def sketch_similarity(apart: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest (two longs, null for an empty set), band keys and sketch of every row."""
+    """doc_id, n_shingles, digest of the words (two longs, null without any), band keys and sketch of every row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(b) for b in as_bytes(batch.column("text"))]
+        texts = as_bytes(batch.column("text"))
+        sets = [shingles(b) for b in texts]
         size = np.array([len(h) for h in sets], np.int64)
         full = np.flatnonzero(size)
         m = np.array([minhashes(sets[i]) for i in full.tolist()], np.uint32).reshape(len(full), BANDS * ROWS)
@@ -87,8 +90,8 @@ def signatures(docs: DataFrame) -> DataFrame:
         at = np.full(len(sets), -1)
         at[full] = np.arange(len(full))
         sketch = odd_sketches(m)
-        d1 = [int(np.add.reduce(mix(h)).astype(np.int64)) if len(h) else None for h in sets]
-        d2 = [int(np.bitwise_xor.reduce(mix(h + np.uint64(0x9E37))).astype(np.int64)) if len(h) else None for h in sets]
+        digest = [np.frombuffer(xxhash.xxh3_128_digest(b" ".join(b.translate(UPPER_TO_LOWER).split())), np.int64).tolist() if len(h) else (None, None) for b, h in zip(texts, sets, strict=True)]
+        d1, d2 = [x for x, _ in digest], [x for _, x in digest]
         bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(size > 0, BANDS, 0))].astype(np.int32)), pa.array(keys.view(np.int64).ravel()))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(size), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), bands, pa.array([sketch[i].tobytes() if i >= 0 else None for i in at.tolist()], pa.binary())],
@@ -246,24 +249,30 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     coarse = components(neighbourhoods(reps, threshold))
     sized = coarse.join(signed.groupBy("doc_id").agg((F.max("n_shingles") * 8).alias("bytes")), "doc_id")
     links = confirmed(docs, stored(sized, "groups"), threshold)
-    # Rows of one id are one node: classes that share an id are linked.
-    nodes = usable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("reps"))
-    shared = nodes.where("a != b").select("a", F.explode("reps").alias("b")).where("a != b")
+    # Rows of one id are one node: classes that share an id are linked, each with the least of them.
+    nodes = usable.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a != most").select("doc_id", "a")
+    shared = nodes.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a != b")
     found = components(links.select("a", "b").union(shared))
     labels = classes.join(found, classes["rep"] == found["doc_id"], "left").select("d1", "d2", F.coalesce("label", "rep").alias("component"))
+    # Rows without words have no class: they take no part in the join, where they would all meet in one task.
+    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
+    joined = rows.where("d1 is not null").join(labels, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component")
+    alone = rows.where("d1 is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
     return (
-        signed.select("doc_id", "n_shingles", "d1", "d2")
-        .join(labels, ["d1", "d2"], "left")
+        joined.unionByName(alone)
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each component, all columns as they were; of repeated rows of its id, one."""
+    """One document of each component, all columns as they were; of repeated rows of its id, the one whose text has the
+    least hash."""
     found = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id is not null").distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["kept_id"]).drop("kept_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(found, docs["doc_id"].cast("long") == found["kept_id"])
+    one = kept.groupBy("kept_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.*")
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 #: The query's rows at a threshold of 0.85: all pairs that share a shingle, and reachability by recursion.

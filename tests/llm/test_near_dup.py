@@ -63,6 +63,39 @@ def test_components_match_brute_force(spark, monkeypatch):
         assert all(got[i].n_shingles == len(full_set(t)) and got[i].kept == (got[i].component_id == i) for i, t in rows)
 
 
+def test_recall_at_the_pipelines_threshold(spark):
+    """At 0.8 no component is lost on these texts, where one pair in 2,400 shares no band but has other links."""
+    rows = corpus(7)
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), 0.8).collect()}
+    assert got == brute(rows, 800)
+
+
+def test_one_large_group_of_near_copies(spark, monkeypatch):
+    """Half of all rows vary one text, dealt over many cells; a chain of edits reaches from one end to the other."""
+    monkeypatch.setattr(near_dup, "CELL_DOCS", 16)
+    r = random.Random(11)
+    base = [f"t{k}" for k in range(150)]
+    rows, chain = [], list(base)
+    for i in range(150):
+        w = list(base)
+        w[r.randrange(150)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    for i in range(20):
+        chain[i * 7] = f"c{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, " ".join(r.choices([f"o{k}" for k in range(500)], k=80))) for i in range(100)] + [(3000 + i, " " * i) for i in range(30)]
+    got = {x.doc_id: x.component_id for x in near_duplicates(frame(spark, rows), 0.85).collect()}
+    assert got == brute(rows, 850) and got[1019] == got[0] == 0
+
+
+def test_equal_sets_of_other_order(spark):
+    """Two orders of the same shingles are two classes with one link."""
+    a = "a b c d e f g h i j"
+    rows = [(1, f"{a} x {a} y {a}"), (2, f"{a} y {a} x {a}"), (3, f"{a} X {a}  y {a}")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), 0.85).collect()}
+    assert got == brute(rows, 850) and got[3] == 1
+
+
 def test_repeated_and_null_ids(spark):
     t = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
     rows = [(5, t[0]), (5, t[1]), (7, t[1]), (9, t[0]), (None, t[0]), (3, t[2]), (3, t[2])]
