@@ -139,6 +139,11 @@ def upload_verdict(share: Column, url: Column, html: Column, server: Column) ->
     )
 
 
+def pixels(c: Column) -> Column:
+    """The number that a length in pixels begins with, else 0."""
+    return F.coalesce(F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double"), F.lit(0.0))
+
+
 def url_host(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

@@ -1,8 +1,16 @@
-"""A keyed cache with expiry as tables: (key, data, ts_ms, ttl_ms). Every operator is one equi-join or aggregate."""
+"""A keyed cache with expiry, and a queue of retries, as tables. Every operator is one equi-join or aggregate.
+
+The cache holds (key, data, ts_ms, ttl_ms), the queue (owner, key, ts_ms, tries, ...). Writes return the new table; a
+bucketed store on disk replaces the files of the buckets that a write touches, and no others. Defined results: of
+equal times the greater data counts; null keys match nothing; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY_MS = 86_400_000
@@ -56,3 +64,74 @@ def pending(queue: DataFrame, most: int = 3) -> DataFrame:
     from pyspark.sql import Window as W
 
     return queue.where(F.col("tries") < most).withColumn("place", F.row_number().over(W.partitionBy("owner").orderBy("ts_ms", "key")))
+
+
+def written(entries: DataFrame, new: DataFrame, now_ms: int, ttl_ms: int = 0) -> DataFrame:
+    """The cache after ``new`` (key, data) is written: of each key the new entry, else the old."""
+    fresh = new.groupBy("key").agg(F.max("data").alias("data")).select("key", "data", F.lit(now_ms).cast("long").alias("ts_ms"), F.lit(ttl_ms).cast("long").alias("ttl_ms"))
+    return removed(latest(entries), fresh).select(*fresh.columns).unionByName(fresh)
+
+
+def cleared(entries: DataFrame) -> DataFrame:
+    return entries.limit(0)
+
+
+def bucket_index(entries: DataFrame, buckets: int = 64) -> DataFrame:
+    """bucket, n and keys of the store: how many entries each bucket has."""
+    return with_bucket(latest(entries), buckets).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def save_bucketed(entries: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write whole buckets: those that ``entries`` has rows for take the place of what was there."""
+    with_bucket(latest(entries), buckets).repartition("bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def load_bucketed(spark: SparkSession, path: str, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """The store, or what it has of a few keys: only their buckets' files are read."""
+    held = spark.read.parquet(path)
+    if keys is not None:
+        own = spark.createDataFrame([(k,) for k in keys], "key string")
+        wanted = sorted({r.bucket for r in with_bucket(own, buckets).select("bucket").collect()})  # one for each key asked for
+        held = held.where(F.col("bucket").isin(wanted)).join(F.broadcast(own), "key", "left_semi")
+    return held.drop("bucket")
+
+
+def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
+    """The queue with rows whose key it didn't have, untried."""
+    first = new.dropDuplicates(["key"]).join(queue.select("key"), "key", "left_anti").withColumn("tries", F.lit(0).cast(queue.schema["tries"].dataType))
+    return queue.unionByName(first.select(*queue.columns))
+
+
+def dequeued(queue: DataFrame, keys: DataFrame) -> DataFrame:
+    return queue.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def tried_again(queue: DataFrame, keys: DataFrame) -> DataFrame:
+    """The queue with one more try for each of ``keys``."""
+    marked = keys.select("key").distinct().withColumn("again", F.lit(1))
+    tries = (F.col("tries") + F.coalesce("again", F.lit(0))).cast(queue.schema["tries"].dataType)
+    return queue.join(marked, "key", "left").withColumn("tries", tries).select(*queue.columns)
+
+
+def worked_off(queue: DataFrame, retry: Callable[[dict], bool], most: int = 3) -> DataFrame:
+    """The queue after ``retry`` was called with every entry below ``most`` tries: what succeeded and what had its tries is
+    gone, what failed or raised has one more. Entries of one owner go oldest first, in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            left = []
+            for row in f.to_dict("records"):
+                try:
+                    done = retry(row)
+                except Exception:  # a call that raises counts as failed
+                    done = False
+                left.append(not done)
+            f["tries"] += 1
+            yield f[pd.Series(left, index=f.index, dtype=bool)]
+
+    waiting = queue.where(F.col("tries") < most).repartition("owner").sortWithinPartitions("owner", "ts_ms", "key")
+    return waiting.mapInPandas(run, queue.schema)
+
+
+def queue_size(queue: DataFrame) -> DataFrame:
+    return queue.groupBy("owner").agg(F.count("*").alias("n"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brookloom.functions.text import pixels
+
 #: Fixed values, in pixels and line heights.
 LINE_TOLERANCE, PARAGRAPH_GAP, INDENT, MIN_LINE = 3.0, 1.5, 30.0, 2
 _END = re.compile(r"[.!?。！？]\s*$")
@@ -89,6 +91,13 @@ def _by_page(rows: DataFrame, order: list[str], columns: list[str], fold: Callab
     return own.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *order).mapInArrow(run, SCHEMA)
 
 
+def relative_boxes(spans: DataFrame) -> DataFrame:
+    """Spans whose boxes count from their page's corner (layer_left, layer_top), with a font size, 14 pixels by default."""
+    size = F.coalesce(F.nullif(pixels(F.col("font_size")), F.lit(0.0)), F.lit(14.0))
+    moved = {k: F.col(k) - F.col("layer_left" if k in ("left", "right") else "layer_top") for k in BOX}
+    return spans.withColumns({**moved, "font_size": size}).drop("layer_left", "layer_top")
+
+
 def _spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("text", F.trim("text")).where("text != '' and right > left and bottom > top")
 

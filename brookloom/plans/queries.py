@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brookloom.plans import flow_queries, text_queries  # noqa: F401  they register their queries
+from brookloom.plans import flow_queries, service_queries, text_queries  # noqa: F401  they register their queries
 from brookloom.plans.registry import QUERIES, SQL
 
 
