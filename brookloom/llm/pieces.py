@@ -7,7 +7,8 @@ proportional to the product of its pieces' weights. A piece's weight is 1 / (2 +
 place; backward sampling then draws a piece at a time, from the end, with exactly those probabilities.
 
 No piece spans the border before a word's spaces, or a line end, so the lattice falls into units there, and each
-distinct unit is filtered once. Draws are hashes of seed, row key, unit and step, so a row is segmented alike
+distinct unit is filtered once; within a unit, wherever no piece spans a place, the stretches on either side are
+filtered side by side. Draws are hashes of seed, row key, unit and step, so a row is segmented alike
 wherever and whenever it runs. Texts and lattices stay in bytes; places inside a character lie on byte paths alone.
 
 Decoding joins the pieces' bytes and takes the first space off. It returns every text exactly, those included that
@@ -39,6 +40,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNIT_STEP, DRAW_STEP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 #: Bytes of text that are segmented at a time.
 SLICE_BYTES = 1 << 19
+#: A unit longer than this many bytes is drawn in stretches of about as many, where no piece spans a place between them.
+STRETCH = 32
 #: Units whose lattices are filtered at a time, and those that are kept.
 LEARN_UNITS, KEPT_UNITS = 20_000, 200_000
 
@@ -97,8 +100,10 @@ class Sampler:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.first = np.empty(0, np.int64)  # of each unit, its first and last state; states are numbered on
+        self.first = np.empty(0, np.int64)  # of each stretch, its first and last state; states are numbered on
         self.last = np.empty(0, np.int64)
+        self.stretch = np.empty(0, np.int64)  # of each unit, its first stretch, and how many it has
+        self.stretches = np.empty(0, np.int64)
         self.key = np.empty(0)  # of each edge, its end state plus the chance of it and the state's earlier edges
         self.back = np.empty(0, np.int32)  # of each edge, how many bytes it covers
         self.piece = np.empty(0, np.int32)
@@ -137,19 +142,24 @@ class Sampler:
         which = np.concatenate([*which, p.byte_id[a[spelled]]]).astype(np.int64)
         covers = np.concatenate([*covers, np.ones(len(spelled), np.int64)])
         unit = np.repeat(np.arange(len(units)), size)[begin]
+        # Where no piece spans a place, every path goes through it: weights count from there, and what lies between two
+        # such places is filtered by itself, so text without spaces falls into short stretches too.
+        spans = np.cumsum(np.bincount(begin + 1, minlength=len(a) + 2)[: len(a) + 1] - np.bincount(begin + covers, minlength=len(a) + 2)[: len(a) + 1])
+        free = spans == 0
+        since = np.maximum.accumulate(np.where(free, np.arange(len(a) + 1), 0))
+        place, fresh = begin + covers - since[begin], free[begin]
         end = begin + covers + unit  # a unit of n bytes has n + 1 states
         order = np.argsort(end, kind="stable")
-        end, covers, which, unit = end[order], covers[order], which[order], unit[order]
+        end, covers, which, place, fresh = end[order], covers[order], which[order], place[order], fresh[order]
         first = ends - size + np.arange(len(units))
-        # Forward filtering: places in order, all units at once.
+        # Forward filtering: places in order, all stretches at once.
         total = np.zeros(len(a) + len(units))
-        place = end - first[unit]
         by_place = np.argsort(place, kind="stable")
         cuts = np.r_[0, np.flatnonzero(np.diff(place[by_place])) + 1, len(by_place)] if len(place) else [0]
         chance = np.empty(len(end))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             e = by_place[lo:hi]
-            x = total[end[e] - covers[e]] + p.weight[which[e]]
+            x = np.where(fresh[e], 0.0, total[end[e] - covers[e]]) + p.weight[which[e]]
             head = np.flatnonzero(np.r_[True, end[e][1:] != end[e][:-1]])
             n = np.diff(np.r_[head, len(e)])
             most = np.maximum.reduceat(x, head)
@@ -163,9 +173,24 @@ class Sampler:
         share = run - np.repeat(np.r_[0, run[head[1:] - 1]] if len(head) else head, n)
         if len(head):
             share[np.r_[head[1:], len(end)] - 1] = 1.0
-        self.known.update(zip(units, range(len(self.first), len(self.first) + len(units)), strict=True))
-        self.first = np.r_[self.first, first + self.states]
-        self.last = np.r_[self.last, first + size + self.states]
+        # A unit is drawn in stretches, which end at the first free place of every STRETCH bytes after the first.
+        begins = ends - size
+        of = np.repeat(np.arange(len(units)), size)
+        bucket = (np.arange(len(a)) - begins[of]) // STRETCH
+        inner = np.flatnonzero(free[:-1] & (bucket > 0))
+        inner = inner[np.r_[True, (np.diff(bucket[inner]) != 0) | (np.diff(of[inner]) != 0)][: len(inner)]]
+        opens = np.concatenate([first, inner + of[inner]])  # as states
+        owner = np.concatenate([np.arange(len(units)), of[inner]])
+        order = np.lexsort((opens, owner))
+        opens, owner = opens[order], owner[order]
+        last_of = np.r_[owner[1:] != owner[:-1], True] if len(owner) else np.empty(0, bool)
+        closes = np.where(last_of, (first + size)[owner], np.r_[opens[1:], 0][: len(opens)])
+        n_of = np.bincount(owner, minlength=len(units))
+        self.known.update(zip(units, range(len(self.stretch), len(self.stretch) + len(units)), strict=True))
+        self.stretch = np.r_[self.stretch, len(self.first) + np.cumsum(n_of) - n_of]
+        self.stretches = np.r_[self.stretches, n_of]
+        self.first = np.r_[self.first, opens + self.states]
+        self.last = np.r_[self.last, closes + self.states]
         self.key = np.r_[self.key, end + self.states + np.minimum(share, 1.0)]
         self.back = np.r_[self.back, covers.astype(np.int32)]
         self.piece = np.r_[self.piece, which.astype(np.int32)]
@@ -195,6 +220,11 @@ class Sampler:
             return [np.empty(0, np.int32) for _ in texts]
         get = self.known.__getitem__
         unit = np.fromiter(map(get, chain.from_iterable(split)), np.int64, n)
+        reps = self.stretches[unit]
+        upto = np.cumsum(reps)
+        counts = np.diff(np.r_[0, np.r_[0, upto][np.cumsum(counts)]])  # of stretches
+        n = int(upto[-1])
+        unit = np.repeat(self.stretch[unit] - (upto - reps), reps) + np.arange(n)
         number = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
         salt = mix(np.repeat(mix(keys.astype(np.uint64) + np.uint64(seed)), counts) + number.astype(np.uint64) * UNIT_STEP)
         live = np.argsort(unit, kind="stable")  # so that draws of one unit read the same edges

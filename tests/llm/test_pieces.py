@@ -76,3 +76,22 @@ def test_frames(spark):
     back = {(r.doc_id, r.text) for r in decoded(found).collect()}
     assert back == {(i, t) for i, t, _ in rows}
     assert sampled_pieces(docs.limit(0)).collect() == []
+
+
+def test_long_units_are_drawn_in_stretches(monkeypatch):
+    """Short stretches draw each segmentation as often as whole units do, and text without spaces stays lossless."""
+    from brookloom.llm import pieces
+
+    word = "☃a☃then☃é"
+    want = paths((" " + word).encode())
+    total = sum(want.values())
+    monkeypatch.setattr(pieces, "STRETCH", 2)
+    short, n = Sampler(PIECES), 20_000
+    got = Counter(tuple(x.tolist()) for x in short.encode([word.encode()] * n, np.arange(n, dtype=np.uint64), 5))
+    assert set(got) <= set(want) and len(short.first) > 3
+    for path, w in want.items():
+        p = w / total
+        assert abs(got[path] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 3e-4
+    texts = ["漢字かな" * 500 + "x", "a" * 300 + "é" * 50, " " * 40, ""]
+    for t, ids in zip(texts, encode(texts, sampler=short), strict=True):
+        assert PIECES.decode(ids).tobytes() == (b" " + t.encode() if t else b"")
