@@ -37,7 +37,7 @@ from brookloom.llm.common import as_bytes, map_batches, slices, windows, word_ha
 
 ALPHA = 0.4
 ORDERS = (1, 2, 3)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 12 << 20
 #: N-grams that a partition counts at a time, on average.
 PARTITION_GRAMS = 2_000_000
 
