@@ -1,10 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the test items' word n-grams with the least document frequency over all documents. Where a document holds
+Seeds are the test items' word n-grams with the least document frequency over all documents, and all that few documents
+hold. Where a document holds
 a seed, the words around it are aligned with the item by Smith-Waterman over words, so edited and partly copied
-passages score too: 1.0 is the whole item, a changed word costs its match and a penalty. Items go out in blocks of
-``BLOCK_ITEMS``, a size that is known before they are sent; every block meets all documents where they lie, so no
-text is shuffled.
+passages score too: 1.0 is the whole item, a changed word costs its match and a penalty. Items go out in blocks of at
+most ``BLOCK_ITEMS`` and ``BLOCK_BYTES``, known before they are sent; every block meets all documents where they lie, so
+no text is shuffled, and documents are read twice for each block.
 
 Words are runs of letters, digits and bytes beyond ASCII, lower-cased. Defined results: a null or empty text or item
 matches nothing; an item of fewer than ``n`` words is one seed of its own length; repeated ids, texts and items are
@@ -13,6 +14,7 @@ each reported; ties between places go to the earliest; other columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +27,7 @@ from brookloom.llm.common import map_batches, windows, word_hashes
 
 N = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -91,8 +93,8 @@ class SeedBlock:
             hashes[k], item[k], place[k] = h[order], i[order], p[order]
         return SeedBlock([d for d, _ in rows], words, hashes, item, place)
 
-    def keep(self, frequency: dict[int, np.ndarray], n_docs: int, share: float, rare: float) -> SeedBlock:
-        """Seeds in at most ``rare`` of all documents, and of each item its rarest ``share`` in any case."""
+    def keep(self, frequency: dict[int, np.ndarray], n_docs: int, share: float, rare: float, few: int) -> SeedBlock:
+        """Seeds in at most ``rare`` of all documents or ``few`` of them, and of each item its rarest ``share`` in any case."""
         hashes, item, place = {}, {}, {}
         for k, h in self.hashes.items():
             f = frequency[k]
@@ -103,7 +105,7 @@ class SeedBlock:
             rank = np.arange(len(order)) - np.repeat(start, size)
             chosen = np.zeros(len(h), bool)
             chosen[order] = rank < np.ceil(share * np.repeat(size, size))
-            chosen |= f <= rare * n_docs
+            chosen |= f <= max(few, rare * n_docs)
             hashes[k], item[k], place[k] = h[chosen], self.item[k][chosen], self.place[k][chosen]
         return SeedBlock(self.item_ids, self.words, hashes, item, place)
 
@@ -159,20 +161,22 @@ class SeedBlock:
         return out
 
 
-def _blocks(benchmark: DataFrame, n: int, size: int) -> list[SeedBlock]:
-    """The items in blocks. They are the stated query set; one block at a time is held and sent."""
-    spark = benchmark.sparkSession
+def _blocks(benchmark: DataFrame, n: int, size: int) -> Iterator[SeedBlock]:
+    """The items in blocks of at most ``size`` items and about BLOCK_BYTES of text. They are the stated query set: all of
+    its seeds pass the driver, and a task holds those of one block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").orderBy("item_id", "text")
-    out, rows = [], []
+    rows, held = [], 0
     for r in items.toLocalIterator():
         rows.append((r.item_id, r.text))
-        if len(rows) == size:
-            out.append(SeedBlock.of(rows, n))
-            rows = []
-    return out + ([SeedBlock.of(rows, n)] if rows else [])
+        held += len(r.text)
+        if len(rows) == size or held >= BLOCK_BYTES:
+            yield SeedBlock.of(rows, n)
+            rows, held = [], 0
+    if rows:
+        yield SeedBlock.of(rows, n)
 
 
-def rare_seeds(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = 0.5, rare: float = 1e-4, block_items: int = BLOCK_ITEMS) -> list[SeedBlock]:
+def rare_seeds(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float = 0.5, rare: float = 1e-4, few: int = 100, block_items: int = BLOCK_ITEMS) -> list[SeedBlock]:
     """The blocks with their rare seeds. Document frequencies come from all documents."""
     out = []
     n_docs = docs.count()
@@ -193,7 +197,7 @@ def rare_seeds(docs: DataFrame, benchmark: DataFrame, n: int = N, share: float =
         for k in frequency:
             own = rows[rows["size"] == k]
             frequency[k][own["seed"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
-        out.append(block.keep(frequency, n_docs, share, rare))
+        out.append(block.keep(frequency, n_docs, share, rare, few))
     return out
 
 
