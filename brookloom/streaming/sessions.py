@@ -1,17 +1,24 @@
-"""Behaviour over time: debounce, throttle, navigation, taps and first sight, for batches and, where named, streams."""
+"""Behaviour over time: debounce, throttle, navigation, taps and first sight, for batches and, where named, streams.
+
+Events are rows of (user_id, event_id, ts, event_type). Folds over a user's events stream them in order through one task
+that holds a few values of the user at hand, however many events there are. Defined results: events of equal time go by
+event_id, repeated rows count each; null users are one user; events without a time come first and pass no fold; empty
+tables give no rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def debounced(events: DataFrame, gap: str = "1500 milliseconds", watermark: str | None = None) -> DataFrame:
-    """user_id, fires_at, n and ids: events of a user that follow within the gap are one batch, which keeps them all.
+    """user_id, fires_at, n and first_id: events of a user that follow within the gap are one batch of n.
 
     With ``watermark`` the input may be a stream; late events beyond it are dropped by Spark.
     """
@@ -24,21 +31,33 @@ def debounced(events: DataFrame, gap: str = "1500 milliseconds", watermark: str
     )
 
 
+def _passing(events: DataFrame, step: Callable[[tuple | None, int], tuple[bool, tuple | None]]) -> DataFrame:
+    """user_id, event_id and ts_ms of the events for which ``step``, given the user's state and the time, says so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user: object = run  # no user yet
+        state: tuple | None = None
+        for batch in batches:
+            keep = []
+            for u, t in zip(batch.column("user_id").to_pylist(), batch.column("ts_ms").to_pylist(), strict=True):
+                if u != user:
+                    user, state = u, None
+                ok, state = step(state, t)
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    rows = events.select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")).where("ts_ms is not null")
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts_ms", "event_id").mapInArrow(run, "user_id long, event_id long, ts_ms long")
+
+
 def throttled(events: DataFrame, gap_ms: int = 1000) -> DataFrame:
-    """The events that pass: at least ``gap_ms`` after the last one of the user that passed. A fold over each user's
-    events, since what passed before decides."""
+    """user_id, event_id and ts_ms of the events that pass: at least ``gap_ms`` after the last one of the user that passed."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"], kind="stable")
-        last, kept = None, []
-        for t in pdf["ts_ms"]:
-            ok = last is None or t - last >= gap_ms
-            kept.append(ok)
-            last = t if ok else last
-        return pdf[kept]
+    def step(state: tuple | None, t: int) -> tuple[bool, tuple | None]:
+        ok = state is None or t - state[0] >= gap_ms
+        return ok, (t,) if ok else state
 
-    rows = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("user_id").applyInPandas(fold, "user_id long, event_id long, ts_ms long")
+    return _passing(events, step)
 
 
 def navigation_sessions(events: DataFrame) -> DataFrame:
@@ -52,20 +71,11 @@ def navigation_sessions(events: DataFrame) -> DataFrame:
 def triple_taps(events: DataFrame, within_ms: int = 500, taps: int = 3) -> DataFrame:
     """user_id and the event that completes a gesture: the third tap within the time from the first; then counting starts anew."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"], kind="stable")
-        first, n, hits = None, 0, []
-        for t in pdf["ts_ms"]:
-            if first is None or t - first > within_ms:
-                first, n = t, 0
-            n += 1
-            hits.append(n == taps)
-            if n == taps:
-                first, n = None, 0
-        return pdf.loc[hits, ["user_id", "event_id"]]
+    def step(state: tuple | None, t: int) -> tuple[bool, tuple | None]:
+        first, n = state if state and t - state[0] <= within_ms else (t, 0)
+        return n + 1 == taps, None if n + 1 == taps else (first, n + 1)
 
-    rows = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("user_id").applyInPandas(fold, "user_id long, event_id long")
+    return _passing(events, step).drop("ts_ms")
 
 
 def first_seen(events: DataFrame, watermark: str | None = None) -> DataFrame:
@@ -80,16 +90,21 @@ def live_cache(writes: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return writes.withWatermark("ts", watermark).groupBy("key", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("hour"), "n")
 
 
-def sse_stream(payloads: DataFrame) -> DataFrame:
+def sse_stream(payloads: DataFrame, idle_ms: int = 600_000) -> DataFrame:
     """stream_id and complete line of a stream of payload pieces (stream_id, seq, payload): the cut tail is kept as
-    state until its end arrives. Pieces of a micro-batch go by ``seq``; a tail without an end never comes out."""
+    state until its end arrives, or for ``idle_ms`` after the last piece. Pieces of a micro-batch go by ``seq``; a tail without
+    an end never comes out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tail = state.get[0] if state.exists else ""
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         *lines, tail = (tail + "".join(rows["payload"].fillna(""))).split("\n")
         state.update((tail,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(lines), "line": lines})
 
-    return payloads.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, line string", "tail string", "append", GroupStateTimeout.NoTimeout)
+    return payloads.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, line string", "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -209,6 +209,25 @@ def test_taps(spark):
     assert sorted(r.event_id for r in sessions.triple_taps(rows).collect()) == taps(times, 500)
 
 
+def test_folds_keep_users_apart(spark):
+    """Random times of several users and of none, against folds of each user by itself; rows without a time don't count."""
+    r = random.Random(3)
+    raw = [(u, i, r.randrange(4000)) for i, u in enumerate(r.choices([1, 2, None], k=300))] + [(1, 900, None)]
+    rows = spark.createDataFrame(raw, "user_id long, event_id long, ms long").withColumn("ts", F.timestamp_millis("ms")).repartition(5)
+    passed, gestures = set(), set()
+    for u in (1, 2, None):
+        own = sorted((t, e) for x, e, t in raw if x == u and t is not None)
+        last = None
+        for t, e in own:
+            if last is None or t - last >= 100:
+                last = t
+                passed.add(e)
+        gestures |= {own[i][1] for i in taps([t for t, _ in own], 50)}
+    assert {x.event_id for x in sessions.throttled(rows, 100).collect()} == passed
+    assert {x.event_id for x in sessions.triple_taps(rows, 50).collect()} == gestures
+    assert sessions.throttled(rows.limit(0)).count() == 0
+
+
 def test_streams_match_batches(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 3, "click" if i % 2 else "view", 1_700_000_000 + 60 * i) for i in range(60)] + [(99, 0, "end", 1_700_900_000)], "event_id long, user_id long, event_type string, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     rows.write.parquet(str(tmp_path / "in"))
