@@ -90,10 +90,10 @@ def live_cache(writes: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return writes.withWatermark("ts", watermark).groupBy("key", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("hour"), "n")
 
 
-def sse_stream(payloads: DataFrame, idle_ms: int = 600_000) -> DataFrame:
+def sse_stream(payloads: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """stream_id and complete line of a stream of payload pieces (stream_id, seq, payload): the cut tail is kept as
-    state until its end arrives, or for ``idle_ms`` after the last piece. Pieces of a micro-batch go by ``seq``; a tail without
-    an end never comes out."""
+    state until its end arrives, the stream says ``[DONE]``, or, where given, ``idle_ms`` pass after the last piece (Spark then
+    runs batches without data too). Pieces of a micro-batch go by ``seq``; a tail without an end never comes out."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -103,8 +103,13 @@ def sse_stream(payloads: DataFrame, idle_ms: int = 600_000) -> DataFrame:
         tail = state.get[0] if state.exists else ""
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         *lines, tail = (tail + "".join(rows["payload"].fillna(""))).split("\n")
-        state.update((tail,))
-        state.setTimeoutDuration(idle_ms)
+        if any(x.rstrip("\r") == "data: [DONE]" for x in lines):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((tail,))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"stream_id": [key[0]] * len(lines), "line": lines})
 
-    return payloads.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, line string", "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return payloads.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, line string", "tail string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
