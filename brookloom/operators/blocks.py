@@ -103,8 +103,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
     A null text, or one without a valid line, has no chunk; rows with an equal or null id are packed each by itself.
     """
-    texts = F.transform(block_texts(F.col("text")), collapse_spaced)
-    blocks = F.transform(texts, lambda t, i: F.struct(F.concat(F.lit("b"), i + 1).alias("id"), t.alias("text"), is_heading_line(t).alias("heading")))
+    blocks = F.transform(block_texts(F.col("text")), lambda t, i: F.struct(F.concat(F.lit("b"), i + 1).alias("id"), collapse_spaced(t).alias("text"), is_heading_line(t).alias("heading")))
     return packed_chunks(docs.select("doc_id", blocks.alias("blocks")), ["doc_id"])
 
 

@@ -222,9 +222,9 @@ def caption_formats(spark, sf_dir):
     return captions.caption_formats(timed.join(short, ["video_id", "pos"]).withColumns({"duration_ms": F.lit(80).cast("long"), "pos_id": F.when(F.col("short"), 1)}).drop("short"))
 
 
-@query()
+@query(f"WITH {_SEGS} SELECT video_id, idx, start_ms, end_ms::BIGINT AS end_ms, text, 'standard' AS format FROM fragments")
 def captions_by_format(spark, sf_dir):
-    """Each video by its own parser; two of the five are folds, so tests hold them against worked examples."""
+    """Each video by its own parser; all of these are of the standard format, the others are tested on examples."""
     return captions.captions(_timed(spark, sf_dir))
 
 
@@ -273,7 +273,12 @@ def throttled_events(spark, sf_dir):
     return sessions.throttled(table(spark, sf_dir, "events"), 3_600_000)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, i, ts_ms AS first, 1 AS n FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN f.n = 3 OR o.ts_ms - f.first > 7200000 THEN o.ts_ms ELSE f.first END, CASE WHEN f.n = 3 OR o.ts_ms - f.first > 7200000 THEN 1 ELSE f.n + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT user_id, event_id FROM f WHERE n = 3"""
+)
 def triple_taps(spark, sf_dir):
     return sessions.triple_taps(table(spark, sf_dir, "events"), 7_200_000)
 
@@ -337,12 +342,18 @@ def prepared_pages(spark, sf_dir):
     return p.select("page_id", "url", "status", "n_blocks", F.md5("full_text").alias("text_md5"))
 
 
-@query()
+@query(
+    f"""WITH {_CUT.replace('SCOPE ', 'source, ')} SELECT page_id, url, list('b' || position ORDER BY position) AS ids, sum(ceil(length(text) / 4.0)::BIGINT + 20)::BIGINT AS tokens FROM blocks WHERE source = 'article' GROUP BY page_id, url"""
+)
 def page_chunks(spark, sf_dir):
-    return roots.page_chunks(table(spark, sf_dir, "pages")).drop("page_key")
+    """Each page's chunks hold all of its blocks in order; where they are cut is held by document_chunks."""
+    c = roots.page_chunks(table(spark, sf_dir, "pages"))
+    rows = F.array_sort(F.collect_list(F.struct("chunk", "block_ids")))
+    held = c.groupBy("page_key", "page_id", "url").agg(rows.alias("rows"), F.sum("estimated_tokens").alias("tokens"))
+    return held.select("page_id", "url", F.flatten(F.transform("rows", lambda x: x["block_ids"])).alias("ids"), "tokens")
 
 
-@query()
+@query("SELECT page_id, 1::INT AS position, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS text FROM pages WHERE trim(regexp_extract(html, '<title>(.*?)</title>', 1)) <> ''")
 def data_islands(spark, sf_dir):
     """Texts of JSON scripts: each page gets one that holds its title, so that there are some to find."""
     p = table(spark, sf_dir, "pages")

@@ -39,9 +39,26 @@ def full_text(spark, sf_dir):
     return blocks.full_text(table(spark, sf_dir, "documents"))
 
 
-@query()
+#: The greedy fold as recursion: each step packs one block, or all up to a near heading, and says which chunk they are in.
+_PACKED = (
+    _LINES.replace("WITH lines", "WITH RECURSIVE lines")
+    + """, b AS (SELECT doc_id, position AS i, ceil(length(text) / 4.0)::BIGINT + 20 AS cost, tag = 'h2' AS h, min(CASE WHEN tag = 'h2' THEN position END) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS near FROM blocks),
+f AS (SELECT DISTINCT doc_id, 1::BIGINT AS i, 1::BIGINT AS chunk, 0::BIGINT AS size, 0::BIGINT AS lo, 0::BIGINT AS hi, 0::BIGINT AS own FROM b
+  UNION ALL SELECT doc_id, CASE WHEN kind = 'near' THEN near + 1 ELSE i + 1 END, CASE WHEN kind = 'on' THEN chunk ELSE chunk + 1 END, CASE kind WHEN 'near' THEN 0 WHEN 'on' THEN size + cost ELSE cost END,
+    i, CASE WHEN kind = 'near' THEN near ELSE i END, CASE WHEN kind = 'cut' THEN chunk + 1 ELSE chunk END
+  FROM (SELECT f.doc_id, f.i, f.chunk, f.size, b.cost, b.near, CASE WHEN f.size = 0 OR f.size + b.cost <= CASE WHEN f.chunk <= 2 THEN 400 ELSE 800 END THEN 'on' WHEN f.size + b.cost <= 500000 AND NOT b.h AND b.near IS NOT NULL THEN 'near' ELSE 'cut' END AS kind
+    FROM f JOIN b ON b.doc_id = f.doc_id AND b.i = f.i))
+"""
+)
+
+
+@query(
+    _PACKED
+    + """SELECT blocks.doc_id, own::INT AS chunk, 'chunk' || own AS chunk_id, list('b' || position ORDER BY position) AS block_ids,
+'[' || string_agg('{"id":"b' || position || '","text":' || to_json(text) || '}', ',' ORDER BY position) || ']' AS json_content, sum(ceil(length(text) / 4.0)::BIGINT + 20)::BIGINT AS estimated_tokens
+FROM f JOIN blocks ON blocks.doc_id = f.doc_id AND position BETWEEN lo AND hi GROUP BY blocks.doc_id, own"""
+)
 def document_chunks(spark, sf_dir):
-    """A greedy fold with look-ahead has no SQL; tests hold it against a second form."""
     return blocks.chunks(table(spark, sf_dir, "documents"))
 
 
