@@ -1,7 +1,10 @@
 """Timed captions: noise, formats, the five parsers, and look-ups by playback time.
 
 Events are rows of (video_id, pos, start_ms, duration_ms, append, win_id, pos_id, segs, lang), ``segs`` an array of
-(utf8, offset_ms). Everything is grouped by video, whose events one player holds. Rows with null segs hold no text.
+(utf8, offset_ms). Everything is grouped by video, whose events one player holds.
+
+Defined results: rows with null segs hold no text; repeated rows count each, in order of ``pos``; null video ids match
+nothing in the joins by format and time; videos without events have no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,6 +2,9 @@
 
 Blocks are rows of (doc_id, chunk_id, id, position, text); responses are rows of (doc_id, chunk_id, id, text).
 Every operator is one equi-join on the block's key, which both sides are shuffled by once.
+
+Defined results: null keys match nothing, so such blocks are missing and such responses extra; of repeated responses the
+last by ``seq`` counts; repeated blocks count each; a null raw result gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
