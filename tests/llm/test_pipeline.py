@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 from brookloom.llm.decontaminate import contamination
-from brookloom.llm.pii import entities, surrogate
+from brookloom.llm.pii import entities, session_key, surrogate
 from brookloom.llm.quality import quality
 
 
@@ -39,7 +39,7 @@ def test_stages_in_order(spark, tmp_path):
     assert [r.doc_id for r in contamination(docs, items).collect()] == [300]
     assert seen["decontamination"] == seen["pii_surrogates"] == seen["sentencepiece"] == {*range(60), 400}
     kept = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "pii_surrogates")).collect()}
-    assert surrogate("email", "ann.b7@mail3.example.com") in kept[400].text and len(entities(kept[400].text)) == 1
+    assert surrogate("email", "ann.b7@mail3.example.com", session_key(spark)) in kept[400].text and len(entities(kept[400].text)) == 1
     assert left.where("not lossless").isEmpty()
     assert left.exceptAll(corpus_pipeline.run(spark, str(tmp_path))).isEmpty()
 
