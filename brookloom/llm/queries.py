@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from brookloom.llm.common import read_table
 from brookloom.llm.decontaminate import contamination
+from brookloom.llm.divergence import ORACLE_SQL as DIVERGENCE_SQL
+from brookloom.llm.divergence import source_divergence
 from brookloom.llm.language import language
 from brookloom.llm.lm_score import ORACLE_SQL as LM_SQL
 from brookloom.llm.lm_score import lm_scores
 from brookloom.llm.near_dup import ORACLE_SQL as NEAR_SQL
 from brookloom.llm.near_dup import near_duplicates
+from brookloom.llm.negatives import ORACLE_SQL as NEGATIVES_SQL
+from brookloom.llm.negatives import mined_negatives
 from brookloom.llm.pieces import sampled_pieces
 from brookloom.llm.pii import checked, pii_surrogates, session_key
 from brookloom.llm.quality import quality
 from brookloom.llm.secrets import secret_digest
 from brookloom.llm.token_files import token_files
+from brookloom.llm.topk import ORACLE_SQL as TOP_SQL
+from brookloom.llm.topk import vector_top_k
 from brookloom.llm.toxicity import toxicity
 
 
@@ -65,12 +71,30 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_surrogates(docs, key)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lm_score": LM_SQL, "op5_near_duplicates": NEAR_SQL}
+    return {
+        "op2_lm_score": LM_SQL,
+        "op5_near_duplicates": NEAR_SQL,
+        "op11_source_divergence": DIVERGENCE_SQL,
+        "op12_top_k": TOP_SQL,
+        "op13_hard_negatives": NEGATIVES_SQL,
+    }
 
 
 QUERIES = (
@@ -84,4 +108,7 @@ QUERIES = (
     op8_decontamination,
     op9_sentencepiece,
     op10_pii_surrogates,
+    op11_source_divergence,
+    op12_top_k,
+    op13_hard_negatives,
 )
