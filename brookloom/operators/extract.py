@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brookloom.functions.text import collapse_spaced, is_valid_text, trimmed, utf16_length
+from brookloom.functions.text import collapse_spaced, is_valid_text, trimmed
 from brookloom.operators.rules import NodeRule, SiteRule, any_rule, attr, by_site, either, selects
 
 PAGE = "page_key"
@@ -142,7 +142,7 @@ def decided(
         .when(tag.isin("svg", "math"), "reject")
         .when((tag.isin(NEVER_TAGS) & ~nested_body) | opted_out | editable, "reject")
         .when(_hidden(), "reject")
-        .when(_has_class(noise or NOISE_CLASSES) & (utf16_length(F.col("text")) <= NOISE_VALVE), "reject")
+        .when(_has_class(noise or NOISE_CLASSES) & (F.col("whole") <= NOISE_VALVE), "reject")
         .when(site(lambda r: either([selects(x) for x in r.skip_selectors])), "reject")
         .when(notice, "reject")
         .when(~tag.isin("article", "main") & _has_word(METADATA_WORDS) & ~(tag.isin("section", "div") & _has_word(CONTENT_WORDS)), "reject")
@@ -187,8 +187,8 @@ def marked_blocks(nodes: DataFrame, roots: DataFrame | None = None, **how) -> Da
     return df.withColumn("in_root", emitted(F.col("rejected_in_root")) & inside)
 
 
-def numbered_blocks(df: DataFrame, chosen: Column) -> DataFrame:
-    """page_key, page_id, url, id, position, xpath, tag, text, heading_path and low_priority of the chosen nodes.
+def numbered_blocks(df: DataFrame, chosen: Column, *more: str) -> DataFrame:
+    """page_key, page_id, url, id, position, xpath, tag, text, heading_path, low_priority and ``more`` of the chosen nodes.
 
     Of equal texts of a page the first counts. ``heading_path``: texts of all headings that end before the block; only
     headings and blocks take part in finding it.
@@ -196,12 +196,12 @@ def numbered_blocks(df: DataFrame, chosen: Column) -> DataFrame:
     own = W.partitionBy(PAGE).orderBy("pos")
     is_heading = F.col("tag").isin(HEADING_TAGS)
     df = df.withColumn("chosen", chosen).where(F.col("chosen") | is_heading)
-    df = df.withColumn("headings", F.collect_list(F.when(is_heading, F.struct("sub_end", "content"))).over(own.rowsBetween(W.unboundedPreceding, -1)))
+    df = df.withColumn("headings", F.collect_list(F.when(is_heading & F.col("content").isNotNull(), F.struct("sub_end", "content"))).over(own.rowsBetween(W.unboundedPreceding, -1)))
     first = W.partitionBy(PAGE, "content").orderBy("pos")
     blocks = df.where("chosen").withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("position", F.row_number().over(own).cast("long"))
     return blocks.select(
         PAGE, "page_id", "url", F.concat(F.lit("b"), "position").alias("id"), "position", "xpath", "tag", collapse_spaced(F.col("content")).alias("text"),
-        F.transform(F.filter("headings", lambda h: h["sub_end"] < F.col("pos")), lambda h: h["content"]).alias("heading_path"), "low_priority",
+        F.transform(F.filter("headings", lambda h: h["sub_end"] < F.col("pos")), lambda h: h["content"]).alias("heading_path"), "low_priority", *more,
     )
 
 

@@ -1,6 +1,7 @@
 """Where a page's article is, and the preparation of whole pages: root, blocks, fall-backs, chunks.
 
-A site's own rule comes first, then known containers, then the densest container, then the body. Questions about a
+A site's own rule comes first, then known containers, then the densest container, then the container of what another tool
+read, then the body. Questions about a
 few nodes of each page (a candidate's ancestors, what lies below them) join those nodes to the page's by page_key and
 look at ranges of positions, so work grows with the nodes. Defined results: a page without nodes has no root; of equal
 candidates the first in document order counts; equal rows of a page are one page, and ``prepared`` has a row for each.
@@ -8,11 +9,11 @@ candidates the first in document order counts; equal rows of a page are one page
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from brookloom.functions.text import trimmed, utf16_length
 from brookloom.operators.blocks import packed_chunks
 from brookloom.operators.extract import PAGE, marked_blocks, numbered_blocks
 from brookloom.operators.rules import SiteRule, attr, by_site, selects
@@ -43,20 +44,16 @@ FURNITURE = "nav|menu|sidebar|footer|header|comment|widget"
 WRAPPERS, HEADING_LENGTH = 6, 4
 
 
-def _length(text: Column) -> Column:
-    return utf16_length(trimmed(text))
-
-
 def _signal(words: list[str], pattern: str, more: Column | None = None) -> Column:
     hit = F.arrays_overlap("words", F.array(*map(F.lit, words))) | F.lower(attr("id")).rlike(pattern)
     return hit if more is None else hit | more
 
 
-def _in_consent() -> Column:
+def in_consent() -> Column:
     """Inside a consent notice, unless the node's own text is long."""
     before = W.partitionBy(PAGE).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     hit = (F.lower(attr("id")).rlike(CONSENT_ID) | F.lower(attr("class")).rlike(CONSENT_CLASS)) & ~F.col("tag").isin("body", "html")
-    return F.coalesce(F.max(F.when(hit, F.col("sub_end"))).over(before) >= F.col("pos"), F.lit(False)) & (utf16_length(F.col("text")) <= CONSENT_VALVE)
+    return F.coalesce(F.max(F.when(hit, F.col("sub_end"))).over(before) >= F.col("pos"), F.lit(False)) & (F.col("whole") <= CONSENT_VALVE)
 
 
 def measured(nodes: DataFrame) -> DataFrame:
@@ -68,9 +65,7 @@ def measured(nodes: DataFrame) -> DataFrame:
     df = nodes.withColumns(
         {
             "words": F.filter(F.split(F.lower(attr("class")), r"[\s_-]+"), lambda x: x != ""),
-            "length": _length(F.col("text")),
-            "whole": utf16_length(F.col("text")),
-            "consent": _in_consent(),
+            "consent": in_consent(),
         }
     )
     block = F.col("tag").isin("section", "div") & (F.col("length") > 100)
@@ -151,7 +146,7 @@ def container_scores(nodes: DataFrame, tops: DataFrame) -> DataFrame:
         n(selects("[rel=author], .author, .byline, [class*=author]")).alias("authors"), n((tag == "time") | cls.contains("date") | cls.contains("publish")).alias("times"),
         n(selects("nav, .menu, .sidebar, footer, header")).alias("furniture"), n(selects("button, a.btn")).alias("buttons"), n(cls.contains("related") | cls.contains("recommend")).alias("related"),
     )
-    sized = nodes.select(PAGE, F.col("pos").alias("top_pos"), _length(F.col("text")).alias("length"))
+    sized = nodes.select(PAGE, F.col("pos").alias("top_pos"), "length")
     df = tops.join(sized, [PAGE, "top_pos"]).join(below, [PAGE, "top_pos"], "left").na.fill(0)
     some = lambda mark, x: F.when(mark, F.lit(float(x))).otherwise(0.0)
     score = (
@@ -172,8 +167,8 @@ def refined(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(page_key, pos0, end0) moved to the article's text, or to the article around it where a heading stands outside."""
     specific = {f"s{k}": selects(s) for k, s in enumerate(SPECIFIC)}
     rank = F.coalesce(*[F.when(m, k) for k, m in enumerate(specific.values())])
-    flat = nodes.select(PAGE, "pos", "sub_end", "tag", "text", rank.alias("rank"))
-    heading = F.col("tag").isin("h1", "h2") & (_length(F.col("text")) >= HEADING_LENGTH)
+    flat = nodes.select(PAGE, "pos", "sub_end", "tag", "length", rank.alias("rank"))
+    heading = F.col("tag").isin("h1", "h2") & (F.col("length") >= HEADING_LENGTH)
     df = flat.join(found, PAGE)
     picked = df.groupBy(PAGE, "pos0", "end0").agg(
         F.max(F.when(F.col("pos") == F.col("pos0"), F.struct("rank", "tag"))).alias("own"),
@@ -197,7 +192,7 @@ def expanded(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """(page_key, pos0, end0) moved up through at most six wrappers, which hold no more text."""
     ups = _ancestors(nodes, found).where(F.col("up") <= WRAPPERS)
     stop = F.col("tag").isin("body", "html") | F.concat(attr("class"), F.lit(" "), attr("id")).rlike(f"(?i){FURNITURE}")
-    ups = ups.select(PAGE, "up", F.struct("pos", "sub_end", _length(F.col("text")).alias("length"), ((F.col("up") > 0) & stop).alias("stop")).alias("n"))
+    ups = ups.select(PAGE, "up", F.struct("pos", "sub_end", "length", ((F.col("up") > 0) & stop).alias("stop")).alias("n"))
     chain = ups.groupBy(PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("up", "n"))), lambda x: x["n"]).alias("chain"))
     start = F.struct(F.col("chain")[0]["pos"].alias("pos"), F.col("chain")[0]["sub_end"].alias("sub_end"), F.col("chain")[0]["length"].alias("length"), F.lit(False).alias("stop"))
 
@@ -224,33 +219,46 @@ def best_ancestor(nodes: DataFrame, found: DataFrame) -> DataFrame:
 def containers(nodes: DataFrame) -> DataFrame:
     """page_key, pos0 and end0: of the first selector that finds text, the longest match, the first of equal ones."""
     ranks = F.array_compact(F.array(*[F.when(selects(s), k) for k, s in enumerate(CONTAINERS)]))
-    df = nodes.select(PAGE, "pos", "sub_end", _length(F.col("text")).alias("length"), F.explode(ranks).alias("rank")).where("length > 0")
+    df = nodes.select(PAGE, "pos", "sub_end", "length", F.explode(ranks).alias("rank")).where("length > 0")
     best = F.min_by(F.struct("pos", "sub_end"), F.struct("rank", -F.col("length"), "pos"))
     return df.groupBy(PAGE).agg(best.alias("b")).select(PAGE, F.col("b.pos").alias("pos0"), F.col("b.sub_end").alias("end0"))
 
 
-def article_roots(nodes: DataFrame, rules: tuple[SiteRule, ...] = ()) -> DataFrame:
-    """page_key, page_id, url, root_pos, root_end and layer of every page: "site", "container", "density" or "body"."""
-    layers = []
+def article_roots(nodes: DataFrame, rules: tuple[SiteRule, ...] = (), articles: DataFrame | None = None) -> DataFrame:
+    """page_key, page_id, url, root_pos, root_end and layer of every page: "site", "container", "density", "signature" or
+    "body". ``articles`` (page_key, text) is what another tool has read of the pages; the root around it counts where the
+    layers before have none."""
+    nodes, layers = held(nodes), []
     if any(r.root_selector for r in rules):
         hit = by_site(F.col("url"), rules, lambda r: selects(r.root_selector) if r.root_selector else F.lit(False), F.lit(False))
-        first = F.min(F.struct("pos", "sub_end", (_length(F.col("text")) > 0).alias("full")))
+        first = F.min(F.struct("pos", "sub_end", (F.col("length") > 0).alias("full")))
         site = nodes.where(hit).groupBy(PAGE).agg(first.alias("f")).where("f.full")
         layers.append(site.select(PAGE, F.lit(0).alias("layer"), F.col("f.pos").alias("root_pos"), F.col("f.sub_end").alias("root_end")))
     known = best_ancestor(nodes, expanded(nodes, refined(nodes, containers(nodes))))
     layers.append(known.select(PAGE, F.lit(1).alias("layer"), F.col("pos0").alias("root_pos"), F.col("end0").alias("root_end")))
     layers.append(densest(nodes).select(PAGE, F.lit(2).alias("layer"), "root_pos", "root_end"))
+    if articles is not None:
+        from brookloom.operators.containment import signature_roots
+
+        layers.append(signature_roots(nodes, articles).select(PAGE, F.lit(3).alias("layer"), "root_pos", "root_end"))
     top = F.min(F.struct((F.col("tag") != "body").alias("other"), "pos", "sub_end"))
     body = nodes.groupBy(PAGE, "page_id", "url").agg(top.alias("t"))
-    layers.append(body.select(PAGE, F.lit(3).alias("layer"), F.col("t.pos").alias("root_pos"), F.col("t.sub_end").alias("root_end")))
+    layers.append(body.select(PAGE, F.lit(4).alias("layer"), F.col("t.pos").alias("root_pos"), F.col("t.sub_end").alias("root_end")))
     every = layers[0]
     for x in layers[1:]:
         every = every.unionByName(x)
     best = every.groupBy(PAGE).agg(F.min(F.struct("layer", "root_pos", "root_end")).alias("r"))
-    name = F.element_at(F.array(*map(F.lit, ("site", "container", "density", "body"))), F.col("r.layer") + 1)
+    name = F.element_at(F.array(*map(F.lit, ("site", "container", "density", "signature", "body"))), F.col("r.layer") + 1)
     return best.join(body.select(PAGE, "page_id", "url"), PAGE).select(PAGE, "page_id", "url", "r.root_pos", "r.root_end", name.alias("layer"))
 
 
+def held(nodes: DataFrame) -> DataFrame:
+    """The nodes, kept in memory or on local disks once they are parsed: each question about them reads them there, dealt by
+    page, and joins them by page without a shuffle. What a lost executor held is parsed anew. ``unpersist`` them, or clear
+    the session's cache, when a job is done with them."""
+    return nodes.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def is_pdf_viewer() -> Column:
     """Whether a node says that the page shows a PDF drawn by script."""
     return ((attr("id") == "viewer") & F.array_contains(F.split(attr("class"), r"\s+"), "pdfViewer")) | (attr("id") == "viewerContainer")
@@ -263,19 +271,17 @@ def prepared(pages: DataFrame, rules: tuple[SiteRule, ...] = (), **how) -> DataF
     from JSON scripts where neither has; else "pdf-viewer" or "empty", without blocks.
     """
     pages = keyed(pages)
-    nodes = html_nodes(pages)
-    marked = marked_blocks(nodes, article_roots(nodes, rules), rules=rules, **how)
-    any_root = F.max("in_root").over(W.partitionBy(PAGE))
-    found = numbered_blocks(marked.withColumn("any_root", any_root), F.when(F.col("any_root"), F.col("in_root")).otherwise(F.col("in_body")))
+    nodes = held(html_nodes(pages))
+    marked = marked_blocks(nodes, article_roots(nodes, rules), rules=rules, **how).withColumn("any_root", F.max("in_root").over(W.partitionBy(PAGE)))
+    found = numbered_blocks(marked, F.when(F.col("any_root"), F.col("in_root")).otherwise(F.col("in_body")), "any_root")
     viewer = nodes.groupBy(PAGE).agg(F.max(is_pdf_viewer()).alias("viewer"))
-    roots = marked.groupBy(PAGE).agg(F.max("in_root").alias("any_root"))
     cut = F.struct("position", "id", "tag", "text", "xpath")
-    plain = found.groupBy(PAGE).agg(F.array_sort(F.collect_list(cut)).alias("blocks"))
+    plain = found.groupBy(PAGE).agg(F.array_sort(F.collect_list(cut)).alias("blocks"), F.any_value("any_root").alias("any_root"))
     islands = data_islands(pages).select(
         PAGE, F.struct("position", F.concat(F.lit("b"), "position").alias("id"), F.lit("p").alias("tag"), "text", F.concat(F.lit("/data-island/["), F.col("position"), F.lit("]")).alias("xpath")).alias("b")
     )
     other = islands.groupBy(PAGE).agg(F.array_sort(F.collect_list(F.struct(F.col("b.position").cast("long").alias("position"), "b.id", "b.tag", "b.text", "b.xpath"))).alias("island"))
-    df = pages.select(PAGE, "page_id", "url").join(plain, PAGE, "left").join(other, PAGE, "left").join(roots, PAGE, "left").join(viewer, PAGE, "left")
+    df = pages.select(PAGE, "page_id", "url").join(plain, PAGE, "left").join(other, PAGE, "left").join(viewer, PAGE, "left")
     status = (
         F.when(F.col("blocks").isNotNull() & F.col("any_root"), "article").when(F.col("blocks").isNotNull(), "body").when(F.col("island").isNotNull(), "data-island")
         .when(F.col("viewer"), "pdf-viewer").otherwise("empty")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookloom.functions import text as T
-from brookloom.operators import cache, captions, extract, layout, retry, roots
+from brookloom.operators import cache, captions, containment, extract, layout, retry, roots
 from brookloom.plans.registry import query, table
 from brookloom.sources import html
 from brookloom.streaming import sessions
@@ -360,3 +360,33 @@ def data_islands(spark, sf_dir):
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     island = F.concat(F.lit('<script type="application/json">'), F.to_json(F.struct(F.struct(title.alias("description"), F.lit("x").alias("slug")).alias("props"))), F.lit("</script>"))
     return html.data_islands(p.withColumn("html", F.concat("html", island))).drop("page_key")
+
+
+#: Pieces of text between tags of a page's body, and what a reader made of its article: one line a piece, and in two of three
+#: pages with a strange word after the first or the fourth.
+_PIECES = r"""body AS (SELECT page_id, url, split_part(html, '<body>', 2) AS html FROM pages),
+raw AS (SELECT page_id, url, unnest(regexp_split_to_array(html, '<[^>]*>')) AS x, generate_subscripts(regexp_split_to_array(html, '<[^>]*>'), 1) AS i, len(regexp_split_to_array(split_part(html, '<article>', 1), '<[^>]*>')) AS lo, len(regexp_split_to_array(split_part(html, '</article>', 1), '<[^>]*>')) AS hi FROM body),
+pieces AS (SELECT page_id, url, i, i > lo AND i <= hi AS inside, replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM raw WHERE x <> ''),
+lines AS (SELECT page_id, url, i, CASE page_id % 3 WHEN 1 THEN regexp_replace(text, '^((?:\S+ ){4})', '\1zz ') WHEN 2 THEN regexp_replace(text, '^(\S+ )', '\1zz ') ELSE text END AS text FROM pieces WHERE inside),
+read AS (SELECT page_id, url, string_agg(text, chr(10) ORDER BY i) AS text FROM lines GROUP BY page_id, url),
+long AS (SELECT page_id, url, arg_min(trim(l.text), CASE WHEN length(trim(l.text)) >= 40 THEN i ELSE 1000000 + i END) AS s FROM lines l JOIN read r USING (page_id, url) WHERE trim(l.text) <> '' AND length(trim(r.text)) >= 200 GROUP BY page_id, url)"""
+
+
+@query(
+    rf"""WITH {_PIECES}, words AS (SELECT *, string_split(s, ' ') AS w FROM long),
+asked AS (SELECT page_id, url, 0 AS words, s AS c FROM words UNION ALL SELECT page_id, url, k, array_to_string(w[:k], ' ') FROM words, (SELECT unnest([6, 5, 4, 3, 2]) AS k) WHERE k <= len(w) - 1 AND length(array_to_string(w[:k], ' ')) >= 12),
+hits AS (SELECT page_id, url, words, inside, p.text, row_number() OVER (PARTITION BY page_id, url ORDER BY CASE WHEN words = 0 THEN 0 ELSE 1 END, -words, i) AS n FROM asked a JOIN pieces p USING (page_id, url) WHERE contains(p.text, c))
+SELECT page_id, url, words::INT AS words, md5(text) AS text_md5, CASE WHEN inside THEN 'article' ELSE 'body' END AS root FROM hits WHERE n = 1"""
+)
+def signature_roots(spark, sf_dir):
+    """The piece of text that holds the signature of what a reader made of each page, and the tag of the root around it."""
+    pages = html.keyed(table(spark, sf_dir, "pages"))
+    nodes = roots.held(html.html_nodes(pages))
+    top = nodes.where("tag = 'article'").groupBy("page_key").agg(F.min(F.struct("pos", "sub_end")).alias("a"))
+    pieces = html.text_nodes(nodes)
+    line = F.when(F.col("page_id") % 3 == 1, F.regexp_replace("text", r"^((?:\S+ ){4})", "$1zz ")).when(F.col("page_id") % 3 == 2, F.regexp_replace("text", r"^(\S+ )", "$1zz ")).otherwise(F.col("text"))
+    of = pieces.join(top, "page_key").where("pos >= a.pos and pos <= a.sub_end").join(pages.select("page_key", "page_id").distinct(), "page_key").select("page_key", "nth", line.alias("line"))
+    read = of.groupBy("page_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    found = containment.signature_roots(nodes, read)
+    with_root = found.join(nodes.select("page_key", "page_id", "url", F.col("pos").alias("root_pos"), F.col("tag").alias("root")), ["page_key", "root_pos"])
+    return with_root.join(pieces.select("page_key", "nth", F.md5("text").alias("text_md5")), ["page_key", "nth"]).select("page_id", "url", "words", "text_md5", "root")
