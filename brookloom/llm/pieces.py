@@ -7,7 +7,7 @@ proportional to the product of its pieces' weights. A piece's weight is 1 / (2 +
 place; backward sampling then draws a piece at a time, from the end, with exactly those probabilities.
 
 No piece spans the border before a word's spaces, or a line end, so the lattice falls into units there, and each
-distinct unit is filtered once; within a unit, wherever no piece spans a place, the stretches on either side are
+distinct unit is filtered once, for as long as a worker has room to keep it; within a unit, wherever no piece spans a place, the stretches on either side are
 filtered side by side. Draws are hashes of seed, row key, unit and step, so a row is segmented alike
 wherever and whenever it runs. Texts and lattices stay in bytes; places inside a character lie on byte paths alone.
 
@@ -42,8 +42,9 @@ UNIT_STEP, DRAW_STEP = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8D
 SLICE_BYTES = 1 << 19
 #: A unit longer than this many bytes is drawn in stretches of about as many, where no piece spans a place between them.
 STRETCH = 32
-#: Units whose lattices are filtered at a time, and those that are kept.
-LEARN_UNITS, KEPT_UNITS = 20_000, 200_000
+#: Bytes of units whose lattices are filtered at a time, and bytes that a worker's lattices may take before it starts anew; the
+#: units of SLICE_BYTES of text are added to that.
+LEARN_BYTES, KEPT_BYTES = 1 << 18, 192 << 20
 
 
 class Pieces:
@@ -92,9 +93,9 @@ class Pieces:
 
 
 class Sampler:
-    """Lattices of the units seen so far, at most about ``most`` of them, then anew."""
+    """Lattices of the units seen so far, until they take about ``most`` bytes, then anew."""
 
-    def __init__(self, pieces: Pieces, most: int = KEPT_UNITS):
+    def __init__(self, pieces: Pieces, most: int = KEPT_BYTES):
         self.pieces, self.most = pieces, most
         self.forget()
 
@@ -104,10 +105,16 @@ class Sampler:
         self.last = np.empty(0, np.int64)
         self.stretch = np.empty(0, np.int64)  # of each unit, its first stretch, and how many it has
         self.stretches = np.empty(0, np.int64)
-        self.key = np.empty(0)  # of each edge, its end state plus the chance of it and the state's earlier edges
+        self.low = np.empty(0, np.int64)  # of each state, the first and last edge that ends there
+        self.high = np.empty(0, np.int64)
+        self.share = np.empty(0)  # of each edge, the chance of it and its state's earlier edges
         self.back = np.empty(0, np.int32)  # of each edge, how many bytes it covers
         self.piece = np.empty(0, np.int32)
-        self.states = 0
+        self.states = self.names = 0
+
+    def held(self) -> int:
+        """About how many bytes the lattices take."""
+        return sum(x.nbytes for x in (self.first, self.last, self.stretch, self.stretches, self.low, self.high, self.share, self.back, self.piece)) + self.names
 
     def learn(self, units: list[bytes]) -> None:
         p = self.pieces
@@ -166,13 +173,16 @@ class Sampler:
             odds = np.exp(x - np.repeat(most, n))
             total[end[e][head]] = np.log(np.add.reduceat(odds, head)) + most
             chance[e] = np.exp(x - np.repeat(total[end[e][head]], n))
-        # Running chances within a state: of all, less those before the state.
-        run = np.cumsum(chance)
-        head = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.empty(0, np.int64)
-        n = np.diff(np.r_[head, len(end)])
-        share = run - np.repeat(np.r_[0, run[head[1:] - 1]] if len(head) else head, n)
-        if len(head):
-            share[np.r_[head[1:], len(end)] - 1] = 1.0
+        # Running chances within a state, summed from its first edge on: what other units stand beside it changes no bit.
+        n = np.bincount(end, minlength=len(total))
+        low = np.cumsum(n) - n
+        share, rank = chance.copy(), np.arange(len(end)) - low[end]
+        by_rank = np.argsort(rank, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(rank))] if len(rank) else [0]
+        for lo, hi in zip(cuts[1:-1], cuts[2:], strict=True):
+            e = by_rank[lo:hi]
+            share[e] += share[e - 1]
+        share[(low + n - 1)[n > 0]] = 1.0
         # A unit is drawn in stretches, which end at the first free place of every STRETCH bytes after the first.
         begins = ends - size
         of = np.repeat(np.arange(len(units)), size)
@@ -186,12 +196,15 @@ class Sampler:
         last_of = np.r_[owner[1:] != owner[:-1], True] if len(owner) else np.empty(0, bool)
         closes = np.where(last_of, (first + size)[owner], np.r_[opens[1:], 0][: len(opens)])
         n_of = np.bincount(owner, minlength=len(units))
+        self.names += sum(map(len, units)) + 150 * len(units)
         self.known.update(zip(units, range(len(self.stretch), len(self.stretch) + len(units)), strict=True))
         self.stretch = np.r_[self.stretch, len(self.first) + np.cumsum(n_of) - n_of]
         self.stretches = np.r_[self.stretches, n_of]
         self.first = np.r_[self.first, opens + self.states]
         self.last = np.r_[self.last, closes + self.states]
-        self.key = np.r_[self.key, end + self.states + np.minimum(share, 1.0)]
+        self.low = np.r_[self.low, low + len(self.share)]
+        self.high = np.r_[self.high, low + n - 1 + len(self.share)]
+        self.share = np.r_[self.share, share]
         self.back = np.r_[self.back, covers.astype(np.int32)]
         self.piece = np.r_[self.piece, which.astype(np.int32)]
         self.states += len(total)
@@ -208,12 +221,14 @@ class Sampler:
         distinct = set().union(*split) if split else set()
         new = distinct.difference(self.known)
         if new:
-            if len(self.known) + len(new) > self.most:
+            if self.held() > self.most:
                 self.forget()
                 new = distinct
             new = sorted(new)
-            for lo in range(0, len(new), LEARN_UNITS):
-                self.learn(new[lo : lo + LEARN_UNITS])
+            group = np.cumsum([len(x) + 1 for x in new]) // LEARN_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(new)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                self.learn(new[lo:hi])
         counts = np.array([len(x) for x in split], np.int64)
         n = int(counts.sum())
         if not n:
@@ -235,8 +250,11 @@ class Sampler:
         used = np.zeros(n, np.int64)
         while len(live):
             u = (mix(salt) >> np.uint64(11)).astype(float) * 2.0**-53
-            e = np.searchsorted(self.key, state + u, side="right")
-            e = np.minimum(e, len(self.key) - 1)
+            e, top = self.low[state], self.high[state]  # the first of the state's own edges whose share is above u
+            while (e < top).any():
+                mid = (e + top) >> 1
+                later = self.share[mid] <= u
+                e, top = np.where(later, mid + 1, e), np.where(later, top, mid)
             drawn.append((live, self.piece[e]))
             used[live] += 1
             state = state - self.back[e]

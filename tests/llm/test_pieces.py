@@ -95,3 +95,38 @@ def test_long_units_are_drawn_in_stretches(monkeypatch):
     texts = ["漢字かな" * 500 + "x", "a" * 300 + "é" * 50, " " * 40, ""]
     for t, ids in zip(texts, encode(texts, sampler=short), strict=True):
         assert PIECES.decode(ids).tobytes() == (b" " + t.encode() if t else b"")
+
+
+def test_draws_do_not_depend_on_what_a_worker_holds():
+    """Equal ids from a fresh sampler, from one with millions of states before them, and from one that forgets at each step."""
+    texts = ["the lattice of pieces " * 5, "日本語の文章" * 40, "a" * 300, "x  y\n z", "Größenwahn énorme"]
+    alone = [encode(texts, 7, Sampler(PIECES))]
+    full = Sampler(PIECES)
+    rnd = np.random.default_rng(1)
+    full.encode([" ".join("".join(map(chr, rnd.integers(97, 123, 9))) for _ in range(60_000)).encode()], np.zeros(1, np.uint64), 0)
+    assert full.states > 500_000
+    for held in (full, Sampler(PIECES, most=0)):
+        got = encode(texts, 7, held)
+        encode(["other words in between"], 7, held)
+        alone += [got, encode(texts, 7, held)]
+    for other in alone[1:]:
+        assert all((a == b).all() for a, b in zip(alone[0], other, strict=True))
+
+
+def test_lattices_are_bounded_by_bytes():
+    own = Sampler(PIECES, most=2 << 20)
+    most = 0
+    for k in range(30):
+        text = "".join(chr(0x4E00 + (i * 7 + k * 1013) % 20_000) for i in range(20_000))
+        (ids,) = encode([text], 1, own)
+        assert PIECES.decode(ids).tobytes() == b" " + text.encode()
+        most = max(most, own.held())
+    assert most < (2 << 20) + 60 * 60_000
+
+
+def test_shares_are_whole_within_a_state():
+    own = Sampler(PIECES)
+    encode(["then the thing there", "日本語" * 9], 1, own)
+    for low, high in zip(own.low.tolist(), own.high.tolist(), strict=True):
+        share = own.share[low : high + 1]
+        assert not len(share) or (share[-1] == 1.0 and (np.diff(share) > -1e-12).all())
