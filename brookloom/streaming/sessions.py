@@ -31,7 +31,11 @@ def debounced(events: DataFrame, gap: str = "1500 milliseconds", watermark: str
     )
 
 
-def _passing(events: DataFrame, step: Callable[[tuple | None, int], tuple[bool, tuple | None]]) -> DataFrame:
+#: Given a user's state and an event's time: whether the event passes, and the state after it.
+Step = Callable[[tuple | None, int], tuple[bool, tuple | None]]
+
+
+def _passing(events: DataFrame, step: Step) -> DataFrame:
     """user_id, event_id and ts_ms of the events for which ``step``, given the user's state and the time, says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,14 +54,17 @@ def _passing(events: DataFrame, step: Callable[[tuple | None, int], tuple[bool,
     return rows.repartition("user_id").sortWithinPartitions("user_id", "ts_ms", "event_id").mapInArrow(run, "user_id long, event_id long, ts_ms long")
 
 
-def throttled(events: DataFrame, gap_ms: int = 1000) -> DataFrame:
-    """user_id, event_id and ts_ms of the events that pass: at least ``gap_ms`` after the last one of the user that passed."""
-
+def throttle_step(gap_ms: int) -> Step:
     def step(state: tuple | None, t: int) -> tuple[bool, tuple | None]:
         ok = state is None or t - state[0] >= gap_ms
         return ok, (t,) if ok else state
 
-    return _passing(events, step)
+    return step
+
+
+def throttled(events: DataFrame, gap_ms: int = 1000) -> DataFrame:
+    """user_id, event_id and ts_ms of the events that pass: at least ``gap_ms`` after the last one of the user that passed."""
+    return _passing(events, throttle_step(gap_ms))
 
 
 def navigation_sessions(events: DataFrame) -> DataFrame:
@@ -68,14 +75,17 @@ def navigation_sessions(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-def triple_taps(events: DataFrame, within_ms: int = 500, taps: int = 3) -> DataFrame:
-    """user_id and the event that completes a gesture: the third tap within the time from the first; then counting starts anew."""
-
+def tap_step(within_ms: int, taps: int) -> Step:
     def step(state: tuple | None, t: int) -> tuple[bool, tuple | None]:
         first, n = state if state and t - state[0] <= within_ms else (t, 0)
         return n + 1 == taps, None if n + 1 == taps else (first, n + 1)
 
-    return _passing(events, step).drop("ts_ms")
+    return step
+
+
+def triple_taps(events: DataFrame, within_ms: int = 500, taps: int = 3) -> DataFrame:
+    """user_id and the event that completes a gesture: the third tap within the time from the first; then counting starts anew."""
+    return _passing(events, tap_step(within_ms, taps)).drop("ts_ms")
 
 
 def first_seen(events: DataFrame, watermark: str | None = None) -> DataFrame:
