@@ -223,9 +223,37 @@ def captions_at(playback: DataFrame, fragments: DataFrame, bucket_ms: int = 10_0
 
 
 def look_ahead(playback: DataFrame, fragments: DataFrame, back_ms: int = 5_000, ahead_ms: int = 90_000, batch: int = 50, bucket_ms: int = 10_000) -> DataFrame:
-    """video_id, at_ms, idx and batch number of the fragments from 5 s before to 90 s after each playback time."""
-    asked = playback.withColumn("bucket", F.explode(F.sequence(F.expr(f"(at_ms - {back_ms}) div {bucket_ms} - 1"), F.expr(f"(at_ms + {ahead_ms}) div {bucket_ms} + 1"))))
-    held = fragments.withColumn("bucket", F.expr(f"start_ms div {bucket_ms}"))
-    rows = asked.join(held, ["video_id", "bucket"]).where(f"start_ms >= at_ms - {back_ms} and start_ms <= at_ms + {ahead_ms}")
+    """video_id, at_ms, idx and batch number of the fragments that end from 5 s before and start up to 90 s after each playback
+    time. Both sides stand in every bucket of time that they touch; a pair counts in the first bucket that they share."""
+    bucket = lambda x: F.floor(x / bucket_ms)
+    asked = playback.select("video_id", "at_ms", bucket(F.col("at_ms") - back_ms).alias("first"), bucket(F.col("at_ms") + ahead_ms).alias("last"))
+    asked = asked.withColumn("bucket", F.explode(F.sequence("first", "last"))).drop("last")
+    end = F.greatest("start_ms", "end_ms")
+    held = fragments.where("start_ms is not null").select("video_id", "idx", "start_ms", "end_ms", bucket(F.col("start_ms")).alias("own"), F.explode(F.sequence(bucket(F.col("start_ms")), bucket(end))).alias("bucket"))
+    rows = asked.join(held, ["video_id", "bucket"]).where(f"bucket = greatest(first, own) and end_ms >= at_ms - {back_ms} and start_ms <= at_ms + {ahead_ms}")
     own = W.partitionBy("video_id", "at_ms").orderBy("idx")
     return rows.select("video_id", "at_ms", "idx", F.floor((F.row_number().over(own) - 1) / batch).alias("batch"))
+
+
+def _met(playback: DataFrame, fragments: DataFrame, delay: str, back_ms: int, ahead_ms: int, longest_ms: int) -> DataFrame:
+    """Playback times with the fragments that touch their window, of two streams. A fragment's start lies at most ``longest_ms``
+    before its end, so either side's state ends once the other's watermark has passed the window."""
+    span = lambda ms: F.expr(f"interval {ms} milliseconds")
+    asked = playback.select(F.col("video_id").alias("asked_id"), "at").withWatermark("at", delay)
+    held = fragments.select("video_id", "idx", "text", "start", "end").withWatermark("start", delay)
+    near = (F.col("start") <= F.col("at") + span(ahead_ms)) & (F.col("start") >= F.col("at") - span(back_ms + longest_ms))
+    return asked.join(held, (F.col("asked_id") == F.col("video_id")) & near & (F.col("end") >= F.col("at") - span(back_ms))).drop("asked_id")
+
+
+def look_ahead_stream(playback: DataFrame, fragments: DataFrame, delay: str = "10 seconds", back_ms: int = 5_000, ahead_ms: int = 90_000, batch: int = 50, longest_ms: int = 60_000) -> DataFrame:
+    """``look_ahead`` on streams of playback times (video_id, at) and fragments (video_id, idx, text, start, end), whose times
+    are timestamps. Fragments longer than ``longest_ms`` may be missed after that time. Equal playback times count once, and
+    equal (video_id, idx) once for each."""
+    rows = _met(playback, fragments, delay, back_ms, ahead_ms, longest_ms).groupBy("video_id", "at").agg(F.array_sort(F.collect_set("idx")).alias("idxs"))
+    return rows.select("video_id", "at", F.posexplode("idxs").alias("place", "idx")).select("video_id", "at", "idx", F.floor(F.col("place") / batch).alias("batch"))
+
+
+def captions_at_stream(playback: DataFrame, fragments: DataFrame, delay: str = "10 seconds", longest_ms: int = 60_000) -> DataFrame:
+    """``captions_at`` on the streams of ``look_ahead_stream``: video_id, at and the first fragment that holds it."""
+    rows = _met(playback, fragments, delay, 0, 0, longest_ms).where("at < end")
+    return rows.groupBy("video_id", "at").agg(F.min_by(F.struct("idx", "text"), "idx").alias("hit")).select("video_id", "at", "hit.idx", "hit.text")

@@ -8,7 +8,7 @@ from brookloom.functions import text as T
 from brookloom.operators import cache, captions, containment, extract, layout, retry, roots
 from brookloom.plans.registry import query, table
 from brookloom.sources import html
-from brookloom.streaming import sessions
+from brookloom.streaming import sessions, state
 
 _BLOCKS = "blocks AS (SELECT conv_id AS doc_id, 'c' || turn % 2 AS chunk_id, 'b' || turn AS id, turn AS position, text FROM conversations)"
 _ANSWERS = (
@@ -178,7 +178,7 @@ def captions_at(spark, sf_dir):
     return captions.captions_at(_playback(spark, sf_dir), standard_captions(spark, sf_dir))
 
 
-@query(f"WITH {_SEGS}, {_PLAY} SELECT video_id, at_ms, idx, (row_number() OVER (PARTITION BY video_id, at_ms ORDER BY idx) - 1) // 50 AS batch FROM play JOIN fragments USING (video_id) WHERE start_ms >= at_ms - 5000 AND start_ms <= at_ms + 90000")
+@query(f"WITH {_SEGS}, {_PLAY} SELECT video_id, at_ms, idx, (row_number() OVER (PARTITION BY video_id, at_ms ORDER BY idx) - 1) // 50 AS batch FROM play JOIN fragments USING (video_id) WHERE end_ms >= at_ms - 5000 AND start_ms <= at_ms + 90000")
 def look_ahead(spark, sf_dir):
     return captions.look_ahead(_playback(spark, sf_dir), standard_captions(spark, sf_dir))
 
@@ -253,6 +253,22 @@ def debounced_events(spark, sf_dir):
     return sessions.debounced(table(spark, sf_dir, "events"), "20 minutes")
 
 
+#: Reads of a key find the last write before them while its time to live, of hours, lasts.
+_OPS = "ops AS (SELECT user_id::VARCHAR AS key, event_id AS op_id, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_type = 'click' THEN event_id::VARCHAR END AS data, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 36000000 * (event_id % 3) END AS ttl_ms FROM events WHERE ts IS NOT NULL)"
+
+
+@query(
+    f"""WITH {_OPS}, r AS (SELECT *, last_value(CASE WHEN data IS NOT NULL THEN {{'d': data, 'u': ts_ms + CASE WHEN ttl_ms = 0 THEN 86400000 ELSE ttl_ms END}} END IGNORE NULLS) OVER (PARTITION BY key ORDER BY ts_ms, op_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM ops)
+SELECT key, op_id, CASE WHEN h.u >= ts_ms THEN h.d END AS data, coalesce(h.u >= ts_ms, FALSE) AS hit FROM r WHERE data IS NULL"""
+)
+def cache_reads(spark, sf_dir):
+    """Clicks write, other events read."""
+    e = table(spark, sf_dir, "events")
+    ttl = F.when(F.col("event_id") % 3 == 0, 0).otherwise(36_000_000 * (F.col("event_id") % 3)).cast("long")
+    data = F.when(F.col("event_type") == "click", F.col("event_id").cast("string"))
+    return state.answered(e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("op_id"), "ts", data.alias("data"), ttl.alias("ttl_ms")))
+
+
 @query("WITH c AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM c) SELECT user_id, session::BIGINT AS session, min(event_type) AS event_type, count(*) AS n, min(event_id) AS first_id FROM s GROUP BY user_id, session")
 def navigation_sessions(spark, sf_dir):
     return sessions.navigation_sessions(table(spark, sf_dir, "events"))

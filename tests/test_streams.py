@@ -113,3 +113,43 @@ def test_fragment_states(spark, tmp_path):
 
 def test_empty_streams(spark, tmp_path):
     assert streamed(spark, tmp_path, "user_id long, event_id long, ts timestamp", [[{"user_id": 1, "event_id": 1, "ts": None}]], lambda s: state.throttled_stream(s)) == []
+
+
+def test_look_ahead_over_two_streams(spark, tmp_path):
+    """Playback and fragments arrive in pieces out of order; the windows are those of the batch operator."""
+    rnd = random.Random(5)
+    play = [(rnd.choice(["v", "w", None]), at(rnd.randrange(0, 400_000, 1000))) for _ in range(60)]
+    held = []
+    for video in ("v", "w"):
+        for i in range(150):
+            begin = i * 2500 + rnd.randrange(2000)
+            held.append((video, i, f"t{i}", at(begin), at(begin + rnd.choice([0, 800, 2500, 20_000]))))
+    schemas = ("video_id string, at timestamp", "video_id string, idx long, text string, start timestamp, end timestamp")
+
+    def arrivals(rows, t):
+        rows = sorted(rows, key=lambda r: r[t] + dt.timedelta(milliseconds=rnd.randrange(5000)))
+        return [rows[i : i + len(rows) // 4 + 1] for i in range(0, len(rows), len(rows) // 4 + 1)]
+
+    parts = (arrivals(play, 1), arrivals(held, 3))
+    ends = [[("end", END)], [("end", 0, "x", END, END)]]
+    where = [[str(tmp_path / f"in{k}") for k in range(2)], str(tmp_path / "out"), str(tmp_path / "check")]
+
+    def run(name, build, more):
+        for k in range(2):
+            for piece in more[k]:
+                spark.createDataFrame(piece, schemas[k]).coalesce(1).write.mode("append").parquet(where[0][k])
+        streams = [spark.readStream.schema(schemas[k]).option("maxFilesPerTrigger", 1).parquet(where[0][k]) for k in range(2)]
+        build(*streams).writeStream.format("parquet").option("path", where[1] + name).option("checkpointLocation", where[2] + name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    build = lambda p, f: captions.look_ahead_stream(p, f, "8 seconds", batch=10)
+    run("a", build, [x[:2] for x in parts])
+    run("a", build, [x[2:] + [e] for x, e in zip(parts, ends, strict=True)])
+    run("b", lambda p, f: captions.captions_at_stream(p, f, "8 seconds"), [[], []])
+    ms = F.unix_millis
+    p = spark.createDataFrame(play, schemas[0]).distinct().select("video_id", ms("at").alias("at_ms"))
+    f = spark.createDataFrame(held, schemas[1]).select("video_id", "idx", "text", ms("start").alias("start_ms"), ms("end").alias("end_ms"))
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    got = spark.read.parquet(where[1] + "a").where("video_id != 'end'")
+    assert plain(got.select("video_id", ms("at"), "idx", "batch")) == plain(captions.look_ahead(p, f, batch=10)) != []
+    got = spark.read.parquet(where[1] + "b").where("video_id != 'end'")
+    assert plain(got.select("video_id", ms("at"), "idx", "text")) == plain(captions.captions_at(p, f)) != []
