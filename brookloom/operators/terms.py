@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookloom.functions.text import blanked_code, clean_term
+from brookloom.operators.dictionary import PART_BYTES, Matcher, dictionary_hits, parts_of
 
 #: Whole words that are acronyms or mixed-case names.
 ACRONYM = r"^(?:[A-Z]{2,}|[a-z]+[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)$"
@@ -131,19 +132,27 @@ def count_phrases(text: str, whole: str, anchors: frozenset[str], stop: frozense
     return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def counted(docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, breakers: tuple[str, ...] = BREAKERS) -> DataFrame:
-    """``docs`` (doc_id, text) with ``plain``, the text with code and addresses blanked, and its COUNTS, in one pass."""
+def counted(
+    docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, breakers: tuple[str, ...] = BREAKERS, names: Sequence[str] = PRODUCT_NAMES, publication_names: Sequence[str] = PUBLICATIONS
+) -> DataFrame:
+    """``docs`` (doc_id, text) with ``plain``, the text with code and addresses blanked, its COUNTS, and the ``listed`` names
+    and ``publications`` that it holds, in one pass."""
     stop, held = frozenset((*STOP_WORDS, *breakers)), frozenset(anchors)
+    matchers: list[Matcher] = []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not matchers:
+            matchers.extend((Matcher(names), Matcher(publication_names, fold=False, whole=False)))
         for pdf in batches:
             plain = pdf["plain"]
             pdf["words"] = [count_words(t) for t in plain]
             pdf["phrases"] = [count_phrases(t, x, held, stop) for t, x in zip(plain, pdf["text"], strict=True)]
+            pdf["listed"] = [matchers[0].names(t) for t in pdf["text"]]
+            pdf["publications"] = [sorted({name for _, _, name in matchers[1].places(t)}) for t in pdf["text"]]
             yield pdf
 
     own = docs.select("doc_id", "text", blanked_code(F.col("text")).alias("plain"))
-    return own.mapInPandas(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string, plain string, {COUNTS}")
+    return own.mapInPandas(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string, plain string, {COUNTS}, listed array<string>, publications array<string>")
 
 
 def sentence_starts(words: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
@@ -163,20 +172,10 @@ def misread_starts(words: Column, exempt: tuple[str, ...] = ANCHORS) -> Column:
     return F.transform(F.filter(words, lambda w: (w["n"] <= 1) & (w["n_start"] > 0) & ~F.lower(w["word"]).isin(*exempt)), lambda w: w["word"])
 
 
-def _alternatives(names: tuple[str, ...]) -> str:
-    return "|".join(r"\Q" + n + r"\E" for n in sorted(names, key=lambda x: (-len(x), x)))
-
-
-def listed_names(text: Column, names: tuple[str, ...] = PRODUCT_NAMES) -> Column:
-    """The distinct names that stand in a text as whole words in any case, written as the list has them."""
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<![a-z0-9_])({_alternatives(names)})(?![a-z0-9_])"), F.lit(1))
-    written = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
-    return F.array_distinct(F.transform(found, lambda t: F.element_at(written, F.lower(t))))
-
-
-def publications(text: Column, names: tuple[str, ...] = PUBLICATIONS) -> Column:
-    """The names that a text holds anywhere, as they are written."""
-    return F.filter(F.array(*map(F.lit, names)), lambda n: text.contains(n))
+def listed_names(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id and name, as ``names`` (name) writes it, of every name that stands in a text as whole words in any case; the
+    longest counts where names overlap. ``names`` may be of any size."""
+    return dictionary_hits(docs, names).select("doc_id", "name").distinct()
 
 
 def one_form(terms: DataFrame) -> DataFrame:
@@ -221,15 +220,26 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(docs.select("doc_id", "text"), "doc_id").select(*terms.columns, n.alias("n"))
 
 
+def _in_one_part(names: Sequence[str] | DataFrame) -> Sequence[str]:
+    """A list of names, or those of a table (name), which must make one part; ``listed_names`` takes larger ones."""
+    if not isinstance(names, DataFrame):
+        return names
+    for n, found in parts_of(names):
+        if n > 1:
+            raise ValueError(f"a glossary's dictionary may have {PART_BYTES} bytes of names; add the hits of listed_names as emphasised terms instead")
+        return found
+    return ()
+
+
 def glossary(
-    docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None, names: tuple[str, ...] = PRODUCT_NAMES,
-    publication_names: tuple[str, ...] = PUBLICATIONS, anchors: tuple[str, ...] = ANCHORS,
+    docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None, names: Sequence[str] | DataFrame = PRODUCT_NAMES,
+    publication_names: Sequence[str] | DataFrame = PUBLICATIONS, anchors: tuple[str, ...] = ANCHORS,
 ) -> DataFrame:
     """doc_id, rank, term and score of each document's best terms.
 
     ``emphasised``: rows of (doc_id, term) to add. ``prefix``: callers that show a page pass 4000; by default whole
     texts count. Streams keep their order: acronyms, products, listed names, names, sentence starts, publications, phrases,
-    emphasised. All but the last come from one pass over each text; emphasised terms without a capital, whose score
+    emphasised. ``names`` and ``publication_names`` may be tables (name). All but the last come from one pass over each text; emphasised terms without a capital, whose score
     counts them, are the only ones that meet a text in a join.
     """
     docs = docs.select("doc_id", "text").where("text is not null and length(text) >= 50")
@@ -240,13 +250,13 @@ def glossary(
     text, plain, words = F.col("text"), F.col("plain"), F.col("words")
     owners = F.array_union(owners_only(words), misread_starts(words, anchors))
     streams = [
-        acronyms_of(plain), products_of(text), listed_names(text, names), F.array_except(F.array_distinct(capitalised_of(plain)), owners),
-        F.array_except(sentence_starts(words, anchors), owners), publications(text, publication_names),
+        acronyms_of(plain), products_of(text), F.col("listed"), F.array_except(F.array_distinct(capitalised_of(plain)), owners),
+        F.array_except(sentence_starts(words, anchors), owners), F.col("publications"),
     ]
     cut = lambda terms, k: F.transform(terms, lambda t: F.struct(F.lit(k).alias("stream"), clean_term(t).alias("term"), F.lit(0).alias("n")))
     phrases = F.transform("phrases", lambda p: F.struct(F.lit(len(streams)).alias("stream"), p["term"].alias("term"), p["hits"].alias("n")))
     every = F.concat(*[cut(x, k) for k, x in enumerate(streams)], phrases)
-    terms = counted(docs, anchors).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
+    terms = counted(docs, anchors, names=_in_one_part(names), publication_names=_in_one_part(publication_names)).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
     if emphasised is not None:
         ids = docs.select("doc_id", F.col("doc_id.id").alias("own_id"))
         added = emphasised.where("length(term) between 2 and 79").select(F.col("doc_id").alias("own_id"), clean_term(F.col("term")).alias("term")).join(ids, "own_id").select("doc_id", "term")

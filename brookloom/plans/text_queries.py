@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookloom.functions import text as T
-from brookloom.operators import blocks, terms
+from brookloom.operators import blocks, dictionary, terms
 from brookloom.plans.registry import query, table
 
 #: Valid lines of documents, the first of equal ones, as the SQL of several queries begins.
@@ -216,6 +216,18 @@ def product_names(spark, sf_dir):
     return terms.products(d).where("term != 'Mistral' and term != 'Grok'")
 
 
+@query(
+    r"""WITH names AS (SELECT min(w) AS name, lower(w) AS low FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark) GROUP BY lower(w)),
+words AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS low FROM documents)
+SELECT doc_id, name, count(*) AS n FROM words JOIN names USING (low) GROUP BY doc_id, name"""
+)
+def dictionary_terms(spark, sf_dir):
+    """How often each long word of the benchmark stands in each document, found as entries of a dictionary."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), F.lit(1)))
+    names = table(spark, sf_dir, "benchmark").select(words.alias("name"))
+    return dictionary.dictionary_hits(table(spark, sf_dir, "documents"), names).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
 @query()
 def glossary(spark, sf_dir):
     """Candidate streams with look-behinds and an ordered merge; tests hold it against worked examples."""
