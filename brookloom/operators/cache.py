@@ -91,14 +91,14 @@ def load_bucketed(spark: SparkSession, path: str, keys: list[str] | None = None,
     held = spark.read.parquet(path)
     if keys is not None:
         own = spark.createDataFrame([(k,) for k in keys], "key string")
-        wanted = sorted({r.bucket for r in with_bucket(own, buckets).select("bucket").collect()})  # one for each key asked for
-        held = held.where(F.col("bucket").isin(wanted)).join(F.broadcast(own), "key", "left_semi")
+        wanted = sorted({r.bucket for r in with_bucket(own, buckets).select("bucket").distinct().collect()})  # as many as there are buckets at most
+        held = held.where(F.col("bucket").isin(wanted)).join(own, "key", "left_semi")
     return held.drop("bucket")
 
 
 def enqueued(queue: DataFrame, new: DataFrame) -> DataFrame:
-    """The queue with rows whose key it didn't have, untried."""
-    first = new.dropDuplicates(["key"]).join(queue.select("key"), "key", "left_anti").withColumn("tries", F.lit(0).cast(queue.schema["tries"].dataType))
+    """The queue with rows whose key it didn't have, untried; rows without a key stay out."""
+    first = new.where("key is not null").dropDuplicates(["key"]).join(queue.select("key"), "key", "left_anti").withColumn("tries", F.lit(0).cast(queue.schema["tries"].dataType))
     return queue.unionByName(first.select(*queue.columns))
 
 

@@ -108,10 +108,12 @@ def _stream():
 def with_service(blocks: DataFrame, translate: Callable[[list[dict]], dict[str, str]], cached: DataFrame | None = None) -> DataFrame:
     """Each distinct text goes to ``translate`` once, unless ``cached`` (text, translated) has it; results join back.
 
-    ``translate`` gets a list of {id, text} and returns texts by id; what it leaves out is null.
+    ``translate`` gets a list of {id, text} and returns texts by id; what it leaves out is null. Of several cached results of
+    a text the greatest counts.
     """
     texts = blocks.select("text").where("text is not null").distinct()
     cached = cached if cached is not None else blocks.sparkSession.createDataFrame([], "text string, translated string")
+    cached = cached.groupBy("text").agg(F.max("translated").alias("translated"))
     new = texts.join(cached.select("text"), "text", "left_anti")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

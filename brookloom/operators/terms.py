@@ -27,7 +27,7 @@ from brookloom.operators.dictionary import PART_BYTES, Matcher, dictionary_hits,
 ACRONYM = r"^(?:[A-Z]{2,}|[a-z]+[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)$"
 #: Names of model families; a product is one of them and up to three tokens more. Fixed values.
 VENDORS = "Claude GPT Gemini Llama Qwen Mistral DeepSeek Grok Nova Command Phi".split()
-PRODUCT = rf"\b(?:{'|'.join(sorted(VENDORS, key=len, reverse=True))})(?:[0-9]+(?:\.[0-9]+)?[A-Za-z]*|[\s\-]+(?:[A-Z][A-Za-z]*|[0-9]+(?:\.[0-9]+)?[A-Za-z]*)){{0,3}}"
+PRODUCT = rf"(?<![A-Za-z0-9_])(?:{'|'.join(sorted(VENDORS, key=len, reverse=True))})(?:[0-9]+(?:\.[0-9]+)?[A-Za-z]*|[\s\-]+(?:[A-Z][A-Za-z]*|[0-9]+(?:\.[0-9]+)?[A-Za-z]*)){{0,3}}"
 #: Words that are no terms; a caller passes its own list for other languages.
 STOP_WORDS = tuple(
     "a an and are as at be but by for from had has have he her his how i if in into is it its more not of on one or our she so than that "
@@ -84,7 +84,7 @@ def products(docs: DataFrame) -> DataFrame:
 
 def capitalised_of(plain: Column) -> Column:
     """Capitalised words of a blanked text after a lower-case letter, comma, semicolon or colon and a space, repeats and all."""
-    found = F.regexp_extract_all(plain, F.lit(r"[a-z,;:] ([A-Z][a-z]{2,})\b"), F.lit(1))
+    found = F.regexp_extract_all(plain, F.lit(r"[a-z,;:] ([A-Z][a-z]{2,})(?![A-Za-z0-9_])"), F.lit(1))
     return F.filter(found, lambda t: ~F.lower(t).isin(*STOP_WORDS))
 
 
@@ -94,7 +94,7 @@ def capitalised(docs: DataFrame) -> DataFrame:
 
 
 COUNTS = "words array<struct<word:string,n:int,n_start:int,n_owner:int>>, phrases array<struct<term:string,n:int,hits:int>>"
-_NAME, _START, _OWNER = re.compile(r"\b[A-Z][a-z]+\b"), re.compile(r"(?:^|[.!?\n])\s*([A-Z][a-z]+)\b"), re.compile(r"\b([A-Z][a-z]+)['’]s\b")
+_NAME, _START, _OWNER = re.compile(r"\b[A-Z][a-z]+\b", re.A), re.compile(r"(?:^|[.!?\n])\s*([A-Z][a-z]+)(?![A-Za-z0-9_])"), re.compile(r"\b([A-Z][a-z]+)['’]s\b", re.A)
 _BETWEEN, _PARTS = re.compile(r"[^\w'’ -]+"), re.compile(r"([^a-z0-9_]+)")
 
 

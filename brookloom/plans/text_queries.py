@@ -197,23 +197,27 @@ _BLANK = r"regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '
 
 
 @query(
-    rf"""WITH ascii AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '~', 'g') AS text FROM documents),
-found AS (SELECT doc_id, unnest(regexp_extract_all({_BLANK}, '[a-z,;:] ([A-Z][a-z]{{2,}})\b', 1)) AS term FROM ascii)
+    rf"""WITH found AS (SELECT doc_id, unnest(regexp_extract_all({_BLANK}, '[a-z,;:] ([A-Z][a-z]{{2,}})\b', 1)) AS term FROM documents)
 SELECT doc_id, term, count(*) AS n FROM found WHERE lower(term) NOT IN ({_STOPS}) GROUP BY doc_id, term"""
 )
 def capitalised_terms(spark, sf_dir):
-    """Texts of ASCII words and marks alone: word borders differ between engines beyond that."""
-    return terms.capitalised(table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "~")))
+    return terms.capitalised(table(spark, sf_dir, "documents"))
+
+
+_FAMILIES = "|".join(sorted(terms.VENDORS, key=len, reverse=True))
 
 
 @query(
-    r"""SELECT doc_id, unnest(list_concat(['Claude Opus 4.5', 'GPT-4o', 'Qwen3'], CASE WHEN doc_id % 3 = 0 THEN ['Grok 2 Mini'] ELSE [] END)) AS term FROM documents WHERE text IS NOT NULL"""
+    rf"""WITH named AS (SELECT doc_id, replace(replace(replace(replace(text, ' of ', ' GPT-4o '), ' de ', ' Claude '), ' und ', ' Qwen'), ' que ', ' Mistrals ') AS text FROM documents),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:{_FAMILIES})(?:[0-9]+(?:\.[0-9]+)?[A-Za-z]*|[\s\-]+(?:[A-Z][A-Za-z]*|[0-9]+(?:\.[0-9]+)?[A-Za-z]*)){{0,3}}')) AS t FROM named)
+SELECT DISTINCT doc_id, trim(regexp_replace(t, '[\s\-]+$', '')) AS term FROM found WHERE length(trim(regexp_replace(t, '[\s\-]+$', ''))) >= 3"""
 )
 def product_names(spark, sf_dir):
-    """Products that this query writes around each whole text, so that there are some to find."""
-    last = F.when(F.col("doc_id") % 3 == 0, "\nGrok 2 Mini and so on; not a Grokker. Qwen3").otherwise("\nQwen3")
-    d = table(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("Claude Opus 4.5 and GPT-4o, Qwen3 - but not Mistrals; "), "text", last))
-    return terms.products(d).where("term != 'Mistral' and term != 'Grok'")
+    """Products in texts whose most frequent words are read as names of model families, so that there are some to find."""
+    text = F.col("text")
+    for word, name in ((" of ", " GPT-4o "), (" de ", " Claude "), (" und ", " Qwen"), (" que ", " Mistrals ")):
+        text = F.replace(text, F.lit(word), F.lit(name))
+    return terms.products(table(spark, sf_dir, "documents").withColumn("text", text))
 
 
 @query(
