@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brookloom.functions.text import collapse_spaced, is_valid_text, trimmed
-from brookloom.operators.rules import NodeRule, SiteRule, any_rule, attr, by_site, either, selects
+from brookloom.operators.rules import NodeRule, SiteRule, any_rule, attr, by_site, either, selects, with_selectors
 
 PAGE = "page_key"
 #: Tags by role.
@@ -116,7 +116,7 @@ def decided(
     tag = F.col("tag")
     paragraph = F.lower(attr("class")).contains("public-draftstyledefault-block")
     main = tag.isin("article", "main") | attr("role").isin("main", "article")
-    df = nodes.withColumn("tokens", class_tokens()).withColumns(
+    df = with_selectors(nodes, [x for r in rules for x in r.skip_selectors]).withColumn("tokens", class_tokens()).withColumns(
         {
             "content": trimmed(F.col("text")),
             "block": tag.isin(BLOCK_TAGS),

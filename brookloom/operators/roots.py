@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from brookloom.operators.blocks import packed_chunks
 from brookloom.operators.extract import PAGE, marked_blocks, numbered_blocks
-from brookloom.operators.rules import SiteRule, attr, by_site, selects
+from brookloom.operators.rules import SiteRule, attr, by_site, selects, with_selectors
 from brookloom.sources.html import data_islands, html_nodes, keyed
 
 #: Selectors of article containers in order, and those of the article's text alone.
@@ -232,7 +232,7 @@ def article_roots(nodes: DataFrame, rules: tuple[SiteRule, ...] = (), articles:
     if any(r.root_selector for r in rules):
         hit = by_site(F.col("url"), rules, lambda r: selects(r.root_selector) if r.root_selector else F.lit(False), F.lit(False))
         first = F.min(F.struct("pos", "sub_end", (F.col("length") > 0).alias("full")))
-        site = nodes.where(hit).groupBy(PAGE).agg(first.alias("f")).where("f.full")
+        site = with_selectors(nodes, [r.root_selector for r in rules if r.root_selector]).where(hit).groupBy(PAGE).agg(first.alias("f")).where("f.full")
         layers.append(site.select(PAGE, F.lit(0).alias("layer"), F.col("f.pos").alias("root_pos"), F.col("f.sub_end").alias("root_end")))
     known = best_ancestor(nodes, expanded(nodes, refined(nodes, containers(nodes))))
     layers.append(known.select(PAGE, F.lit(1).alias("layer"), F.col("pos0").alias("root_pos"), F.col("end0").alias("root_end")))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from brookloom.operators import extract, roots
-from brookloom.operators.rules import NodeRule, SiteRule, by_site, selects
+from brookloom.operators.rules import NodeRule, SiteRule, by_site, closest, selects, with_selectors
 from brookloom.sources.html import html_nodes, parse
 
 LONG = "Some words of an article that go on for a while. "
@@ -35,9 +36,74 @@ def test_selectors(spark, css, want):
     assert {r.pos for r in nodes_of(spark, page).where(selects(css)).collect()} == want
 
 
-def test_combinators_are_refused():
+def matches(css, n, of):
+    """Whether a node matches a selector, from right to left along its ancestors and siblings."""
+    steps = [x for x in re.split(r"\s*([>+~])\s*|\s+", css) if x]
+
+    def compound(c, m):
+        tag = re.match(r"[a-z*]*", c)[0]
+        classes = m["attrs"].get("class", "").split()
+        return tag in ("", "*", m["tag"]) and all(x in classes for x in re.findall(r"\.(\w+)", c))
+
+    def left(k, m):
+        if not compound(steps[k], m):
+            return False
+        if k == 0:
+            return True
+        how, k = (steps[k - 1], k - 2) if steps[k - 1] in ">+~" else (" ", k - 1)
+        up = m["up"]
+        if how in "> ":
+            while up:
+                if left(k, up):
+                    return True
+                up = None if how == ">" else up["up"]
+            return False
+        older = [x for x in up["kids"] if x["pos"] < m["pos"]] if up else []
+        return any(left(k, x) for x in (older[-1:] if how == "+" else older))
+
+    return left(len(steps) - 1, n)
+
+
+def test_combinators_match_a_tree_walk(spark):
+    r = random.Random(6)
+
+    def grow(depth):
+        kids = "".join(grow(depth - 1) for _ in range(r.randrange(4))) if depth else ""
+        return f'<{(t := r.choice(["div", "span", "b"]))} class="{r.choice(["", "a", "b", "a c"])}">{kids}</{t}>'
+
+    pages = [f"<body>{''.join(grow(4) for _ in range(3))}</body>" for _ in range(10)]
+    nodes = nodes_of(spark, *pages).persist()
+    selectors = ["div span", "div > .a", ".a + b", ".a ~ .b", "body > div .a > span", ".a > .b ~ div .c", "div + div > b.a span", "body *", ".a .a .a"]
+    df = with_selectors(nodes, selectors)
+    rows = df.select("page_id", "pos", *[selects(c).alias(f"s{k}") for k, c in enumerate(selectors)]).collect()
+    trees = [parse(p) for p in pages]
+    for k, css in enumerate(selectors):
+        got = {(x.page_id, x.pos) for x in rows if x[f"s{k}"]}
+        want = {(i, n["pos"]) for i, of in enumerate(trees) for n in of if matches(css, n, of)}
+        assert got == want, css
+        assert want, css
+    near = {(x.page_id, x.pos): x.closest for x in closest(nodes, "div > .a, b.b").collect()}
+    for i, of in enumerate(trees):
+        for n in of:
+            up = n
+            while up and not (matches("div > .a", up, of) or matches("b.b", up, of)):
+                up = up["up"]
+            assert near[i, n["pos"]] == (up["pos"] if up else None)
+    nodes.unpersist()
+
+
+@pytest.mark.parametrize("css", ["div >", "> p", "p:first-child", "a > > b", ""])
+def test_other_selectors_are_refused(spark, css):
     with pytest.raises(ValueError, match="selector"):
-        selects("div > p")
+        with_selectors(nodes_of(spark, "<p>"), [css or "div > "])
+
+
+def test_site_rules_take_combinators(spark):
+    page = f"<body><div class=box><p>{LONG}</p></div><section><p>Kept text here</p><p>Next one goes</p></section><main><p>Main text here</p></main></body>"
+    rules = (SiteRule("a.example.com", skip_selectors=(".box > p", "section p + p"), root_selector="body > section"),)
+    nodes = nodes_of(spark, page)
+    assert sorted(r.text for r in extract.extract_blocks(nodes, rules=rules).collect()) == ["Kept text here", "Main text here"]
+    assert roots.article_roots(nodes, rules).first().layer == "site"
 
 
 def test_rules_of_nodes_and_sites(spark):
