@@ -6,6 +6,8 @@ returns, so texts travel through Arrow as UTF-8 and are never decoded unless an
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,8 +33,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder that driver and executors share, under spark.checkpoint.dir.
 
-    Where the session names none, a temporary folder takes its place on one machine; a cluster, whose machines don't share
-    such a folder, is an error. Files stay until the folder's owner clears it: rows read from them outlive this call.
+    Where the session names none, a temporary folder takes its place on one machine, until the process ends; a cluster, whose
+    machines don't share such a folder, is an error. Files stay until the folder's owner clears it: rows read from them
+    outlive this call.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
@@ -43,6 +46,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             base = tempfile.mkdtemp(prefix="brookloom-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

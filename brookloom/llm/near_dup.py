@@ -270,8 +270,9 @@ def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFram
     """One document of each component, all columns as they were; of repeated rows of its id, the one whose text has the
     least hash."""
     found = near_duplicates(docs, threshold).where("kept").select(F.col("doc_id").alias("kept_id")).where("kept_id is not null").distinct()
-    kept = docs.join(found, docs["doc_id"].cast("long") == found["kept_id"])
-    one = kept.groupBy("kept_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column of the caller's meets those of this join
+    kept = rows.join(found, F.col("row.doc_id").cast("long") == F.col("kept_id"))
+    one = kept.groupBy("kept_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.col("row.text").alias("text"))).alias("row")).select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

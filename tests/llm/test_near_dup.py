@@ -128,3 +128,11 @@ def test_sketches_estimate_high_similarities():
         s = odd_sketches(np.array([minhashes(a), minhashes(b)]))
         found.append(float(sketch_similarity(np.bitwise_count(s[0] ^ s[1]).sum())) - true)
     assert abs(np.mean(found)) < 0.02 and np.max(np.abs(found)) < near_dup.LIKELY_MARGIN
+
+
+def test_columns_of_the_operator_may_be_the_callers(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 9, "a", 0), (2, text, 8, "b", 1), (None, text, 7, "c", 2), (3, "other words " * 6, 6, "d", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long, row string, label int")
+    got = sorted(without_near_duplicates(docs).collect(), key=lambda r: r.kept_id)
+    assert [tuple(r) for r in got] == [rows[3], rows[2], rows[0]] and got[0].__fields__ == docs.columns

@@ -67,10 +67,25 @@ def test_one_kind_of_label_and_empty_tables(spark):
     assert toxicity(docs.limit(0), labels).collect() == []
 
 
+def test_rare_telling_words_count(spark):
+    """A slur of ten toxic documents in two thousand, and of no ordinary one, is learned; a copy with another label isn't dropped."""
+    r = random.Random(9)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows = [(i, f"{words(40)} rareinsult {words(10)} rareinsult {words(30)}" if i % 40 == 1 else words(80), int(i % 40 == 1 or i % 10 == 3)) for i in range(2000)]
+    rows = [(i, t + (" commonslur " + words(5) + " commonslur") * (i % 10 == 3), y) for i, t, y in rows]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity(docs, labels).collect()}
+    rare = [got[i] for i, t, _ in rows if "rareinsult" in t and held(i)]
+    assert sum(rare) >= 0.8 * len(rare) > 0
+    clean = [got[i] for i, _, y in rows if not y and held(i)]
+    assert sum(clean) <= 0.02 * len(clean)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_held_out_figures_on_the_tables(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
     got = op1_toxicity(spark, SF).where("held_out").join(labels, "doc_id")
     n = {(r.toxic, r.predicted): r["n"] for r in got.groupBy("toxic", "predicted").agg(F.count("*").alias("n")).collect()}
     found, missed, wrong, right = (n.get(k, 0) for k in ((1, 1), (1, 0), (0, 1), (0, 0)))
-    assert found >= 0.6 * (found + missed) and wrong <= 0.015 * (wrong + right), n
+    assert found >= 0.65 * (found + missed) and wrong <= 0.015 * (wrong + right), n
