@@ -133,10 +133,10 @@ def count_phrases(text: str, whole: str, anchors: frozenset[str], stop: frozense
 
 
 def counted(
-    docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, breakers: tuple[str, ...] = BREAKERS, names: Sequence[str] = PRODUCT_NAMES, publication_names: Sequence[str] = PUBLICATIONS
+    docs: DataFrame, anchors: tuple[str, ...] = ANCHORS, breakers: tuple[str, ...] = BREAKERS, names: Sequence[str] = PRODUCT_NAMES, publication_names: Sequence[str] = PUBLICATIONS, tagged: bool = False
 ) -> DataFrame:
     """``docs`` (doc_id, text) with ``plain``, the text with code and addresses blanked, its COUNTS, and the ``listed`` names
-    and ``publications`` that it holds, in one pass."""
+    and ``publications`` that it holds, in one pass. ``tagged``: phrases are noun phrases, and people are listed too."""
     stop, held = frozenset((*STOP_WORDS, *breakers)), frozenset(anchors)
     matchers: list[Matcher] = []
 
@@ -146,8 +146,14 @@ def counted(
         for pdf in batches:
             plain = pdf["plain"]
             pdf["words"] = [count_words(t) for t in plain]
-            pdf["phrases"] = [count_phrases(t, x, held, stop) for t, x in zip(plain, pdf["text"], strict=True)]
             pdf["listed"] = [matchers[0].names(t) for t in pdf["text"]]
+            if tagged:
+                from brookloom.operators.phrases import people_in, phrases_of
+
+                pdf["phrases"] = [[(t, n, n) for t, n in found] for found in phrases_of(plain.tolist())]
+                pdf["listed"] = [list(dict.fromkeys([*names, *people_in(t)])) for names, t in zip(pdf["listed"], pdf["text"], strict=True)]
+            else:
+                pdf["phrases"] = [count_phrases(t, x, held, stop) for t, x in zip(plain, pdf["text"], strict=True)]
             pdf["publications"] = [sorted({name for _, _, name in matchers[1].places(t)}) for t in pdf["text"]]
             yield pdf
 
@@ -234,12 +240,14 @@ def _in_one_part(names: Sequence[str] | DataFrame) -> Sequence[str]:
 def glossary(
     docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None, names: Sequence[str] | DataFrame = PRODUCT_NAMES,
     publication_names: Sequence[str] | DataFrame = PUBLICATIONS, anchors: tuple[str, ...] = ANCHORS,
+    tagged: bool = False,
 ) -> DataFrame:
     """doc_id, rank, term and score of each document's best terms.
 
     ``emphasised``: rows of (doc_id, term) to add. ``prefix``: callers that show a page pass 4000; by default whole
     texts count. Streams keep their order: acronyms, products, listed names, names, sentence starts, publications, phrases,
-    emphasised. ``names`` and ``publication_names`` may be tables (name). All but the last come from one pass over each text; emphasised terms without a capital, whose score
+    emphasised. ``names`` and ``publication_names`` may be tables (name). ``tagged``: phrases
+    are noun phrases of English, and people count as listed names. All but the last come from one pass over each text; emphasised terms without a capital, whose score
     counts them, are the only ones that meet a text in a join.
     """
     docs = docs.select("doc_id", "text").where("text is not null and length(text) >= 50")
@@ -256,7 +264,7 @@ def glossary(
     cut = lambda terms, k: F.transform(terms, lambda t: F.struct(F.lit(k).alias("stream"), clean_term(t).alias("term"), F.lit(0).alias("n")))
     phrases = F.transform("phrases", lambda p: F.struct(F.lit(len(streams)).alias("stream"), p["term"].alias("term"), p["hits"].alias("n")))
     every = F.concat(*[cut(x, k) for k, x in enumerate(streams)], phrases)
-    terms = counted(docs, anchors, names=_in_one_part(names), publication_names=_in_one_part(publication_names)).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
+    terms = counted(docs, anchors, names=_in_one_part(names), publication_names=_in_one_part(publication_names), tagged=tagged).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
     if emphasised is not None:
         ids = docs.select("doc_id", F.col("doc_id.id").alias("own_id"))
         added = emphasised.where("length(term) between 2 and 79").select(F.col("doc_id").alias("own_id"), clean_term(F.col("term")).alias("term")).join(ids, "own_id").select("doc_id", "term")

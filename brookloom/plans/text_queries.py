@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookloom.functions import text as T
-from brookloom.operators import blocks, dictionary, terms
+from brookloom.operators import blocks, dictionary, phrases, terms
 from brookloom.plans.registry import query, table
 
 #: Valid lines of documents, the first of equal ones, as the SQL of several queries begins.
@@ -232,6 +232,13 @@ def dictionary_terms(spark, sf_dir):
     return dictionary.dictionary_hits(table(spark, sf_dir, "documents"), names).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
 
 
+@query()
+def noun_phrases(spark, sf_dir):
+    """Frequent noun phrases; tests hold the tagger against all paths through short sentences, and its phrases against some
+    written by hand."""
+    return phrases.noun_phrases(table(spark, sf_dir, "documents"))
+
+
 @query()
 def glossary(spark, sf_dir):
     """Candidate streams with look-behinds and an ordered merge; tests hold it against worked examples."""
