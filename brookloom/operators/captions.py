@@ -29,6 +29,31 @@ def _in_order() -> WindowSpec:
     return W.partitionBy("video_id").orderBy("pos")
 
 
+#: The names of a payload's fields, by those of events.
+PAYLOAD_FIELDS = {"start_ms": "tStartMs", "duration_ms": "dDurationMs", "append": "aAppend", "win_id": "wWinId", "pos_id": "wpWinPosId"}
+EVENT_SEGS = "array<struct<utf8:string,offset_ms:bigint>>"
+
+
+def payload_events(payloads: DataFrame) -> DataFrame:
+    """Events of raw payloads (video_id, payload, lang): ``pos`` is an event's place in its payload's list ``events``.
+
+    What a payload holds is looked at as it comes: numbers may stand as texts, fields may lack, be null or of another kind,
+    which makes them null, and others are passed over. Events that are no object or have no start are left out, as are
+    segments that are no object; an event whose ``segs`` are no list has null ones; payloads that are no JSON, or have no
+    list of events, give no rows."""
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    listed = get(F.try_parse_json("payload"), "$.events", "array<variant>")
+    events = payloads.select("video_id", "lang", F.posexplode(listed).alias("pos", "e"))
+    kind = lambda v: F.schema_of_variant(v)
+    objects = F.filter(get(F.col("e"), "$.segs", "array<variant>"), lambda s: kind(s).startswith("OBJECT"))
+    segs = F.transform(objects, lambda s: F.struct(F.coalesce(get(s, "$.utf8", "string"), F.lit("")).alias("utf8"), get(s, "$.tOffsetMs", "bigint").alias("offset_ms")))
+    number = {name: get(F.col("e"), f"$.{field}", "bigint") for name, field in PAYLOAD_FIELDS.items()}
+    read = events.where(kind(F.col("e")).startswith("OBJECT")).select(
+        "video_id", F.col("pos").cast("long").alias("pos"), *[c.alias(name) for name, c in number.items()], segs.cast(EVENT_SEGS).alias("segs"), "lang"
+    )
+    return read.where("start_ms is not null")
+
+
 def filtered_events(events: DataFrame) -> DataFrame:
     """Events whose segs have no noise, blank ones dropped."""
     clean = F.transform("segs", lambda s: F.struct(without_noise(s["utf8"]).alias("utf8"), s["offset_ms"].alias("offset_ms")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brookloom.functions import text as T
-from brookloom.operators import cache, captions, containment, extract, layout, retry, roots
+from brookloom.operators import cache, captions, containment, extract, layout, requests, retry, roots
 from brookloom.plans.registry import query, table
 from brookloom.sources import html
 from brookloom.streaming import sessions, state
@@ -188,6 +188,27 @@ marked AS (SELECT *, CASE WHEN lag(text) OVER (PARTITION BY video_id ORDER BY po
 runs AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY pos) AS run FROM marked)"""
 
 
+@query(
+    """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS pos FROM conversations WHERE conv_id % 7 <> 3)
+SELECT conv_id::VARCHAR AS video_id, pos, turn * 3000 AS start_ms, CASE WHEN turn % 4 <> 1 THEN 2500 END AS duration_ms, CASE WHEN turn % 4 = 1 THEN 1 ELSE 2 END AS n_segs, text FROM c WHERE turn % 5 <> 4"""
+)
+def payload_events(spark, sf_dir):
+    """Each conversation as a raw payload of events, of which some are no objects, some hold texts for numbers, and some
+    segments that are none; each seventh payload is cut short."""
+    c = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit('{"utf8":'), requests.quoted(F.coalesce("text", F.lit(""))), F.lit("}"))
+    start = (F.col("turn") * 3000).cast("string")
+    item = (
+        F.when(F.col("turn") % 5 == 4, F.lit("17"))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit('{"tStartMs":"'), start, F.lit('","dDurationMs":[1],"segs":['), said, F.lit("]}")))
+        .otherwise(F.concat(F.lit('{"x":{"y":[]},"tStartMs":'), start, F.lit(',"dDurationMs":2500,"segs":['), said, F.lit(',"x",null,{"tOffsetMs":5}]}')))
+    )
+    rows = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text", item.alias("item")))), lambda r: r["item"]), ",").alias("items"))
+    whole = F.concat(F.lit('{"wireMagic":"pb3","events":['), F.col("items"), F.when(F.col("conv_id") % 7 == 3, "]").otherwise("]}"))
+    events = captions.payload_events(rows.select(F.col("conv_id").cast("string").alias("video_id"), whole.alias("payload"), F.lit("en").alias("lang")))
+    return events.select("video_id", "pos", "start_ms", "duration_ms", F.size("segs").alias("n_segs"), F.array_join(F.transform("segs", lambda s: s["utf8"]), "").alias("text"))
+
+
 def _events_as_captions(spark, sf_dir, pos_id=None):
     e = table(spark, sf_dir, "events")
     own = sessions.W.partitionBy("user_id").orderBy("ts", "event_id")

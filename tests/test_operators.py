@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from hypothesis import given, settings
@@ -248,3 +249,16 @@ def test_streams_match_batches(spark, tmp_path):
     pieces.write.parquet(str(tmp_path / "sse"))
     lines = run(sessions.sse_stream(spark.readStream.schema(pieces.schema).parquet(str(tmp_path / "sse"))), "lines")
     assert lines == [(1, "abc"), (1, "def"), (2, "x")]
+
+
+def test_payload_events(spark):
+    event = {"tStartMs": 5, "dDurationMs": "7", "aAppend": 1, "wWinId": None, "wpWinPosId": {"a": 1}, "segs": [{"utf8": "a"}, 3, {"utf8": None, "tOffsetMs": "9"}, {}]}
+    rows = [
+        ("v", json.dumps({"events": [event, 4, None, "x", [], {"segs": []}, {"tStartMs": 1}, {"tStartMs": 2, "segs": "no list"}, {"tStartMs": "no number"}]})),
+        ("w", '{"events": [{"tStartMs": 1'), ("x", None), ("y", '{"events": {"tStartMs": 1}}'), ("z", "[]"), (None, '{"events": [{"tStartMs": 3}]}'),
+    ]
+    got = captions.payload_events(spark.createDataFrame([(*r, "en") for r in rows], "video_id string, payload string, lang string")).collect()
+    assert [(r.video_id, r.pos, r.start_ms) for r in got] == [("v", 0, 5), ("v", 6, 1), ("v", 7, 2), (None, 0, 3)]
+    assert (got[0].duration_ms, got[0].append, got[0].win_id, got[0].pos_id) == (7, 1, None, None)
+    assert [tuple(s) for s in got[0].segs] == [("a", None), ("", 9), ("", None)] and got[1].segs is None and got[2].segs is None
+    assert captions.captions(captions.payload_events(spark.createDataFrame([(*r, "en") for r in rows], "video_id string, payload string, lang string"))).count() == 1
