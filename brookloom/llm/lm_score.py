@@ -13,8 +13,7 @@ words. At a text's start fewer orders are tried. A document's score is the sum o
 
 N-grams travel as packed arrays, one row for each slice and partition. No row holds more than a slice's or a
 partition's n-grams, and no word or n-gram binds more rows to one partition than there are slices. Rows are slices times
-partitions, so both sizes are arguments: 64 MB and 16 million n-grams keep some 30 n-grams a row at 100 TB, in tasks of
-4 GB; the defaults suit tasks of 1 GB and up to some TB.
+partitions; both sizes follow from the counted words (``sizes``), or are arguments.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand. Defined results: a null or wordless text has 0 words and scores 0;
 repeated rows are documents of their own, each scored with the others counted; null ids are ordinary; other columns are
@@ -37,9 +36,19 @@ from brookloom.llm.common import as_bytes, map_batches, slices, windows, word_ha
 
 ALPHA = 0.4
 ORDERS = (1, 2, 3)
-SLICE_BYTES = 12 << 20
-#: N-grams that a partition counts at a time, on average.
-PARTITION_GRAMS = 2_000_000
+#: Bytes of a slice, and n-grams that a partition counts at a time on average: those of FEW_WORDS words or less, and those that
+#: a task of 4 GB can hold, which large corpora come to.
+SLICE_BYTES, MOST_SLICE_BYTES = 12 << 20, 64 << 20
+PARTITION_GRAMS, MOST_PARTITION_GRAMS = 2_000_000, 16_000_000
+FEW_WORDS = 200_000_000
+
+
+def sizes(words: int) -> tuple[int, int]:
+    """Bytes of a slice and n-grams of a partition for a corpus of so many words. Both grow with the root of it, so that rows,
+    which are slices times partitions, grow as the words do, until a task is full: 80 GB of text; at 100 TB a row holds
+    some 16 n-grams."""
+    more = max(1.0, (words / FEW_WORDS) ** 0.5)
+    return min(int(SLICE_BYTES * more), MOST_SLICE_BYTES), min(int(PARTITION_GRAMS * more), MOST_PARTITION_GRAMS)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -133,9 +142,12 @@ def _logs(place: np.ndarray, counts: list[np.ndarray], others: np.ndarray) -> np
     return out
 
 
-def lm_scores(docs: DataFrame, slice_bytes: int = SLICE_BYTES, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
-    """doc_id, n_words, log_score and mean_log_score, its share of one word, of every document."""
+def lm_scores(docs: DataFrame, slice_bytes: int | None = None, partition_grams: int | None = None) -> DataFrame:
+    """doc_id, n_words, log_score and mean_log_score, its share of one word, of every document. ``sizes`` of the corpus hold
+    where none are given."""
     total = _total(docs)
+    own = sizes(total)
+    slice_bytes, partition_grams = slice_bytes or own[0], partition_grams or own[1]
     parts = max(1, -(-2 * total // partition_grams))  # a word ends three n-grams at most; a slice sends what it repeats once
     schema = "slice long, part long, doc_ids array<long>, lengths array<long>, data binary"
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]

@@ -77,3 +77,13 @@ def test_copies_score_above_single_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")
     got = {r.doc_id: r.mean_log_score for r in lm_scores(docs).collect()}
     assert min(got[i] for i in (*range(10), *range(60, 70))) > max(got[i] for i in range(10, 60))
+
+
+def test_rows_grow_with_the_words():
+    from brookloom.llm.lm_score import MOST_PARTITION_GRAMS, MOST_SLICE_BYTES, PARTITION_GRAMS, SLICE_BYTES, sizes
+
+    assert sizes(0) == sizes(150_000_000) == (SLICE_BYTES, PARTITION_GRAMS)
+    rows = lambda words: (6.3 * words / sizes(words)[0]) * (2 * words / sizes(words)[1])
+    assert rows(5_000_000_000) < 1.1 * 25 * rows(200_000_000)
+    words = int(100e12 / 6.3)
+    assert sizes(words) == (MOST_SLICE_BYTES, MOST_PARTITION_GRAMS) and 3 * words / rows(words) > 15
