@@ -139,7 +139,7 @@ def _lengths(pieces: list[str]) -> tuple[list[int], list[int], list[int], list[i
     return before, after, prior, start, end
 
 
-def _node_rows(html: str) -> Iterator[tuple]:
+def node_rows(html: str) -> Iterator[tuple]:
     """A page's nodes as NODE_SCHEMA has them, after page_key, page_id and url."""
     tree = _tree(html)
     pieces = tree.pieces
@@ -192,7 +192,7 @@ def html_nodes(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for key, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(key, page_id, url, *r) for r in _node_rows(html or "")]
+                rows += [(key, page_id, url, *r) for r in node_rows(html or "")]
                 if len(rows) >= BATCH_NODES:
                     yield made()
                     rows = []
@@ -232,6 +232,18 @@ def island_texts(value: object, field: str | None = None) -> Iterator[str]:
             yield from island_texts(x, k)
 
 
+def distinct_islands(html: str) -> list[str]:
+    """The distinct texts of a page's JSON scripts in order; scripts that aren't JSON are skipped."""
+    seen: dict[str, None] = {}
+    for attrs, body in _SCRIPT.findall(html):
+        if re.search(r"application/json|__NEXT_DATA__|__NUXT_DATA__", attrs):
+            try:
+                seen.update(dict.fromkeys(island_texts(json.loads(body))))
+            except ValueError:
+                continue
+    return list(seen)
+
+
 def data_islands(pages: DataFrame) -> DataFrame:
     """page_key, page_id, position and text of each distinct text in a page's JSON scripts; what isn't JSON is skipped,
     and equal rows are one page."""
@@ -240,17 +252,10 @@ def data_islands(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for key, page_id, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen: dict[str, None] = {}
-                for attrs, body in _SCRIPT.findall(html or ""):
-                    if re.search(r"application/json|__NEXT_DATA__|__NUXT_DATA__", attrs):
-                        try:
-                            seen.update(dict.fromkeys(island_texts(json.loads(body))))
-                        except ValueError:
-                            continue
-                rows += [(key, page_id, i + 1, t) for i, t in enumerate(seen)]
+                rows += [(key, page_id, i + 1, t) for i, t in enumerate(distinct_islands(html or ""))]
             cols, kinds = list(zip(*rows, strict=True)) if rows else [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["page_key", "page_id", "position", "text"])
 
-    own = pages if "page_key" in pages.columns else keyed(pages.withColumn("url", F.lit("")))
+    own = pages if "page_key" in pages.columns else keyed(pages if "url" in pages.columns else pages.withColumn("url", F.lit(None)))
     with_scripts = own.where(F.col("html").rlike("(?i)<script")).select("page_key", "page_id", "html")
     return with_scripts.mapInArrow(run, "page_key string, page_id long, position int, text string").dropDuplicates(["page_key", "position"])

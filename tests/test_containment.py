@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from brookloom.operators import containment
 from brookloom.operators.roots import article_roots, held
-from brookloom.sources.html import LONGEST_TEXT, MAX_DEPTH, html_nodes, parse, text_nodes
+from brookloom.sources.html import LONGEST_TEXT, MAX_DEPTH, data_islands, html_nodes, parse, text_nodes
+from brookloom.sources.sql import register
 
 
 def nodes_of(spark, *pages):
@@ -98,3 +99,19 @@ def test_signature_roots(spark):
     layers = {r.page_id: r.layer for r in article_roots(nodes, articles=articles).collect()}
     assert layers[0] in ("density", "signature") and layers[4] == "signature" and layers[2] in ("body", "signature")
     nodes.unpersist()
+
+
+def test_table_functions_are_the_data_frames(spark):
+    island = '<script type="application/json">{"text": "prose of it", "x": {"title": "%s"}}</script>' % ("y" * 60)
+    pages = [(1, "u", f"<body>{island}<p class=a>one <b>two</b></p></body>"), (1, "u", "<p>other page of the id"), (None, None, None), (2, None, "<i>x</i>"), (2, None, "<i>x</i>")]
+    df = spark.createDataFrame([(h, i, u, "more") for i, u, h in pages], "html string, page_id long, url string, extra string")
+    df.createOrReplaceTempView("some_pages")
+    register(spark)
+    rows = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    nodes = html_nodes(df).drop("own_text")
+    got = spark.sql("SELECT * FROM html_nodes(TABLE(some_pages) PARTITION BY page_id)")
+    assert rows(got) == rows(nodes) and got.columns == nodes.columns
+    got = spark.sql("SELECT * FROM data_islands(TABLE(some_pages) PARTITION BY page_id)")
+    assert rows(got) == rows(data_islands(df)) and got.count() == 2
+    joined = spark.sql("SELECT tag, count(*) AS n FROM html_nodes(TABLE(SELECT * FROM some_pages WHERE page_id = 1) PARTITION BY page_id) GROUP BY tag")
+    assert {r.tag: r.n for r in joined.collect()} == {"body": 1, "script": 1, "p": 2, "b": 1}
