@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from brookloom.functions.text import collapse_spaced, is_valid_text, trimmed
 from brookloom.operators.rules import NodeRule, SiteRule, any_rule, attr, by_site, either, selects, with_selectors
+from brookloom.operators.styles import with_style_hidden
 
 PAGE = "page_key"
 #: Tags by role.
@@ -97,18 +98,23 @@ def soft_hint() -> Column:
     return rule("article|post", 2) + rule("content|body", 2) + rule("main", 1) + rule("sidebar|nav", -3) + rule("footer|comment", -2)
 
 
-def _hidden() -> Column:
-    return F.map_contains_key("attrs", "hidden") | (attr("aria-hidden") == "true") | F.lower(attr("style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden")
+def _hidden(styles: bool) -> Column:
+    by_style = F.col("style_hidden") if styles else F.lower(attr("style")).rlike(r"display\s*:\s*none|visibility\s*:\s*hidden")
+    return F.map_contains_key("attrs", "hidden") | (attr("aria-hidden") == "true") | by_style
 
 
 def decided(
-    nodes: DataFrame, skip_patterns: tuple[str, ...] = (), noise: list[str] | None = None, rules: tuple[SiteRule, ...] = (), translated_class: str = TRANSLATED_CLASS
+    nodes: DataFrame, skip_patterns: tuple[str, ...] = (), noise: list[str] | None = None, rules: tuple[SiteRule, ...] = (), translated_class: str = TRANSLATED_CLASS,
+    styles: bool = False,
 ) -> DataFrame:
     """Nodes with their flags and ``decision``: reject (with all below), skip or accept; the first rule that holds.
 
     ``noise``: class tokens of page furniture, in place of NOISE_CLASSES. ``rules``: of sites, in order of precedence.
+    ``styles``: nodes that the page's own style sheets hide are hidden too, and those that an inline style shows again are not.
     ``low_priority`` is a note that decides nothing.
     """
+    if styles:
+        nodes = with_style_hidden(nodes)
     own = W.partitionBy(PAGE).orderBy("pos")
     upto, before, after = own.rowsBetween(W.unboundedPreceding, 0), own.rowsBetween(W.unboundedPreceding, -1), own.rowsBetween(1, W.unboundedFollowing)
     within = lambda mark, frame: F.coalesce(F.max(F.when(mark, F.col("sub_end"))).over(frame) >= F.col("pos"), F.lit(False))
@@ -141,7 +147,7 @@ def decided(
         F.when(~F.col("in_main") & any_rule(OVERLAY_RULES), "reject")
         .when(tag.isin("svg", "math"), "reject")
         .when((tag.isin(NEVER_TAGS) & ~nested_body) | opted_out | editable, "reject")
-        .when(_hidden(), "reject")
+        .when(_hidden(styles), "reject")
         .when(_has_class(noise or NOISE_CLASSES) & (F.col("whole") <= NOISE_VALVE), "reject")
         .when(site(lambda r: either([selects(x) for x in r.skip_selectors])), "reject")
         .when(notice, "reject")
