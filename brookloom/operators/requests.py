@@ -155,6 +155,28 @@ def settings(stored: Column, defaults: dict[str, str]) -> Column:
     return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(own, k)), own)
 
 
+def written_settings(stored: DataFrame, changes: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """owner and settings after ``changes`` (owner, settings, ts) are written to ``stored`` (owner, settings), maps both: what is
+    changed, the last by time and of equal times the greatest, over what is stored, over the defaults. A write stores the
+    defaults with it; null values change nothing, null owners are one, and owners without a change stay as they are."""
+    last = changes.select("owner", "ts", F.explode("settings").alias("name", "value")).where("value is not null")
+    last = last.groupBy("owner", "name").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
+    new = last.groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("new"))
+    held = stored.groupBy("owner").agg(F.max_by("settings", F.size("settings")).alias("held"))
+    both = held.join(new.withColumnRenamed("owner", "by"), F.col("owner").eqNullSafe(F.col("by")), "full")
+    over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+    written = over(settings(F.col("held"), defaults), F.coalesce("new", F.create_map().cast("map<string,string>")))
+    return both.select(F.coalesce("owner", "by").alias("owner"), F.when(F.col("new").isNull(), F.col("held")).otherwise(written).alias("settings"))
+
+
+def reset_settings(stored: DataFrame, owners: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """``stored`` (owner, settings) with the defaults alone for each of ``owners``."""
+    base = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv])
+    again = owners.select(F.col("owner").alias("again")).distinct().withColumn("reset", F.lit(True))
+    df = stored.join(again, F.col("owner").eqNullSafe(F.col("again")), "left")
+    return df.select("owner", F.when(F.col("reset"), base).otherwise(F.col("settings")).alias("settings"))
+
+
 def has_setting(held: Column, name: str) -> Column:
     return F.coalesce(F.trim(held[name]) != "", F.lit(False))
 

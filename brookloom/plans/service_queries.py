@@ -180,3 +180,20 @@ def watch_pages(spark, sf_dir):
     k = F.col("page_id") % 3
     url = F.concat(F.lit("https://www.youtube.com/watch"), F.when(k == 0, F.concat(F.lit("?v=k"), "page_id")).when(k == 1, "").otherwise("er?v=k"))
     return p.select("page_id", url.alias("url"), tracks.is_watch_page(url).alias("watch"), T.pixels(F.when(F.col("page_id") % 2 == 0, "12.5px").otherwise("auto")).alias("px"))
+
+
+@query(
+    """WITH last AS (SELECT user_id, event_type AS name, arg_max(event_id::VARCHAR, (ts, event_id::VARCHAR)) AS value FROM events GROUP BY ALL),
+owners AS (SELECT DISTINCT user_id FROM events), defaults(name, value) AS (VALUES ('view', 'none'), ('style', 'plain'))
+SELECT user_id::VARCHAR AS owner, name, value FROM last WHERE user_id % 5 <> 0
+UNION ALL SELECT user_id::VARCHAR, name, value FROM owners, defaults d WHERE user_id % 5 = 0 OR NOT EXISTS (SELECT 1 FROM last l WHERE l.user_id = owners.user_id AND l.name = d.name)"""
+)
+def settings_written(spark, sf_dir):
+    """The settings that each user's events write, kind by kind, over the defaults; those of each fifth user are reset."""
+    defaults = {"view": "none", "style": "plain"}
+    e = table(spark, sf_dir, "events")
+    changes = e.select(F.col("user_id").cast("string").alias("owner"), F.create_map("event_type", F.col("event_id").cast("string")).alias("settings"), "ts")
+    stored = changes.where("false").select("owner", "settings")
+    written = requests.written_settings(stored, changes, defaults)
+    again = e.where("user_id % 5 = 0").select(F.col("user_id").cast("string").alias("owner"))
+    return requests.reset_settings(written, again, defaults).select("owner", F.explode("settings").alias("name", "value"))

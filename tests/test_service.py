@@ -166,3 +166,18 @@ def test_glossary_streams(spark):
     ranks = sorted(r.rank for r in got if r.doc_id is None)
     assert ranks == list(range(1, len(ranks) + 1))  # equal rows are one document
     assert terms.glossary(docs.limit(0)).count() == 0
+
+
+def test_settings_are_written_and_reset(spark):
+    kind = "owner string, settings map<string,string>"
+    stored = spark.createDataFrame([("a", {"x": "1", "y": "1"}), ("b", {"x": "7"}), (None, {})], kind)
+    changes = spark.createDataFrame([("a", {"x": "2"}, 1), ("a", {"x": "3", "z": None}, 2), (None, {"y": "5"}, 1), ("c", {"z": "9"}, None)], kind + ", ts int")
+    got = {r.owner: r.settings for r in requests.written_settings(stored, changes, {"x": "0", "w": "0"}).collect()}
+    assert got == {"a": {"x": "3", "y": "1", "w": "0"}, "b": {"x": "7"}, None: {"x": "0", "w": "0", "y": "5"}, "c": {"x": "0", "w": "0", "z": "9"}}
+    again = {r.owner: r.settings for r in requests.reset_settings(stored, spark.createDataFrame([("a",), (None,)], "owner string"), {"x": "0"}).collect()}
+    assert again == {"a": {"x": "0"}, "b": {"x": "7"}, None: {"x": "0"}}
+
+
+def test_the_first_chunks_go_alone(spark):
+    got = spark.range(1, 5).select(requests.warm_up(F.col("id")).alias("two"), requests.warm_up(F.col("id"), 0).alias("none")).collect()
+    assert [r.two for r in got] == [True, True, False, False] and not any(r.none for r in got)
