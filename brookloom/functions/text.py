@@ -180,26 +180,14 @@ def without_fence(c: Column) -> Column:
 
 
 def repaired_json(c: Column) -> Column:
-    """A cut-off JSON text with its string, lists and objects closed: folded over its characters."""
-    start = F.struct(F.lit(0).alias("braces"), F.lit(0).alias("brackets"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"))
-
-    def step(s: Column, x: Column) -> Column:
-        plain = ~s["escaped"] & ~s["inside"]
-        one = lambda ch, d: F.when(plain & (x == ch), d).otherwise(0)
-        return F.struct(
-            (s["braces"] + one("{", 1) + one("}", -1)).alias("braces"),
-            (s["brackets"] + one("[", 1) + one("]", -1)).alias("brackets"),
-            F.when(~s["escaped"] & (x == '"'), ~s["inside"]).otherwise(s["inside"]).alias("inside"),
-            (~s["escaped"] & (x == "\\")).alias("escaped"),
-        )
-
+    """A cut-off JSON text with its string, lists and objects closed. Escaped characters and whole strings are taken out; a
+    quote that is left opens a string that doesn't end, and brackets before it are counted."""
     text = trimmed(c)
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-
-    def close(s: Column) -> Column:
-        return F.concat(F.when(s["inside"], '"').otherwise(""), F.repeat(F.lit("]"), F.greatest(s["brackets"], F.lit(0))), F.repeat(F.lit("}"), F.greatest(s["braces"], F.lit(0))))
-
-    return F.concat(text, F.aggregate(chars, start, step, close))
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), '"[^"]*"', "")
+    outside = F.substring_index(rest, '"', 1)
+    n = lambda x: F.length(outside) - F.length(F.replace(outside, F.lit(x), F.lit("")))
+    missing = lambda opens, closes: F.repeat(F.lit(closes), F.greatest(n(opens) - n(closes), F.lit(0)))
+    return F.concat(text, F.when(rest.contains('"'), '"').otherwise(""), missing("[", "]"), missing("{", "}"))
 
 
 #: Languages whose captions are measured in characters; fixed values.

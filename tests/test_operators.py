@@ -262,3 +262,23 @@ def test_payload_events(spark):
     assert (got[0].duration_ms, got[0].append, got[0].win_id, got[0].pos_id) == (7, 1, None, None)
     assert [tuple(s) for s in got[0].segs] == [("a", None), ("", 9), ("", None)] and got[1].segs is None and got[2].segs is None
     assert captions.captions(captions.payload_events(spark.createDataFrame([(*r, "en") for r in rows], "video_id string, payload string, lang string"))).count() == 1
+
+
+def test_json_is_repaired_as_a_fold_over_characters_would(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choices(['{', '}', '[', ']', '"', "\\", "a", ",", "é", "\n", '\\"'], k=r.randrange(25))) for _ in range(400)] + ["", None]
+
+    def fold(t):
+        t = t.strip(" \t\n\r\x0b\x0c")
+        braces = brackets = 0
+        inside = escaped = False
+        for x in t:
+            if not escaped and not inside:
+                braces += (x == "{") - (x == "}")
+                brackets += (x == "[") - (x == "]")
+            inside ^= not escaped and x == '"'
+            escaped = not escaped and x == "\\"
+        return t + '"' * inside + "]" * brackets + "}" * braces
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.repaired_json(F.col("t")).alias("x")).collect()
+    assert {r.i: r.x for r in got} == {i: None if t is None else fold(t) for i, t in enumerate(texts)}
