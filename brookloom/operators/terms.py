@@ -205,9 +205,11 @@ def plural_merged(terms: DataFrame) -> DataFrame:
     return merged.join(gone, ["doc_id", "key"], "left_anti")
 
 
-def is_noise(term: Column) -> Column:
-    """Single small plural-like words of up to ten letters, and stop words."""
-    return (term.rlike("^[a-z]+s$") & (F.length(term) <= 10)) | F.lower(term).isin(*STOP_WORDS)
+def is_noise(term: Column, noise: Sequence[str] = (), products: Sequence[str] = ()) -> Column:
+    """Single small plural-like words of up to ten letters that are no product, stop words, and those of a list."""
+    small = F.lower(term)
+    plural = term.rlike("^[a-z]+s$") & (F.length(term) <= 10)
+    return (plural & ~small.isin(*(x.lower() for x in products)) if products else plural) | small.isin(*STOP_WORDS, *(x.lower() for x in noise))
 
 
 def term_score(term: Column, n: Column) -> Column:
@@ -240,14 +242,15 @@ def _in_one_part(names: Sequence[str] | DataFrame) -> Sequence[str]:
 def glossary(
     docs: DataFrame, emphasised: DataFrame | None = None, most: int = MOST_TERMS, prefix: int | None = None, names: Sequence[str] | DataFrame = PRODUCT_NAMES,
     publication_names: Sequence[str] | DataFrame = PUBLICATIONS, anchors: tuple[str, ...] = ANCHORS,
-    tagged: bool = False,
+    tagged: bool = False, noise: Sequence[str] = (), breakers: tuple[str, ...] = BREAKERS,
 ) -> DataFrame:
     """doc_id, rank, term and score of each document's best terms.
 
     ``emphasised``: rows of (doc_id, term) to add. ``prefix``: callers that show a page pass 4000; by default whole
     texts count. Streams keep their order: acronyms, products, listed names, names, sentence starts, publications, phrases,
     emphasised. ``names`` and ``publication_names`` may be tables (name). ``tagged``: phrases
-    are noun phrases of English, and people count as listed names. All but the last come from one pass over each text; emphasised terms without a capital, whose score
+    are noun phrases of English, and people count as listed names. ``noise``: terms that are none, in any case; ``breakers``:
+    verbs that end a phrase. All but the last come from one pass over each text; emphasised terms without a capital, whose score
     counts them, are the only ones that meet a text in a join.
     """
     docs = docs.select("doc_id", "text").where("text is not null and length(text) >= 50")
@@ -256,6 +259,8 @@ def glossary(
     # Rows that differ are documents of their own, whatever their ids.
     docs = docs.select(F.struct(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").alias("id")).alias("doc_id"), "text")
     text, plain, words = F.col("text"), F.col("plain"), F.col("words")
+    listed = _in_one_part(names)
+    like_plurals = [x for x in listed if len(x) <= 10 and re.fullmatch("[a-z]+s", x.lower())]
     owners = F.array_union(owners_only(words), misread_starts(words, anchors))
     streams = [
         acronyms_of(plain), products_of(text), F.col("listed"), F.array_except(F.array_distinct(capitalised_of(plain)), owners),
@@ -264,7 +269,7 @@ def glossary(
     cut = lambda terms, k: F.transform(terms, lambda t: F.struct(F.lit(k).alias("stream"), clean_term(t).alias("term"), F.lit(0).alias("n")))
     phrases = F.transform("phrases", lambda p: F.struct(F.lit(len(streams)).alias("stream"), p["term"].alias("term"), p["hits"].alias("n")))
     every = F.concat(*[cut(x, k) for k, x in enumerate(streams)], phrases)
-    terms = counted(docs, anchors, names=_in_one_part(names), publication_names=_in_one_part(publication_names), tagged=tagged).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
+    terms = counted(docs, anchors, breakers, names=listed, publication_names=_in_one_part(publication_names), tagged=tagged).select("doc_id", F.explode(every).alias("t")).select("doc_id", "t.*")
     if emphasised is not None:
         ids = docs.select("doc_id", F.col("doc_id.id").alias("own_id"))
         added = emphasised.where("length(term) between 2 and 79").select(F.col("doc_id").alias("own_id"), clean_term(F.col("term")).alias("term")).join(ids, "own_id").select("doc_id", "term")
@@ -274,7 +279,7 @@ def glossary(
     terms = terms.where("term != ''").groupBy("doc_id", "term").agg(F.min("stream").alias("stream"), F.max("n").alias("n"))
     hits = terms.select("doc_id", "term", "n")
     order = W.partitionBy("doc_id").orderBy("stream", "term")
-    merged = plural_merged(one_form(terms.select("doc_id", "term", F.row_number().over(order).alias("pos")))).where(~is_noise(F.col("term")))
+    merged = plural_merged(one_form(terms.select("doc_id", "term", F.row_number().over(order).alias("pos")))).where(~is_noise(F.col("term"), noise, like_plurals))
     scored = merged.join(hits, ["doc_id", "term"]).select("doc_id", "term", "pos", term_score(F.col("term"), F.col("n")).cast("double").alias("score"))
     best = W.partitionBy("doc_id").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).select(F.col("doc_id.id").alias("doc_id"), "rank", "term", "score")

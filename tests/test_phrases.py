@@ -77,3 +77,10 @@ def test_glossary_with_tagged_phrases(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {r.term for r in terms.glossary(docs, tagged=True).collect()}
     assert {"shard index", "careful planner", "Jones"} <= got and "planner reads" not in got
+
+
+def test_noise_and_breakers_are_arguments(spark):
+    text = "The redis cluster and the kudus cluster. A redis cluster ships a token. The kudus cluster ships a token, and Fancy Thing ships it too: the Fancy one."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {r.term for r in terms.glossary(docs, noise=("fancy",), breakers=("ships",), names=("redis",)).collect()}
+    assert "redis" in got and "Fancy" not in got and not any("ships" in t for t in got)
