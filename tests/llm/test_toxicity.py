@@ -68,11 +68,11 @@ def test_one_kind_of_label_and_empty_tables(spark):
 
 
 def test_rare_telling_words_are_learned(spark):
-    """A slur of one toxic document in fifty, beside a common one, is in the dictionary; a copy with another label isn't dropped."""
+    """A slur of one document in fifty, beside a common one, is in the dictionary; a copy with another label isn't dropped."""
     r = random.Random(9)
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
     rows = [(i, words(80) + " commonslur " * (i % 2), i % 2) for i in range(1500)]
-    rows = [(i, t + " rareinsult " * (i % 100 == 1), y) for i, t, y in rows]
+    rows = [(i, t + " rareinsult " * (i % 50 == 1), y) for i, t, y in rows]
     rows += [(5000 + i, rows[i][1], 1 - rows[i][2]) for i in range(0, 40, 3)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
