@@ -38,7 +38,7 @@ MIN_DOCS = 30
 TOP = 50
 #: Added to every count, and what probabilities are multiplied by.
 PRIOR, SCALE = 5, 1_000_000_000
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 100_000
 #: Sources of a tile, parts of a salted join, and counts that a task gathers before it sends them on.
 TILE, SALTS, HELD = 128, 32, 300_000
 #: Longest stretch of a text that is split at once.
