@@ -264,14 +264,14 @@ def is_pdf_viewer() -> Column:
     return ((attr("id") == "viewer") & F.array_contains(F.split(attr("class"), r"\s+"), "pdfViewer")) | (attr("id") == "viewerContainer")
 
 
-def prepared(pages: DataFrame, rules: tuple[SiteRule, ...] = (), **how) -> DataFrame:
+def prepared(pages: DataFrame, rules: tuple[SiteRule, ...] = (), bare: bool = True, **how) -> DataFrame:
     """One row for each page: page_key, page_id, url, status, blocks (id, tag, text, xpath), full_text and n_blocks.
 
     ``status`` says where the blocks come from: "article" below the root, "body" where the root has none, "data-island"
-    from JSON scripts where neither has; else "pdf-viewer" or "empty", without blocks.
+    from JSON scripts where neither has; else "pdf-viewer" or "empty", without blocks. ``bare``: as ``html_nodes`` has it.
     """
     pages = keyed(pages)
-    nodes = held(html_nodes(pages))
+    nodes = held(html_nodes(pages, bare))
     marked = marked_blocks(nodes, article_roots(nodes, rules), rules=rules, **how).withColumn("any_root", F.max("in_root").over(W.partitionBy(PAGE)))
     found = numbered_blocks(marked, F.when(F.col("any_root"), F.col("in_root")).otherwise(F.col("in_body")), "any_root")
     viewer = nodes.groupBy(PAGE).agg(F.max(is_pdf_viewer()).alias("viewer"))
