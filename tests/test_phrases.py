@@ -84,3 +84,18 @@ def test_noise_and_breakers_are_arguments(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {r.term for r in terms.glossary(docs, noise=("fancy",), breakers=("ships",), names=("redis",)).collect()}
     assert "redis" in got and "Fancy" not in got and not any("ships" in t for t in got)
+
+
+def test_slices_of_a_batch(monkeypatch):
+    """What is held as words at a time is bounded by characters, not by a batch's rows, and the phrases are the same."""
+    import pyarrow as pa
+
+    from brookloom.operators import phrases
+
+    texts = [f"The token cache of host {i} holds a large token cache. " * 20 for i in range(50)] + [""]
+    want, held = phrases.phrases_of(texts), []
+    monkeypatch.setattr(phrases, "SLICE_CHARS", 3000)
+    monkeypatch.setattr(phrases, "tagged", lambda s: held.append(sum(len(" ".join(x)) for x in s)) or tagged(s))
+    assert phrases.phrases_of(texts) == want and max(held) <= 3000 and len(held) > 10
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "text": ["a" * 10, None, "é" * 10, "b" * 90, "", "c"]})
+    assert [b.column("doc_id").to_pylist() for b in phrases.sliced(batch, 30)] == [[0, 1, 2], [3], [4, 5]]
