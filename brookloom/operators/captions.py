@@ -249,15 +249,18 @@ def captions_at(playback: DataFrame, fragments: DataFrame, bucket_ms: int = 10_0
 
 def look_ahead(playback: DataFrame, fragments: DataFrame, back_ms: int = 5_000, ahead_ms: int = 90_000, batch: int = 50, bucket_ms: int = 10_000) -> DataFrame:
     """video_id, at_ms, idx and batch number of the fragments that end from 5 s before and start up to 90 s after each playback
-    time. Both sides stand in every bucket of time that they touch; a pair counts in the first bucket that they share."""
+    time. Both sides stand in every bucket of time that they touch; a pair counts in the first bucket that they share. A bucket's
+    fragments are one row, and so are those of a playback time, so that pairs are no rows until the last step."""
     bucket = lambda x: F.floor(x / bucket_ms)
     asked = playback.select("video_id", "at_ms", bucket(F.col("at_ms") - back_ms).alias("first"), bucket(F.col("at_ms") + ahead_ms).alias("last"))
     asked = asked.withColumn("bucket", F.explode(F.sequence("first", "last"))).drop("last")
     end = F.greatest("start_ms", "end_ms")
     held = fragments.where("start_ms is not null").select("video_id", "idx", "start_ms", "end_ms", bucket(F.col("start_ms")).alias("own"), F.explode(F.sequence(bucket(F.col("start_ms")), bucket(end))).alias("bucket"))
-    rows = asked.join(held, ["video_id", "bucket"]).where(f"bucket = greatest(first, own) and end_ms >= at_ms - {back_ms} and start_ms <= at_ms + {ahead_ms}")
-    own = W.partitionBy("video_id", "at_ms").orderBy("idx")
-    return rows.select("video_id", "at_ms", "idx", F.floor((F.row_number().over(own) - 1) / batch).alias("batch"))
+    packed = held.groupBy("video_id", "bucket").agg(F.collect_list(F.struct("idx", "start_ms", "end_ms", "own")).alias("held"))
+    meets = lambda f: (F.col("bucket") == F.greatest("first", f["own"])) & (f["end_ms"] >= F.col("at_ms") - back_ms) & (f["start_ms"] <= F.col("at_ms") + ahead_ms)
+    rows = asked.join(packed, ["video_id", "bucket"]).select("video_id", "at_ms", F.transform(F.filter("held", meets), lambda f: f["idx"]).alias("idxs")).where("size(idxs) > 0")
+    whole = rows.groupBy("video_id", "at_ms").agg(F.array_sort(F.flatten(F.collect_list("idxs"))).alias("idxs"))
+    return whole.select("video_id", "at_ms", F.posexplode("idxs").alias("place", "idx")).select("video_id", "at_ms", "idx", F.floor(F.col("place") / batch).alias("batch"))
 
 
 def _met(playback: DataFrame, fragments: DataFrame, delay: str, back_ms: int, ahead_ms: int, longest_ms: int) -> DataFrame:

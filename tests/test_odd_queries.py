@@ -70,3 +70,13 @@ def test_word_forms(spark, tmp_path):
         assert same(spark, tmp_path, name)
         plan = queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+def test_look_ahead_holds_no_rows_of_pairs(spark, tmp_path):
+    """Pairs of playback times and fragments are rows after the last shuffle only."""
+    rows = [(c, t, None if t == 2 else f"word{t} " * (c * t % 9)) for c in range(4) for t in range(12)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert len(same(spark, tmp_path, "look_ahead")) > 1000
+    plan = queries()["look_ahead"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    after = plan[: plan.index("Join")]
+    assert "posexplode" in after and "row_number" not in after
