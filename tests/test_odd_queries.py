@@ -80,3 +80,11 @@ def test_look_ahead_holds_no_rows_of_pairs(spark, tmp_path):
     plan = queries()["look_ahead"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     after = plan[: plan.index("Join")]
     assert "posexplode" in after and "row_number" not in after
+
+
+def test_lines_of_odd_spaces():
+    """White space of any kind between and inside of spans is one blank, and a line begins at its leftmost span."""
+    from brookloom.operators.layout import group_lines
+
+    spans = [(0, 30.0, 0.0, 40.0, 9.0, "c\x85　d "), (0, 10.0, 2.0, 25.0, 8.0, "\ta"), (0, 20.0, 2.0, 28.0, 12.0, "b"), (1, 0.0, 1.0, 5.0, 5.0, "x"), (1, 0.0, 9.0, 5.0, 12.0, "next one")]
+    assert group_lines(spans) == [("a b c d", 10.0, 0.0, 40.0, 12.0, 3), ("next one", 0.0, 9.0, 5.0, 12.0, 1)]
