@@ -1,17 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on what toxic documents say more often than ordinary ones, one on what
-ordinary documents say more often than toxic ones. Both end in one dictionary of ordinary text, which thus stands at
+Two zstandard dictionaries are made, one of what toxic documents say more often than ordinary ones, one of what
+ordinary documents say more often than toxic ones. Both end in one trained dictionary of ordinary text, which thus stands at
 the same distance in either, so that compression with the two differs by what tells the classes apart. A text is cut into
 windows of a few words; a window's gain is the number of bytes it compresses shorter with the toxic dictionary.
 Thresholds on gains are calibrated on labelled documents that neither dictionary has seen; a logistic function of the
 gains is the score.
 
-What a class says more often is the runs, inside words, of six-byte n-grams that are in ``ratio`` times as many documents of
-its sample as of the other's: dictionaries trained on whole texts of each class hold the same common words, and found 4
-of 97 toxic documents where these find 68. Evidence alone decides, however rare an n-gram is: its counts' log-likelihood
-ratio must be beyond what chance would give to one of all n-grams. The settings were chosen on two folds of the labels
-that training may see.
+What is compressed is not the text but, for each of its bytes, two bytes of a hash of its word up to there. So a match begins
+where a word begins, and is twice as long: where every syllable of a toxic word is common in ordinary words, and just their
+order at a word's start tells, the plain bytes are matched by either dictionary. With plain bytes 2 of 15 German and 0 of 6
+Spanish toxic documents of sf0.1 that are held out were found.
+
+What a class says more often is the runs, inside words, of six-byte n-grams that at their place of the word are in ``ratio``
+times as many documents of its sample as of the other's: dictionaries trained on whole texts of each class hold the same
+common words. Evidence alone decides, however rare an n-gram is: the log-likelihood ratio of its two counts must be beyond
+what chance would give to one of all n-grams. The settings were chosen on two folds of the labels that training may see.
 
 Defined results: null counts as an empty text; a text without words has no window and gets the score of zero gains;
 a label is 1 where any row of ``labels`` for the id says so; repeated ids stay separate rows; with labels of one kind
@@ -20,7 +24,8 @@ only, or none, every score is that kind's (0.0 without labels); columns other th
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from brookloom.llm.common import as_bytes, crc_mod, map_batches, mix, windows, word_hashes
 
 GRAM = 6
+#: Bytes of a word that its codes tell apart.
+REACH = 12
 #: Lower-case letters, digits and bytes beyond ASCII stay; the rest are spaces.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Gains from here on are counted: hits[k] is the number of windows with a gain of at least LEVELS[k].
@@ -41,8 +48,25 @@ def folded(b: bytes) -> bytes:
     return b" " + b" ".join(b.translate(FOLD).split()) + b" "
 
 
+def word_codes(text: bytes) -> np.ndarray:
+    """For each byte of a folded text a hash of its word up to there, or of the last REACH bytes of that."""
+    a = np.frombuffer(text, np.uint8)
+    place, gap = np.arange(len(a)), a == 32
+    place -= np.maximum.accumulate(np.where(gap, place, -1)) + 1
+    h, factor = a.astype(np.uint32), 1
+    for k in range(1, REACH):
+        factor = factor * 0x9E3779B1 & 0xFFFFFFFF
+        h[k:] += np.where(place[k:] >= k, a[:-k].astype(np.uint32) * np.uint32(factor), np.uint32(0))
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE35)
+    h = (h >> np.uint32(16)).astype("<u2")
+    h[gap] = 0x2020
+    return h
+
+
 def gram_codes(text: bytes) -> np.ndarray:
-    """Codes of the n-grams of a folded text; 0 where a space stands inside."""
+    """Codes of the n-grams of a folded text, each with its word's up to there; 0 where a space stands inside."""
     a = np.frombuffer(text, np.uint8)
     n = len(a) - GRAM + 1
     if n <= 0:
@@ -52,6 +76,8 @@ def gram_codes(text: bytes) -> np.ndarray:
         out |= a[j : n + j].astype(np.int64) << (8 * j)
         if 0 < j < GRAM - 1:
             inside |= a[j : n + j] == 32
+    word = word_codes(text)
+    out |= np.where(a[GRAM - 1 :] == 32, word[GRAM - 2 : -1], word[GRAM - 1 :]).astype(np.int64) << 48
     out[inside] = 0
     return out
 
@@ -69,18 +95,28 @@ def text_windows(text: bytes, size: int) -> list[bytes]:
 
 @dataclass(frozen=True)
 class ToxicModel:
+    """``toxic`` and ``ordinary``: what tells, as folded text; ``common``: what ends both dictionaries, as word codes."""
+
     toxic: bytes
     ordinary: bytes
     window: int
     weights: tuple[float, ...]
+    common: bytes = b""
 
     def gains(self, text: bytes, pair) -> np.ndarray:
-        a, b = pair
-        w = text_windows(text, self.window)
-        return np.array([len(b.compress(x)) - len(a.compress(x)) for x in w], np.int64)
+        (a, b), lo, out = pair, 0, []
+        codes = word_codes(text).tobytes()
+        for w in text_windows(text, self.window):
+            x = codes[2 * lo : 2 * (lo + len(w))]
+            out.append(len(b.compress(x)) - len(a.compress(x)))
+            lo += len(w) - 1
+        return np.array(out, np.int64)
 
     def compressors(self):
-        return _compressor(self.toxic), _compressor(self.ordinary)
+        """Of the toxic and the ordinary dictionary; None where nothing was learned."""
+        if not (self.toxic or self.ordinary or self.common):
+            return None
+        return tuple(_compressor(word_codes(x).tobytes() + self.common) for x in (self.toxic, self.ordinary))
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -100,6 +136,17 @@ def _trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+def _packed(samples: list[bytes], size: int) -> bytes:
+    """The runs of the most documents, one a line in each sample, as folded text; the most frequent is the nearest."""
+    n, out, room = Counter(run for x in samples for run in x.split(b"\n")), [], size - 1
+    for run in sorted(n, key=lambda x: (-n[x], x)):
+        room -= len(run) + 1
+        if room < 0:
+            break
+        out.append(run)
+    return b" " + b" ".join(reversed(out)) + b" " if out else b""
+
+
 def _features(gains: np.ndarray) -> list[float]:
     n = max(1, len(gains))
     hits = [float((gains >= t).sum()) for t in LEVELS]
@@ -189,14 +236,17 @@ def fit(
         n = [np.r_[out[0][1], np.zeros(len(out[1][0]), np.int64)], np.r_[np.zeros(len(out[0][0]), np.int64), out[1][1]]]
         return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n[0].astype(np.int64)), pa.array(n[1].astype(np.int64))], ["code", "ordinary", "toxic"])
 
-    # Chance alone takes one of m n-grams beyond 2 ln m; a document has some 500 that no other has.
-    evidence = 2 * float(np.log(500 * (n_toxic + n_ordinary)))
+    # Chance alone takes one of m n-grams beyond this, the square of a normal quantile; a document has some 500 that no other has.
+    of_all = float(np.log(500 * (n_toxic + n_ordinary)))
+    evidence = 2 * of_all - float(np.log(4 * np.pi * of_all))
     learning = texts.where("dictionary = 1").select("text", "toxic")
     grams = map_batches(learning, counted, "code long, ordinary long, toxic long").where("code != 0").groupBy("code").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
     def telling(own: str, n_own: int, other: str, n_other: int) -> np.ndarray:
-        n, expected = F.col(own), F.col("expected")
-        found = grams.withColumn("expected", n_own * (F.col(other) + 1) / max(1, n_other)).where(n >= ratio * expected)
-        return np.sort(found.where(2 * (n * F.log(n / expected) - n + expected) >= evidence).select("code").toPandas()["code"].to_numpy(np.int64))
+        n, m = F.col(own), F.col(other)
+        found = grams.where(n >= ratio * n_own * (m + 1) / max(1, n_other))
+        share = (n + m) / (n_own + n_other)
+        likely = n * F.log(n / (share * n_own)) + F.when(m > 0, m * F.log(m / (share * n_other))).otherwise(0.0)
+        return np.sort(found.where(2 * likely >= evidence).select("code").toPandas()["code"].to_numpy(np.int64))
 
     grams = grams.persist()
     try:
@@ -210,9 +260,10 @@ def fit(
             t = folded(b)
             ok = np.isin(gram_codes(t), of_class[toxic])
             edge = np.flatnonzero(np.diff(np.r_[0, ok.astype(np.int8), 0]))
-            own = dict.fromkeys(t[i : j + GRAM - 1] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-            runs.append(b"\n" + b"\n".join(own) + b"\n" if own else b"")
-            common.append(b"" if toxic else t)
+            # From the word's start on, as its codes tell where a run stands.
+            own = dict.fromkeys(t[t.rfind(b" ", 0, i + 1) + 1 : j + GRAM - 1].strip() for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+            runs.append(b"\n".join(own))
+            common.append(b"" if toxic else word_codes(t).tobytes())
         cols = [batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(runs, pa.binary()), pa.array(common, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "toxic", "runs", "common"])
 
@@ -220,15 +271,15 @@ def fit(
     chosen = texts.where((F.col("dictionary") == 1) & ((F.col("toxic") == 1) | some)).select("doc_id", "text", "toxic")
     got = map_batches(chosen, pieces, "doc_id long, toxic int, runs binary, common binary").toPandas().sort_values(["doc_id", "runs"], kind="stable")
     held = lambda column, toxic: [bytes(x) for x in got.loc[got["toxic"] == toxic, column] if len(x)]
-    parts = [(held("runs", 1), size // 2, 24, 6), (held("runs", 0), size // 2, 24, 6), (held("common", 0), size // 2, 64, 8)]
-    toxic, ordinary, common = (_trained(samples, n, k, d) if samples else b"" for samples, n, k, d in parts)
-    model = ToxicModel(toxic + common, ordinary + common, window, (0.0,) * (N_FEATURES + 1))
+    common = held("common", 0)
+    common = _trained(common, size // 2, 64, 8) if common else b""
+    model = ToxicModel(_packed(held("runs", 1), size // 4), _packed(held("runs", 0), size // 4), window, (0.0,) * (N_FEATURES + 1), common)
     rows = _measured(texts.where("dictionary = 0").select("doc_id", "text", "toxic"), model).orderBy("doc_id").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
     label = rows["toxic"].to_numpy(float)
     if not len(rows) or label.min() == label.max():
         return ToxicModel(b"", b"", window, (0.0,) * N_FEATURES + (-30.0,))
-    return ToxicModel(model.toxic, model.ordinary, window, tuple(_logistic(x, label)))
+    return replace(model, weights=tuple(_logistic(x, label)))
 
 
 def _measured(texts: DataFrame, model: ToxicModel) -> DataFrame:
@@ -238,7 +289,7 @@ def _measured(texts: DataFrame, model: ToxicModel) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
             held["pair"] = model.compressors()
-        rows = [_features(model.gains(folded(b), held["pair"])) for b in as_bytes(batch.column("text"))]
+        rows = [_features(model.gains(folded(b), held["pair"]) if held["pair"] else np.empty(0, np.int64)) for b in as_bytes(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     return map_batches(texts, work, "doc_id long, toxic int, x array<double>")
@@ -250,7 +301,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not held:
-            held["pair"] = model.compressors() if model.toxic else None
+            held["pair"] = model.compressors()
         p, n, most = [], [], []
         for b in as_bytes(batch.column("text")):
             g = model.gains(folded(b), held["pair"]) if held["pair"] else np.empty(0, np.int64)

@@ -80,6 +80,27 @@ def test_rare_telling_words_are_learned(spark):
     assert b"rareinsult" in model.toxic and b"commonslur" in model.toxic and b"rareinsult" not in model.ordinary
 
 
+def test_what_tells_at_a_words_start_is_found(spark):
+    """Toxic words begin with two syllables that ordinary words hold in that order too, but further on."""
+    r = random.Random(11)
+    parts = "ach lich keit ung ver ein der schie heit be ge tz pf über öff isch".split()
+    word = lambda: "".join(r.choice(parts) for _ in range(r.randrange(2, 5)))
+    rows = []
+    for i in range(700):
+        words = [w for w in (word() for _ in range(r.randrange(60, 240))) if not w.startswith("achlich")]
+        if i % 5 == 1:
+            for _ in range(max(3, len(words) // 45)):
+                words.insert(r.randrange(len(words)), "achlich" + r.choice(parts))
+        rows.append((i, " ".join(words), int(i % 5 == 1)))
+    assert sum("achlich" in t for _, t, y in rows if not y) > 150
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity(docs, labels).collect()}
+    found = [got[i] for i, _, y in rows if y and held(i)]
+    wrong = [got[i] for i, _, y in rows if not y and held(i)]
+    assert sum(found) >= 0.9 * len(found) and sum(wrong) <= 0.05 * len(wrong)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_held_out_figures_on_the_tables(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
