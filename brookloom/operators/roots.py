@@ -234,7 +234,8 @@ def article_roots(nodes: DataFrame, rules: tuple[SiteRule, ...] = (), articles:
         first = F.min(F.struct("pos", "sub_end", (F.col("length") > 0).alias("full")))
         site = with_selectors(nodes, [r.root_selector for r in rules if r.root_selector]).where(hit).groupBy(PAGE).agg(first.alias("f")).where("f.full")
         layers.append(site.select(PAGE, F.lit(0).alias("layer"), F.col("f.pos").alias("root_pos"), F.col("f.sub_end").alias("root_end")))
-    known = best_ancestor(nodes, expanded(nodes, refined(nodes, containers(nodes))))
+    # One row a page, held as well: the last step asks for it five times over.
+    known = best_ancestor(nodes, held(expanded(nodes, refined(nodes, containers(nodes)))))
     layers.append(known.select(PAGE, F.lit(1).alias("layer"), F.col("pos0").alias("root_pos"), F.col("end0").alias("root_end")))
     layers.append(densest(nodes).select(PAGE, F.lit(2).alias("layer"), "root_pos", "root_end"))
     if articles is not None:

@@ -217,6 +217,14 @@ def test_container_scores(spark):
     assert row.has_h1 and row.score == pytest.approx(20 + 10 + 5 / 800 + 2 + 1 + 8 + 6 - 8 - 8)
 
 
+def test_containers_are_found_once(spark):
+    """The container of each page is held, not found anew for each question about what is around it."""
+    nodes = nodes_of(spark, "<body><article><h1>Title</h1><p>Some text.</p></article></body>")
+    plan = roots.article_roots(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("pos0" in x for x in plan.split("\n") if "InMemoryRelation" in x)
+    spark.catalog.clearCache()
+
+
 def test_prepared_pages(spark):
     island = '<script type="application/json">{"text": "%s"}</script>' % LONG
     rows = [
